@@ -57,10 +57,11 @@ def payload_texts(bronze: DataFrame, *keep: str) -> DataFrame:
     return bronze.select(*fields, "timestamp_bronze", *keep)
 
 
-def drop_markers(texts: DataFrame) -> DataFrame:
-    """NULL for every marker text, in all string columns."""
+def drop_markers(texts: DataFrame, *keep: str) -> DataFrame:
+    """NULL for every marker text, in all string columns but those in ``keep``."""
     return texts.select(*[
-        cells.null_if_marker(F.col(name)).alias(name) if kind == "string" else F.col(name)
+        cells.null_if_marker(F.col(name)).alias(name)
+        if kind == "string" and name not in keep else F.col(name)
         for name, kind in texts.dtypes
     ])
 
@@ -75,7 +76,7 @@ def clean_visits(bronze: DataFrame, *keep: str, stamp: bool = True) -> DataFrame
     ``stamp=False`` leaves out the processing time, the one column that differs
     between two runs over the same input.
     """
-    texts = drop_markers(payload_texts(bronze, *keep))
+    texts = drop_markers(payload_texts(bronze, *keep), *keep)
     typed = texts.select(
         *[_value(name) for name in PAYLOAD_KEYS.values()], "timestamp_bronze", *keep
     )

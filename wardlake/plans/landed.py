@@ -14,6 +14,10 @@ from wardlake.plans.lake import current_visits, silver_doctors
 from wardlake.session import scratch_dir, use_core_conf
 from wardlake.sources.envelopes import to_bronze
 
+# Splits the visits into two halves by arrival, and marks a state shortly before the end.
+HALF_TIME, EARLIER_TIME = "2024-01-16", "2024-01-30T12"
+OPENED, CLOSED = "Orthopedics", "Closed Ward"
+
 _landed: dict[tuple[str, str, str], str] = {}
 
 
@@ -60,18 +64,17 @@ def insight_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def earlier_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The corpus as it was when half of the stored time span had arrived, plus one
-    document that is not made any more."""
-    current = gold(spark, sf_dir)
-    seen = visits(spark, sf_dir).where(F.col("bronze_timestamp") < F.lit(HALF_TIME).cast("timestamp"))
-    past = current.join(seen.select("visit_id").distinct(), "visit_id", "left_semi")
-    docs = corpus.insight_docs(
-        rollups.department_monthly_stats(past), rollups.doctor_performance(past)
-    )
-    gone = corpus.department_docs(
-        rollups.department_monthly_stats(past.withColumn("department_referral", F.lit("Closed Ward")))
-    )
-    return docs.unionByName(gone)
+    """The corpus as it stood some hours before the end: with a department that has
+    closed since and without one that has opened since."""
 
-
-HALF_TIME = "2024-01-16 00:00:00"
+    def build() -> DataFrame:
+        then = bronze(spark, sf_dir).where(F.col("timestamp_bronze") < EARLIER_TIME)
+        past = enrich_visits(current_visits(then), doctors(spark, sf_dir))
+        monthly = rollups.department_monthly_stats(past)
+        department = F.when(
+            F.col("department_referral") == OPENED, F.lit(CLOSED)
+        ).otherwise(F.col("department_referral"))
+        renamed = monthly.withColumn("department_referral", department)
+        return corpus.insight_docs(renamed, rollups.doctor_performance(past))
+
+    return _land(spark, sf_dir, "earlier_docs", build)

@@ -83,11 +83,8 @@ def number_rows(lines: DataFrame) -> DataFrame:
         _FILE,
         _SPLIT,
         (F.coalesce(F.sum("_lines").over(ahead), F.lit(0)) - F.col("_start")).alias("_shift"),
-        F.max("_first").over(whole).alias("_first"),
-    ).select(
-        _FILE, _SPLIT, "_shift",
-        F.transform(split_cells(F.col("_first")), header_name).alias("header"),
-    )
+        F.transform(split_cells(F.max("_first").over(whole)), header_name).alias("header"),
+    ).withColumn("plain_header", F.size(F.array_distinct("header")) == F.size("header"))
     return (
         placed.join(splits, [_FILE, _SPLIT])
         .withColumn("row", (F.col("_place") + F.col("_shift")).cast("int"))
@@ -103,6 +100,16 @@ def _inside(enclosed: Column) -> Column:
     return F.substring(enclosed, F.lit(2), F.length(enclosed) - 2)
 
 
+def _last_of_name(keys: Column, cells: Column) -> Column:
+    """Map of keys to cells where names repeat."""
+    pairs = F.arrays_zip(keys.alias("key"), cells.alias("value"))
+
+    def is_last(pair: Column, at: Column) -> Column:
+        return ~F.array_contains(F.slice(keys, at + 2, F.size(keys)), pair["key"])
+
+    return F.map_from_entries(F.filter(pairs, is_last))
+
+
 def envelopes(lines: DataFrame) -> DataFrame:
     """``file, row, value``: each data row as JSON text of its file, row number and cells.
 
@@ -116,10 +123,13 @@ def envelopes(lines: DataFrame) -> DataFrame:
         "keys": F.slice("header", F.lit(1), matched),
         "cells": F.slice("cells", F.lit(1), matched),
     })
-    pairs = F.arrays_zip(F.col("keys").alias("key"), F.col("cells").alias("value"))
-    later = lambda i: F.slice("keys", i + 2, F.size("keys"))
-    last_of_name = F.filter(pairs, lambda p, i: ~F.array_contains(later(i), p["key"]))
-    rows = rows.withColumn("members", F.to_json(F.map_from_entries(last_of_name)))
+    rows = rows.withColumn(
+        "members",
+        F.to_json(
+            F.when(F.col("plain_header"), F.map_from_arrays("keys", "cells"))
+            .otherwise(_last_of_name(F.col("keys"), F.col("cells")))
+        ),
+    )
     text = F.concat_ws(
         ",",
         F.when(~F.array_contains("keys", "file"), F.concat(F.lit('"file":'), _json_text(F.col("_name")))),

@@ -5,27 +5,39 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from wardlake.schemas import BRONZE_VISITS
 from wardlake.sources.csv_rows import envelopes, stream_lines
-from wardlake.sources.envelopes import parse_lines, to_bronze
+from wardlake.sources.envelopes import accepted_lines, rejected_lines, to_bronze
 
 # Fixed value: seconds after which an intake run stops.
 MAX_RUN_SECONDS = 120
 
 
-def _land(bronze_path: str, checkpoint: str, to_lines: Callable[[DataFrame], DataFrame]):
-    """A ``foreachBatch`` function.  Each batch has a partition of its own, named by the
-    checkpoint folder and the batch: running a batch again replaces what it wrote."""
+def _place(path: str, checkpoint: str, batch_id: int) -> str:
+    """Each batch has a partition of its own, named by the checkpoint folder and the
+    batch: running a batch again replaces what it wrote."""
     run = checkpoint.rstrip("/").rsplit("/", 1)[-1]
+    return f"{path}/run={run}/batch_id={batch_id}"
 
+
+def _land_csv(bronze_path: str, checkpoint: str) -> Callable[[DataFrame, int], None]:
+    def land(batch: DataFrame, batch_id: int) -> None:
+        records = envelopes(batch).withColumn("payload", F.parse_json("value"))
+        to_bronze(records).write.mode("overwrite").parquet(_place(bronze_path, checkpoint, batch_id))
+
+    return land
+
+
+def _land_json(bronze_path: str, checkpoint: str) -> Callable[[DataFrame, int], None]:
     def land(batch: DataFrame, batch_id: int) -> None:
-        parsed = parse_lines(to_lines(batch))
-        place = f"run={run}/batch_id={batch_id}"
-        good, bad = parsed.where("payload IS NOT NULL"), parsed.where("payload IS NULL")
-        to_bronze(good).write.mode("overwrite").parquet(f"{bronze_path}/{place}")
-        bad.select("value").write.mode("overwrite").parquet(f"{bronze_path}_rejects/{place}")
+        for lines, path in (
+            (to_bronze(accepted_lines(batch)), bronze_path),
+            (rejected_lines(batch), f"{bronze_path}_rejects"),
+        ):
+            lines.write.mode("overwrite").parquet(_place(path, checkpoint, batch_id))
 
     return land
 
@@ -53,7 +65,7 @@ def csv_to_bronze(
     The checkpoint holds the files done: the same one resumes, a folder of a new name
     reads all again (the upsert by key removes what is then read twice).
     """
-    land = _land(bronze_path, checkpoint, envelopes)
+    land = _land_csv(bronze_path, checkpoint)
     return _start(stream_lines(spark, source, files_per_batch), land, checkpoint)
 
 
@@ -68,7 +80,7 @@ def json_lines_to_bronze(
     reader = spark.readStream
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    land = _land(bronze_path, checkpoint, lambda batch: batch)
+    land = _land_json(bronze_path, checkpoint)
     return _start(reader.text(source), land, checkpoint)
 
 
