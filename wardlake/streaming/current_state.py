@@ -19,7 +19,7 @@ from wardlake.schemas import SILVER_VISITS, enforce_schema
 
 PLACE = ["admission_period", "key_slice"]
 STORED = f"{SILVER_VISITS}, admission_period STRING, key_slice INT"
-MAX_PRUNED_PARTITIONS = 100_000
+MAX_NAMED_PARTITIONS = 10_000
 
 
 def place_columns(slices: int) -> dict[str, Column]:
@@ -75,15 +75,28 @@ class CurrentVisits:
         placed = latest_by_key(batch).withColumns(place_columns(self.slices))
         current = _read_or_none(self.spark, self.path, STORED)
         if current is not None:
-            touched = batch.withColumns(place_columns(self.slices)).select(*PLACE).distinct()
-            # Broadcast, the touched partitions prune the scan of the current table.  A
-            # batch that touches more of them than this leaves little to prune.
-            if touched.count() <= MAX_PRUNED_PARTITIONS:
-                touched = F.broadcast(touched)
-            old = current.join(touched, PLACE, "left_semi")
+            old = self._partitions_of(current, batch)
             placed = placed.unionByName(old.select(*placed.columns))
         return latest_by_key(placed.repartition(*PLACE), within=PLACE)
 
+    def _partitions_of(self, current: DataFrame, batch: DataFrame) -> DataFrame:
+        """The rows of the current table in partitions that the batch has rows for.
+
+        The names of up to ``MAX_NAMED_PARTITIONS`` become a partition filter of the scan.
+        A batch that touches more leaves little to skip: a plain join picks the rows.
+        """
+        touched = batch.withColumns(place_columns(self.slices)).select(*PLACE).distinct()
+        names = touched.take(MAX_NAMED_PARTITIONS + 1)
+        if len(names) > MAX_NAMED_PARTITIONS:
+            return current.join(touched, PLACE, "left_semi")
+        period, key_slice = (F.col(name) for name in PLACE)
+        scan = current.where(
+            period.isin([n.admission_period for n in names])
+            & key_slice.isin([n.key_slice for n in names])
+        )
+        named = self.spark.createDataFrame(names, touched.schema)
+        return scan.join(F.broadcast(named), PLACE, "left_semi")
+
     def _publish(self) -> None:
         (
             self.spark.read.schema(STORED).parquet(self.staging)
