@@ -156,3 +156,32 @@ def test_context_and_prompt(spark):
         "q2": "Context:\n\n\nQuestion: Why?",
     }
     assert {r.system for r in rows} == {retrieval.SYSTEM_PROMPT}
+
+
+def test_gold_tables_of_a_lake(spark, tmp_path):
+    from wardlake.operators import rollups
+    from wardlake.plans import landed, testdata
+    from wardlake.plans.lake import DECLARED
+
+    sf_dir = "/root/testdata/sf0.001"
+    lake = Lake(spark, str(tmp_path))
+    lake.refresh_gold(landed.visits(spark, sf_dir), testdata.doctors_raw(spark, sf_dir))
+    for name in rollups.ROLLUPS:
+        stored, direct = lake.read(name), landed.rollup(spark, sf_dir, name)
+        assert stored.columns == direct.columns
+        assert sorted(stored.collect(), key=str) == sorted(direct.collect(), key=str)
+    for name, ddl in DECLARED.items():
+        assert lake.read(name).columns == [c.split()[0] for c in ddl.split(",")]
+    docs = corpus.insight_docs(lake.read("department_monthly_stats"), lake.read("doctor_performance"))
+    feed = lake.refresh_corpus(1)
+    assert feed.count() == docs.count() > 0
+
+
+def test_doctors_are_broadcast_and_visits_stay_in_place(spark, capsys):
+    from wardlake.operators.enrich import enrich_visits
+    from wardlake.plans import landed
+
+    sf_dir = "/root/testdata/sf0.001"
+    enrich_visits(landed.visits(spark, sf_dir), landed.doctors(spark, sf_dir)).explain("formatted")
+    plan = capsys.readouterr().out
+    assert "BroadcastHashJoin LeftOuter BuildRight" in plan and "hashpartitioning" not in plan

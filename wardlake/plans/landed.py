@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardlake.operators import corpus, rollups
+from wardlake.operators import corpus, retrieval, rollups
 from wardlake.operators.enrich import enrich_visits
 from wardlake.plans import testdata
 from wardlake.plans.lake import current_visits, silver_doctors
@@ -44,7 +44,10 @@ def visits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def doctors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return silver_doctors(testdata.doctors_raw(spark, sf_dir))
+    """Stored, so that the join knows its size before it runs."""
+    return _land(
+        spark, sf_dir, "doctors", lambda: silver_doctors(testdata.doctors_raw(spark, sf_dir))
+    )
 
 
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,6 +66,16 @@ def insight_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def insight_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus with the vector of every text."""
+
+    def build() -> DataFrame:
+        vector = retrieval.hashed_words()(F.col("text"))
+        return insight_docs(spark, sf_dir).withColumn("vector", vector)
+
+    return _land(spark, sf_dir, "insight_vectors", build)
+
+
 def earlier_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus as it stood some hours before the end: with a department that has
     closed since and without one that has opened since."""

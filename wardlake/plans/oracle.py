@@ -465,6 +465,20 @@ ORACLES: dict[str, str] = {
       SELECT question_id, rank, doc_id, score FROM (
         SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, doc_id)::int AS rank
         FROM scored) WHERE rank <= 6""",
+    "document_retrieval": f"""WITH {word_vectors("q", "benchmark", "item_id", "text")},
+      {word_vectors("d", "documents", "doc_id", "text")},
+      qn AS (SELECT id, sqrt(sum(weight::double * weight::double)) AS norm FROM q GROUP BY id),
+      dn AS (SELECT id, sqrt(sum(weight::double * weight::double)) AS norm FROM d GROUP BY id),
+      dots AS (SELECT q.id AS question_id, d.id AS doc_id, sum(q.weight::double * d.weight::double) AS dot
+        FROM q JOIN d ON q.slot = d.slot GROUP BY q.id, d.id),
+      scored AS (SELECT item_id AS question_id, documents.doc_id,
+          round(coalesce(dot / (qn.norm * dn.norm), 0), 6) AS score
+        FROM benchmark CROSS JOIN documents
+        LEFT JOIN dots ON dots.question_id = item_id AND dots.doc_id = documents.doc_id
+        LEFT JOIN qn ON qn.id = item_id LEFT JOIN dn ON dn.id = documents.doc_id)
+      SELECT question_id, rank, doc_id, score FROM (
+        SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, doc_id)::int AS rank
+        FROM scored) WHERE rank <= 6""",
     "insight_retrieval": f"WITH {RETRIEVED} SELECT question_id, rank, doc_id, text, score FROM found",
     "context_lines": f"WITH {RETRIEVED} SELECT question_id, context FROM contexts",
     "prompt_rows": f"""WITH {RETRIEVED} SELECT q.question_id,

@@ -459,9 +459,9 @@ def _questions(spark, sf_dir) -> DataFrame:
 
 
 def _retrieved(spark, sf_dir) -> DataFrame:
-    embedder = retrieval.hashed_words()
-    docs = landed.insight_docs(spark, sf_dir).withColumn("vector", embedder(F.col("text")))
-    return retrieval.retrieve(_questions(spark, sf_dir), docs, embedder)
+    return retrieval.retrieve(
+        _questions(spark, sf_dir), landed.insight_vectors(spark, sf_dir), retrieval.hashed_words()
+    )
 
 
 @query
@@ -469,6 +469,19 @@ def insight_retrieval(spark, sf_dir):
     return _retrieved(spark, sf_dir)
 
 
+@query
+def document_retrieval(spark, sf_dir):
+    """For every benchmark text, the documents nearest to it; whole texts on both sides."""
+    embedder = retrieval.hashed_words()
+    questions = testdata.table(spark, sf_dir, "benchmark").select(
+        F.col("item_id").alias("question_id"), embedder(F.col("text")).alias("vector")
+    )
+    documents = testdata.table(spark, sf_dir, "documents").select(
+        "doc_id", embedder(F.col("text")).alias("vector")
+    )
+    return retrieval.top_k(questions, documents)
+
+
 @query
 def context_lines(spark, sf_dir):
     return retrieval.context_lines(_retrieved(spark, sf_dir))

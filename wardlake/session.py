@@ -18,6 +18,11 @@ CORE_CONF = {
     # HotSpot never compiles a method above 8000 bytes of bytecode.  A wide cleaning
     # projection fused into one larger method runs interpreted, at half the speed.
     "spark.sql.codegen.hugeMethodLimit": "8000",
+    # Below this file size the doctors go to every executor and the visits stay in
+    # place; above it both sides are sorted by key and hot keys are split.
+    "spark.sql.autoBroadcastJoinThreshold": "64MB",
+    # Rows of long texts go to Python as lists of words: keep a batch small.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
 }
 
 
@@ -49,8 +54,8 @@ def use_core_conf(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def scratch_dir(spark: SparkSession, label: str) -> str:
-    """A new folder for intermediate tables, below the shared checkpoint folder.
+def use_checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder named by ``spark.checkpoint.dir``.
 
     Only a local session without that setting gets a temporary folder.
     """
@@ -60,4 +65,12 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         base = tempfile.mkdtemp(prefix="wardlake-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+        spark.sparkContext.setCheckpointDir(base)
+    elif not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(base)
+    return base.rstrip("/")
+
+
+def scratch_dir(spark: SparkSession, label: str) -> str:
+    """A new folder for intermediate tables, below the shared checkpoint folder."""
+    return f"{use_checkpoint_dir(spark)}/{label}-{uuid.uuid4().hex}"

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from wardlake.session import use_checkpoint_dir
+
 # The file name endings that are read, in any case.
 CSV_NAMES = "*.{[cC][sS][vV],[tT][xX][tT]}"
 
@@ -19,6 +21,9 @@ CSV_NAMES = "*.{[cC][sS][vV],[tT][xX][tT]}"
 _CELL = r',((?:"[^"]*+(?:""[^"]*+)*+")?+[^,]*+)'
 _FILE, _SPLIT = "_file", "_split"
 
+# Up to this size the table of splits is broadcast; above it is joined by shuffle.
+BROADCAST_BYTES = 256 << 20
+
 
 def _file_columns() -> list[Column]:
     meta = F.col("_metadata")
@@ -69,9 +74,11 @@ def split_cells(line: Column) -> Column:
     return F.when(line == "", F.array().cast("array<string>")).otherwise(cells)
 
 
-def number_rows(lines: DataFrame) -> DataFrame:
-    """Adds ``row`` (0 for the header line of each file, 1 for the first data row) and ``header``."""
-    placed = lines.withColumn("_place", F.monotonically_increasing_id())
+def _split_table(placed: DataFrame) -> DataFrame:
+    """One row per split: what turns a place in it into a row number, and its file's header.
+
+    Kept as a checkpoint, so the lines are counted once whatever is done with it.
+    """
     splits = placed.groupBy(_FILE, _SPLIT).agg(
         F.count("*").alias("_lines"),
         F.min("_place").alias("_start"),
@@ -79,17 +86,32 @@ def number_rows(lines: DataFrame) -> DataFrame:
     )
     ahead = Window.partitionBy(_FILE).orderBy(_SPLIT).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(_FILE)
-    splits = splits.select(
+    use_checkpoint_dir(placed.sparkSession)
+    return splits.select(
         _FILE,
         _SPLIT,
         (F.coalesce(F.sum("_lines").over(ahead), F.lit(0)) - F.col("_start")).alias("_shift"),
         F.transform(split_cells(F.max("_first").over(whole)), header_name).alias("header"),
-    ).withColumn("plain_header", F.size(F.array_distinct("header")) == F.size("header"))
-    return (
-        placed.join(splits, [_FILE, _SPLIT])
-        .withColumn("row", (F.col("_place") + F.col("_shift")).cast("int"))
-        .drop("_place", "_shift", _SPLIT)
+    ).withColumn("plain_header", F.size(F.array_distinct("header")) == F.size("header")).checkpoint()
+
+
+def number_rows(lines: DataFrame) -> DataFrame:
+    """Adds ``row`` (0 for the header line of each file, 1 for the first data row) and ``header``.
+
+    Runs a first pass over the lines at once, to count those of each split.
+    """
+    placed = lines.withColumn("_place", F.monotonically_increasing_id())
+    splits = _split_table(placed)
+    size = splits.agg(
+        F.sum(F.length(_FILE) + F.length(F.array_join("header", ",")) + 32)
+    ).first()[0] or 0
+    numbered = placed.join(
+        F.broadcast(splits) if size <= BROADCAST_BYTES else splits, [_FILE, _SPLIT], "left"
     )
+    # Both passes must cut the files alike; with a fixed number of cores they do.
+    row = F.when(F.col("_shift").isNotNull(), (F.col("_place") + F.col("_shift")).cast("int"))
+    moved = F.raise_error(F.lit("file splits changed: set spark.sql.files.minPartitionNum")).cast("int")
+    return numbered.withColumn("row", F.coalesce(row, moved)).drop("_place", "_shift", _SPLIT)
 
 
 def _json_text(text: Column) -> Column:
