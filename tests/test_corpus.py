@@ -120,7 +120,7 @@ def brute_force(questions, documents, k):
     return found
 
 
-@pytest.mark.parametrize("limits", [{}, {"broadcast_bytes": 0, "questions_per_block": 3}, {"questions_per_block": 2}])
+@pytest.mark.parametrize("limits", [{}, {"broadcast_questions": 3, "cell": (4, 50)}, {"broadcast_questions": 0}])
 def test_top_k_is_exact(spark, limits):
     rng = random.Random(5)
     # Few distinct vectors: many exact ties, which the id decides.

@@ -23,11 +23,11 @@ DIMENSIONS = 256
 # Scores are compared at this many digits, so equal vectors tie wherever they are computed.
 SCORE_DIGITS = 6
 
-# Sizes of the scoring grid: questions per block, how much question data may be
-# broadcast before the grid is shuffled instead, and over how many keys it is then spread.
-QUESTIONS_PER_BLOCK = 1024
-BROADCAST_BYTES = 32 << 20
-GRID_SPREAD = 64
+# Questions that are broadcast at most, and their size; beyond, the questions and
+# documents in one cell of the scoring grid.
+BROADCAST_QUESTIONS = 16384
+BROADCAST_BYTES = 64 << 20
+GRID_CELL = (4096, 20000)
 
 Embedder = Callable[[Column], Column]
 
@@ -35,10 +35,7 @@ Embedder = Callable[[Column], Column]
 def term_slots(text: Column, dimensions: int = DIMENSIONS) -> Column:
     """The vector slot of every word of the whole text, repeats included."""
     words = F.filter(F.split(F.lower(text), "[^\\p{L}\\p{N}]+"), lambda w: w != "")
-    return F.transform(
-        words,
-        lambda w: (F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long") % dimensions).cast("int"),
-    )
+    return F.transform(words, lambda w: (F.crc32(w) % dimensions).cast("int"))
 
 
 def hashed_words(dimensions: int = DIMENSIONS) -> Embedder:
@@ -82,97 +79,111 @@ def _unit_rows(matrix: np.ndarray) -> np.ndarray:
     return np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
 
 
-def _pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Each Arrow batch of documents as one row: the ids in order, the vectors as one block."""
-    for batch in batches:
-        if len(batch):
-            batch = batch.sort_values("doc_id")
-            block = np.stack(batch["vector"].to_list()).astype(np.float32)
-            yield pd.DataFrame({"ids": [batch["doc_id"].to_list()], "block": [block.tobytes()]})
+def _matrix(vectors: pd.Series) -> np.ndarray:
+    return _unit_rows(np.stack(vectors.to_list()).astype(np.float32).astype(float))
+
+
+def _best(asked: np.ndarray, questions: np.ndarray, documents: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The best ``k`` of some documents for each question, ties by document id."""
+    documents = documents.sort_values("doc_id")
+    ids = documents["doc_id"].to_numpy()
+    scores = np.round(questions @ _matrix(documents["vector"]).T, SCORE_DIGITS) + 0.0
+    keep = min(k, len(ids))
+    least = np.partition(scores, len(ids) - keep, axis=1)[:, len(ids) - keep]
+    picks = []
+    for line, bound in zip(scores, least):
+        near = np.flatnonzero(line >= bound)
+        picks.append(near[np.argsort(-line[near], kind="stable")[:keep]])
+    rows = np.repeat(np.arange(len(asked)), keep)
+    picks = np.concatenate(picks)
+    return pd.DataFrame(
+        {"question_id": asked[rows], "doc_id": ids[picks], "score": scores[rows, picks]}
+    )
+
 
+def _best_of_both(one: pd.DataFrame, other: pd.DataFrame, k: int) -> pd.DataFrame:
+    both = pd.concat([one, other]).sort_values(["score", "doc_id"], ascending=[False, True])
+    return both.groupby("question_id", sort=False).head(k)
 
-def _best_of_pair(k: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """The best ``k`` documents of one block for each question of another; ties by id."""
 
-    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _scan(documents: DataFrame, questions: pd.DataFrame, k: int, schema: str) -> DataFrame:
+    """Score documents where they are; each task hands on its best ``k`` per question."""
+    shared = documents.sparkSession.sparkContext.broadcast(
+        (questions["question_id"].to_numpy(), _matrix(questions["vector"]))
+    )
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best = None
         for batch in batches:
-            for ids, block, asked, vectors in batch.itertuples(index=False, name=None):
-                documents = np.frombuffer(block, np.float32).reshape(len(ids), -1).astype(float)
-                questions = np.asarray(vectors, np.float32).reshape(len(asked), -1).astype(float)
-                scores = np.round(_unit_rows(questions) @ _unit_rows(documents).T, SCORE_DIGITS) + 0.0
-                keep = min(k, len(ids))
-                least = np.partition(scores, len(ids) - keep, axis=1)[:, len(ids) - keep]
-                rows, picks = [], []
-                for at, line in enumerate(scores):
-                    near = np.flatnonzero(line >= least[at])
-                    near = near[np.argsort(-line[near], kind="stable")[:keep]]
-                    rows.append(np.full(keep, at))
-                    picks.append(near)
-                rows, picks = np.concatenate(rows), np.concatenate(picks)
-                yield pd.DataFrame({
-                    "question_id": np.asarray(asked, object)[rows],
-                    "doc_id": np.asarray(ids, object)[picks],
-                    "score": scores[rows, picks],
-                })
-
-    return best
+            if len(batch):
+                found = _best(*shared.value, batch, k)
+                best = found if best is None else _best_of_both(best, found, k)
+        if best is not None:
+            yield best
+
+    return documents.mapInPandas(scan, schema)
+
+
+def _grid(
+    documents: DataFrame, questions: DataFrame, k: int, schema: str, cell: tuple[int, int]
+) -> DataFrame:
+    """Score every block of questions against every block of documents, one cell per group.
+
+    Keys are spread by hash, so a cell holds about ``cell`` questions and documents.
+    """
+    q_blocks = max(1, math.ceil(questions.count() / cell[0]))
+    d_blocks = max(1, math.ceil(documents.count() / cell[1]))
+
+    def blocks(n: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    def block_of(key: str, n: int) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+
+    asked = questions.withColumns({"q": block_of("question_id", q_blocks), "d": blocks(d_blocks)})
+    stored = documents.withColumns({"q": blocks(q_blocks), "d": block_of("doc_id", d_blocks)})
+
+    def score(some_questions: pd.DataFrame, some_documents: pd.DataFrame) -> pd.DataFrame:
+        if some_questions.empty or some_documents.empty:
+            return pd.DataFrame({"question_id": [], "doc_id": [], "score": []})
+        ids = some_questions["question_id"].to_numpy()
+        return _best(ids, _matrix(some_questions["vector"]), some_documents, k)
+
+    cells = asked.groupBy("q", "d").cogroup(stored.groupBy("q", "d"))
+    return cells.applyInPandas(score, schema)
 
 
 def top_k(
     questions: DataFrame,
     documents: DataFrame,
     k: int = TOP_K,
-    broadcast_bytes: int = BROADCAST_BYTES,
-    questions_per_block: int = QUESTIONS_PER_BLOCK,
+    broadcast_questions: int = BROADCAST_QUESTIONS,
+    cell: tuple[int, int] = GRID_CELL,
 ) -> DataFrame:
     """``question_id, rank, doc_id, score``: the ``k`` documents nearest to each question.
 
-    Exact cosine over all documents.  ``questions`` has ``question_id, vector``,
-    ``documents`` has ``doc_id, vector``.  Both are cut into blocks; a pair of blocks
-    is one matrix product and hands on ``k`` rows per question, never all scores.
+    Exact cosine over all documents, in blocks that are one matrix product each;
+    scores never leave a block but for its best ``k`` per question.  ``questions``
+    has ``question_id, vector``, ``documents`` has ``doc_id, vector``; both ids are
+    unique and rows without a vector are left out.
 
-    Question blocks are broadcast only while their counted size is at most
-    ``broadcast_bytes``: the documents are then read in place.  Beyond that the
-    pairs are laid out as a grid, keyed by question block and a spread of the
-    document blocks, so that no task holds more than its share of either side.
+    Up to ``broadcast_questions`` questions, and ``BROADCAST_BYTES`` of them, are sent
+    to all tasks and the documents are read in place.  More are laid out as a grid.
     """
-    id_type = documents.schema["doc_id"].dataType.simpleString()
-    asked_type = questions.schema["question_id"].dataType.simpleString()
-    questions = questions.where("vector IS NOT NULL")
-    total, width = questions.agg(F.count("*"), F.max(F.size("vector"))).first()
-    blocks = max(1, math.ceil(total / questions_per_block))
-    small = total * (width or 0) * 4 <= broadcast_bytes
-    spread = 1 if small else GRID_SPREAD
-
-    asked = F.struct("question_id", F.col("vector").cast("array<float>").alias("vector"))
-    question_blocks = (
-        questions.groupBy(F.pmod(F.xxhash64("question_id"), F.lit(blocks)).cast("int").alias("q_block"))
-        .agg(F.collect_list(asked).alias("q"))
-        .select(
-            "q_block",
-            F.explode(F.sequence(F.lit(0), F.lit(spread - 1))).alias("q_spread"),
-            F.col("q.question_id").alias("asked"),
-            F.flatten("q.vector").alias("vectors"),
-        )
-    )
-    document_blocks = (
-        documents.where("vector IS NOT NULL")
-        .select("doc_id", F.col("vector").cast("array<float>").alias("vector"))
-        .mapInPandas(_pack, f"ids array<{id_type}>, block binary")
-        .select(
-            "ids",
-            "block",
-            F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("q_block"),
-            F.pmod(F.xxhash64(F.element_at("ids", 1)), F.lit(spread)).cast("int").alias("q_spread"),
-        )
-    )
-    pairs = document_blocks.join(
-        F.broadcast(question_blocks) if small else question_blocks.hint("merge"),
-        ["q_block", "q_spread"],
-    ).select("ids", "block", "asked", "vectors")
-    scored = pairs.mapInPandas(
-        _best_of_pair(k), f"question_id {asked_type}, doc_id {id_type}, score double"
+    schema = (
+        f"question_id {questions.schema['question_id'].dataType.simpleString()}, "
+        f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, score double"
     )
+    as_floats = F.col("vector").cast("array<float>").alias("vector")
+    questions = questions.where("vector IS NOT NULL").select("question_id", as_floats)
+    documents = documents.where("vector IS NOT NULL").select("doc_id", as_floats)
+    first = questions.limit(broadcast_questions + 1).toPandas()
+    if first.empty:
+        scored = documents.sparkSession.createDataFrame([], schema)
+    elif len(first) <= broadcast_questions and first["vector"].map(len).sum() * 4 <= BROADCAST_BYTES:
+        scored = _scan(documents, first, k, schema)
+    else:
+        scored = _grid(documents, questions, k, schema, cell)
     nearest = Window.partitionBy("question_id").orderBy(F.desc("score"), "doc_id")
     return (
         scored.withColumn("rank", F.row_number().over(nearest))

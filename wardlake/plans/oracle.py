@@ -275,16 +275,32 @@ EARLIER = f"""{DOCS}, kept_then AS (SELECT * FROM kept WHERE bronze_timestamp <
   )"""
 
 
+# CRC-32 of a word, byte by byte with the usual table of 256 remainders.
+CRC = """crc_table AS (
+    SELECT list(v ORDER BY i) AS t FROM (
+      SELECT i, list_reduce(list_concat([i], range(8)),
+        lambda c, step: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v
+      FROM range(256) AS r(i))
+  )"""
+
+
 def word_vectors(name: str, source: str, key: str, text: str) -> str:
     """Sparse unit vectors of hashed word counts, rounded to single precision."""
-    return f"""{name} AS (
-  SELECT id, slot, (n / sqrt(sum(n * n) OVER (PARTITION BY id)))::float AS weight FROM (
-    SELECT id, slot, count(*)::double AS n FROM (
-      SELECT id, ('0x' || left(md5(word), 8))::bigint % 256 AS slot FROM (
-        SELECT {key} AS id, unnest(string_split_regex(lower({text}), '[^\\p{{L}}\\p{{N}}]+')) AS word
-        FROM {source}) WHERE word <> ''
-    ) GROUP BY id, slot)
-)"""
+    return f"""{name}_words AS (
+    SELECT id, word, count(*) AS n FROM (
+      SELECT {key} AS id, unnest(string_split_regex(lower({text}), '[^\\p{{L}}\\p{{N}}]+')) AS word
+      FROM {source}) WHERE word <> '' GROUP BY id, word
+  ), {name}_slots AS (
+    SELECT word, xor(list_reduce(
+        list_concat([4294967295], list_transform(range(strlen(word)),
+          lambda b: ('0x' || substr(hex(encode(word)), 2 * b + 1, 2))::bigint)),
+        lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) % 256 AS slot
+    FROM (SELECT DISTINCT word FROM {name}_words), crc_table
+  ), {name} AS (
+    SELECT id, slot, (n / sqrt(sum(n * n) OVER (PARTITION BY id)))::float AS weight FROM (
+      SELECT id, slot, sum(n)::double AS n FROM {name}_words JOIN {name}_slots USING (word)
+      GROUP BY id, slot)
+  )"""
 
 
 QUESTIONS = """questions AS (
@@ -293,7 +309,7 @@ QUESTIONS = """questions AS (
   FROM gold
 )"""
 
-RETRIEVED = f"""{DOCS}, {QUESTIONS}, {word_vectors("q", "questions", "question_id", "question")},
+RETRIEVED = f"""{DOCS}, {CRC}, {QUESTIONS}, {word_vectors("q", "questions", "question_id", "question")},
   {word_vectors("d", "docs", "doc_id", "text")},
   norms AS (SELECT 'q' AS side, id, sqrt(sum(weight::double * weight::double)) AS norm FROM q GROUP BY id
     UNION ALL SELECT 'd', id, sqrt(sum(weight::double * weight::double)) FROM d GROUP BY id),
@@ -449,11 +465,11 @@ ORACLES: dict[str, str] = {
     "corpus_operations": f"WITH {EARLIER} SELECT op, count(*) AS documents FROM feed GROUP BY op",
     "corpus_merged": f"WITH {EARLIER} SELECT doc_id, text, department, period, doc_type FROM docs",
     "corpus_apply": f"WITH {EARLIER} SELECT doc_id, text, department, period, doc_type FROM docs",
-    "embed_changed": f"""WITH {EARLIER}, written AS (SELECT * FROM feed WHERE op IN ('insert', 'update')),
+    "embed_changed": f"""WITH {EARLIER}, {CRC}, written AS (SELECT * FROM feed WHERE op IN ('insert', 'update')),
       {word_vectors("v", "written", "doc_id", "text")}
       SELECT v.id AS doc_id, op, slot::int AS slot, round(weight::double, 6) AS weight
       FROM v JOIN feed ON feed.doc_id = v.id""",
-    "vector_refresh": f"""WITH {DOCS}, {word_vectors("v", "docs", "doc_id", "text")}
+    "vector_refresh": f"""WITH {DOCS}, {CRC}, {word_vectors("v", "docs", "doc_id", "text")}
       SELECT id AS doc_id, slot::int AS slot, round(weight::double, 6) AS weight FROM v""",
     "topk_retrieval": """WITH parts AS (
         SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings
@@ -465,7 +481,7 @@ ORACLES: dict[str, str] = {
       SELECT question_id, rank, doc_id, score FROM (
         SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, doc_id)::int AS rank
         FROM scored) WHERE rank <= 6""",
-    "document_retrieval": f"""WITH {word_vectors("q", "benchmark", "item_id", "text")},
+    "document_retrieval": f"""WITH {CRC}, {word_vectors("q", "benchmark", "item_id", "text")},
       {word_vectors("d", "documents", "doc_id", "text")},
       qn AS (SELECT id, sqrt(sum(weight::double * weight::double)) AS norm FROM q GROUP BY id),
       dn AS (SELECT id, sqrt(sum(weight::double * weight::double)) AS norm FROM d GROUP BY id),
