@@ -93,14 +93,14 @@ def state(df):
     return sorted(map(tuple, df.drop("silver_timestamp").collect()), key=str)
 
 
-@pytest.mark.parametrize("parts", [1, 4])
-def test_stream_equals_batch(spark, tmp_path, parts):
+@pytest.mark.parametrize("parts, spread", [(1, 1), (4, 3)])
+def test_stream_equals_batch(spark, tmp_path, parts, spread):
     rows = visit_rows(120)
     want = state(current_visits(bronze_of(spark, rows)))
     random.Random(2).shuffle(rows)
     for i in range(parts):
         bronze_of(spark, rows[i::parts]).coalesce(1).write.mode("append").parquet(f"{tmp_path}/bronze")
-    table = CurrentVisits(spark, f"{tmp_path}/visits", slices=2)
+    table = CurrentVisits(spark, f"{tmp_path}/visits", slices=2, spread=spread)
     stream = visits_upsert(
         stream_table(spark, f"{tmp_path}/bronze", files_per_batch=1), table, f"{tmp_path}/check"
     )
@@ -199,3 +199,81 @@ def test_scratch_dir_is_below_the_checkpoint_folder(spark):
     path = scratch_dir(spark, "x")
     assert path.startswith(spark.conf.get("spark.checkpoint.dir"))
     assert path != scratch_dir(spark, "x")
+
+
+def test_a_running_stream_sees_files_that_come_later(spark, tmp_path):
+    source = tmp_path / "in"
+    write_csv(source, "a.csv", "P1,2024-01-01,30,DOC-1")
+    bronze = f"{tmp_path}/bronze"
+    stream = intake.csv_to_bronze(spark, str(source), bronze, f"{tmp_path}/one", every="1 second")
+    try:
+        stream.processAllAvailable()
+        write_csv(source, "b.csv", "P2,2024-01-01,30,DOC-1")
+        stream.processAllAvailable()
+        assert {p["patient_id"] for p in payloads(spark, bronze)} == {"P1", "P2"}
+    finally:
+        assert not intake.run_for(stream, seconds=1)
+    assert not stream.isActive
+
+
+def test_from_files_to_prompts(spark, tmp_path):
+    """The whole way: two deliveries of files, one of them with a corrected row."""
+    from wardlake.operators import retrieval
+    from wardlake.operators.access import secured
+    from wardlake.plans.lake import Lake
+
+    header = "Patient ID,Patient Admission Date,Patient Age,Department Referral,Patient WaitTime,Doctor ID,Patient Satisfaction Score"
+    source, lake = tmp_path / "in", Lake(spark, f"{tmp_path}/lake")
+    source.mkdir()
+    visits = CurrentVisits(spark, lake.path("visits"), slices=2)
+    doctors = spark.createDataFrame(
+        [(" doc-1 ", "ann", "LEE", " cardiology ", "Heart", "U1", 12), (None, "x", "y", "z", "q", "u", 1)],
+        "doctor_id STRING, doctor_first_name STRING, doctor_last_name STRING, department STRING, "
+        "subspecialty STRING, university STRING, years_of_experience INT",
+    )
+    embedder = retrieval.hashed_words()
+
+    def deliver(name, version, *rows):
+        (source / name).write_text("\n".join([header, *rows]) + "\n")
+        intake.csv_to_bronze(spark, str(source), lake.path("bronze"), lake.path("c1")).awaitTermination()
+        bronze = stream_table(spark, lake.path("bronze"))
+        visits_upsert(bronze, visits, lake.path("c2")).awaitTermination()
+        lake.refresh_gold(visits.read(), doctors, unique_doctors=True)
+        return {r.doc_id: r.op for r in lake.refresh_corpus(version, embedder).collect()}
+
+    first = deliver("1.csv", 1, "P1,2024-01-05 10:00:00,30,cardiology,10,DOC-1,8",
+                    "P2,05-01-2024 11:00,40,neurology,20,DOC-9,6", "N/A,2024-01-05,40,neurology,20,DOC-9,6")
+    assert first == {
+        "dept-Cardiology-2024-01-01": "insert", "dept-Neurology-2024-01-01": "insert",
+        "doctor-DOC-1": "insert", "doctor-DOC-9": "insert",
+    }
+    second = deliver("2.csv", 2, "P1,05/01/2024 10:00,30,cardiology,50,DOC-1,8")
+    assert second == {"dept-Cardiology-2024-01-01": "update", "doctor-DOC-1": "update"}
+    assert lake.read("visits_enriched").count() == 2
+    seen = secured(lake.read("department_monthly_stats"), ["dept_cardiology"]).collect()
+    assert [(r.department_referral, r.visits, r.avg_wait_time) for r in seen] == [("Cardiology", 1, 50.0)]
+    documents = lake.corpus(2).join(lake.vectors(2), "doc_id")
+    questions = spark.createDataFrame([("q", "How long is the wait in the Cardiology department?")],
+                                      "question_id STRING, question STRING")
+    found = retrieval.retrieve(questions, documents, embedder, k=2)
+    prompt = retrieval.prompt_rows(questions, retrieval.context_lines(found)).first().prompt
+    lines = prompt.removeprefix("Context:\n").split("\n")
+    assert {line.split("]")[0] for line in lines[:2]} == {"[dept-Cardiology-2024-01-01", "[doctor-DOC-1"}
+    assert lines[2:] == ["", "Question: How long is the wait in the Cardiology department?"]
+
+
+def test_stored_tables_get_a_name(spark, tmp_path):
+    from wardlake.sources.tables import register_table
+    from wardlake.streaming.current_state import PLACE, STORED
+
+    table = CurrentVisits(spark, f"{tmp_path}/visits", slices=2)
+    table.apply(clean(spark, visit_rows(30)), 0)
+    try:
+        named = register_table(
+            spark, "silver_visits", table.path, STORED, "the patients' visits", {"quality": "silver"}, PLACE
+        )
+        assert state(named.drop(*PLACE)) == state(table.read())
+        about = {r.col_name: r.data_type for r in spark.sql("DESCRIBE EXTENDED silver_visits").collect()}
+        assert about["Comment"] == "the patients' visits" and "quality=silver" in about["Table Properties"]
+    finally:
+        spark.sql("DROP TABLE IF EXISTS silver_visits")

@@ -37,7 +37,8 @@ def latest_by_key(
     ``within`` names columns that are a function of the key; the rows may already
     be placed by them, and then this adds no shuffle.
     """
-    rest = [c for c in df.columns if c not in {*keys, sequence, *ties, "silver_timestamp"}]
+    decided = {*keys, *(within or []), sequence, *ties, "silver_timestamp"}
+    rest = [c for c in df.columns if c not in decided]
     order = [F.desc(c) for c in [sequence, *ties]] + [F.desc(F.xxhash64(*rest)) if rest else F.lit(0)]
     newest = Window.partitionBy(*(within or []), *keys).orderBy(*order)
     return (

@@ -69,12 +69,18 @@ class Lake:
         df.write.mode("overwrite").parquet(self.path(name))
         return self.read(name)
 
-    def refresh_gold(self, visits: DataFrame, raw_doctors: DataFrame) -> None:
+    def refresh_gold(
+        self, visits: DataFrame, raw_doctors: DataFrame, unique_doctors: bool = False
+    ) -> None:
         """The doctors and all gold tables, from the current visits and the doctors as they come.
 
-        Always over whole tables: row filters are for readers of the result.
+        Always over whole tables: row filters are for readers of the result.  With
+        ``unique_doctors`` a doctor given twice stops the job; else its visits double.
         """
-        doctors = self.write("doctors", silver_doctors(raw_doctors))
+        doctors = silver_doctors(raw_doctors)
+        if unique_doctors:
+            doctors = merge.one_row_per_key(doctors, "doctor_id")
+        doctors = self.write("doctors", doctors)
         gold = assert_no_personal_columns(enrich_visits(visits, doctors))
         gold = self.write("visits_enriched", gold)
         for name in rollups.ROLLUPS:

@@ -526,4 +526,10 @@ ORACLES: dict[str, str] = {
       FROM by_hour GROUP BY weekday_num, admission_hour""",
     "bi_doctor_board": f"""WITH {ROLLED} SELECT doctor_first_name, doctor_last_name, subspecialty, avg_wait_time,
         avg_satisfaction, admission_rate_pct, years_of_experience FROM performance""",
+    **{
+        f"bi_wait_{name.lower().replace(' ', '_')}": f"""WITH {GOLD}
+      SELECT admission_month::varchar AS admission_month, wait_time FROM gold WHERE department = '{name}'"""
+        for name in ("Cardiology", "Emergency Medicine", "Neurology", "Physiotherapy",
+                     "Gastroenterology", "General Practice", "Orthopedics")
+    },
 }

@@ -523,6 +523,19 @@ def bi_department_wait_avg(spark, sf_dir):
     return reports.department_wait_average(landed.gold(spark, sf_dir), reports.CHART_DEPARTMENTS)
 
 
+def _chart_query(department: str) -> None:
+    def build(spark, sf_dir):
+        chart = reports.department_wait(landed.gold(spark, sf_dir), [department])
+        return chart.select("admission_month", "wait_time")
+
+    build.__name__ = f"bi_wait_{department.lower().replace(' ', '_')}"
+    query(build)
+
+
+for _department in reports.CHART_DEPARTMENTS:
+    _chart_query(_department)
+
+
 @query
 def bi_visits_per_month(spark, sf_dir):
     return reports.visits_per_month(landed.rollup(spark, sf_dir, "department_monthly_stats"))

@@ -21,6 +21,32 @@ def stream_table(
     return reader.parquet(path)
 
 
+def register_table(
+    spark: SparkSession,
+    name: str,
+    path: str,
+    schema: str,
+    comment: str = "",
+    properties: dict[str, str] | None = None,
+    partitioned_by: list[str] | None = None,
+) -> DataFrame:
+    """Give stored parquet files a table name, declared schema, comment and properties."""
+
+    def quoted(text: str) -> str:
+        return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+    listed = ", ".join(f"{quoted(k)} = {quoted(v)}" for k, v in (properties or {}).items())
+    spark.sql(
+        f"CREATE TABLE IF NOT EXISTS {name} ({schema}) USING parquet "
+        + (f"PARTITIONED BY ({', '.join(partitioned_by)}) " if partitioned_by else "")
+        + f"LOCATION {quoted(path)} COMMENT {quoted(comment)}"
+        + (f" TBLPROPERTIES ({listed})" if listed else "")
+    )
+    if partitioned_by:
+        spark.sql(f"MSCK REPAIR TABLE {name}")
+    return spark.table(name)
+
+
 def read_jdbc_table(
     spark: SparkSession,
     url: str,

@@ -47,10 +47,16 @@ class CurrentVisits:
     partitions replace those of the table.  A note says in between that the staging
     table is complete: after a crash the next run first replaces the partitions from
     it again, then merges its batch.  Merging a batch twice changes nothing.
+
+    ``slices`` sets how finely a batch can pick what to rewrite and stays with the
+    table.  ``spread`` sets how many tasks (and files) share one partition and may
+    change: choose it so that the share of the largest partition, often that of the
+    undated visits, fits a task.
     """
 
-    def __init__(self, spark: SparkSession, path: str, slices: int = 64):
-        self.spark, self.path, self.slices = spark, path.rstrip("/"), slices
+    def __init__(self, spark: SparkSession, path: str, slices: int = 64, spread: int = 1):
+        self.spark, self.path = spark, path.rstrip("/")
+        self.slices, self.spread = slices, spread
         self.staging, self.note = f"{self.path}_staging", f"{self.path}_staged"
         self.quarantine = f"{self.path}_quarantine"
 
@@ -71,13 +77,15 @@ class CurrentVisits:
         self._publish()
 
     def _merge(self, batch: DataFrame) -> DataFrame:
-        """New content of the touched partitions, one task for each."""
+        """New content of the touched partitions, each in ``spread`` tasks."""
         placed = latest_by_key(batch).withColumns(place_columns(self.slices))
         current = _read_or_none(self.spark, self.path, STORED)
         if current is not None:
             old = self._partitions_of(current, batch)
             placed = placed.unionByName(old.select(*placed.columns))
-        return latest_by_key(placed.repartition(*PLACE), within=PLACE)
+        share = F.pmod(F.hash("visit_id"), F.lit(self.spread))
+        shared = placed.withColumn("_share", share).repartition(*PLACE, "_share")
+        return latest_by_key(shared, within=[*PLACE, "_share"]).drop("_share")
 
     def _partitions_of(self, current: DataFrame, batch: DataFrame) -> DataFrame:
         """The rows of the current table in partitions that the batch has rows for.
@@ -117,17 +125,23 @@ class CurrentVisits:
 
 
 def visits_upsert(
-    bronze: DataFrame, table: CurrentVisits, checkpoint: str, metrics: str = "visit_rules"
+    bronze: DataFrame,
+    table: CurrentVisits,
+    checkpoint: str,
+    metrics: str = "visit_rules",
+    every: str | None = None,
 ) -> StreamingQuery:
     """Start cleaning a bronze stream and keeping the table current with it.
 
-    Rule failures are counted per batch under ``metrics`` in the query's progress.
+    It stops when all that is there has been read, or with ``every`` (such as
+    ``"1 minute"``) looks for more at that interval.  Rule failures are counted per
+    batch under ``metrics`` in the query's progress.
     """
     visits = enforce_schema(clean_visits(bronze), SILVER_VISITS)
     return (
         expect(visits, VISIT_RULES, metrics)
         .writeStream.foreachBatch(table.apply)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**({"processingTime": every} if every else {"availableNow": True}))
         .start()
     )

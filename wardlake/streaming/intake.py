@@ -43,12 +43,12 @@ def _land_json(bronze_path: str, checkpoint: str) -> Callable[[DataFrame, int],
 
 
 def _start(
-    lines: DataFrame, land: Callable[[DataFrame, int], None], checkpoint: str
+    lines: DataFrame, land: Callable[[DataFrame, int], None], checkpoint: str, every: str | None
 ) -> StreamingQuery:
     return (
         lines.writeStream.foreachBatch(land)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**({"processingTime": every} if every else {"availableNow": True}))
         .start()
     )
 
@@ -59,14 +59,16 @@ def csv_to_bronze(
     bronze_path: str,
     checkpoint: str,
     files_per_batch: int | None = None,
+    every: str | None = None,
 ) -> StreamingQuery:
     """Start reading the CSV files not yet read into bronze.
 
     The checkpoint holds the files done: the same one resumes, a folder of a new name
-    reads all again (the upsert by key removes what is then read twice).
+    reads all again (the upsert by key removes what is then read twice).  The run ends
+    when all files there have been read, or with ``every`` looks for more at that interval.
     """
     land = _land_csv(bronze_path, checkpoint)
-    return _start(stream_lines(spark, source, files_per_batch), land, checkpoint)
+    return _start(stream_lines(spark, source, files_per_batch), land, checkpoint, every)
 
 
 def json_lines_to_bronze(
@@ -75,13 +77,14 @@ def json_lines_to_bronze(
     bronze_path: str,
     checkpoint: str,
     files_per_batch: int | None = None,
+    every: str | None = None,
 ) -> StreamingQuery:
     """Start reading newline-delimited JSON files; bad lines go to ``<bronze>_rejects``."""
     reader = spark.readStream
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     land = _land_json(bronze_path, checkpoint)
-    return _start(reader.text(source), land, checkpoint)
+    return _start(reader.text(source), land, checkpoint, every)
 
 
 def run_for(query: StreamingQuery, seconds: int = MAX_RUN_SECONDS) -> bool:
