@@ -143,6 +143,19 @@ def test_fewer_documents_than_k_and_none(spark):
     assert retrieval.top_k(questions.limit(0), two).collect() == []
 
 
+@pytest.mark.parametrize("broadcast_questions", [10, 1])
+def test_retrieve_gives_texts_in_rank_order(spark, broadcast_questions):
+    embedder = retrieval.hashed_words()
+    texts = [("d1", "wait in cardiology"), ("d2", "wait in neurology"), ("d3", "doctors"), ("d4", None)]
+    documents = spark.createDataFrame(texts, "doc_id STRING, text STRING").withColumn("vector", embedder(F.col("text")))
+    asked = spark.createDataFrame(
+        [("q1", "Cardiology: wait?"), ("q2", "neurology"), ("q3", "doctors")], "question_id STRING, question STRING"
+    )
+    rows = retrieval.retrieve(asked, documents, embedder, 2, broadcast_questions).collect()
+    first = {r.question_id: (r.doc_id, r.text) for r in rows if r.rank == 1}
+    assert first == {"q1": texts[0], "q2": texts[1], "q3": texts[2]} and len(rows) == 6
+
+
 def test_context_and_prompt(spark):
     found = spark.createDataFrame(
         [("q1", 2, "d2", "two", 0.1), ("q1", 1, "d1", "one", 0.2)],

@@ -153,23 +153,14 @@ def _grid(
     return cells.applyInPandas(score, schema)
 
 
-def top_k(
+def _nearest(
     questions: DataFrame,
     documents: DataFrame,
-    k: int = TOP_K,
+    k: int,
     broadcast_questions: int = BROADCAST_QUESTIONS,
     cell: tuple[int, int] = GRID_CELL,
-) -> DataFrame:
-    """``question_id, rank, doc_id, score``: the ``k`` documents nearest to each question.
-
-    Exact cosine over all documents, in blocks that are one matrix product each;
-    scores never leave a block but for its best ``k`` per question.  ``questions``
-    has ``question_id, vector``, ``documents`` has ``doc_id, vector``; both ids are
-    unique and rows without a vector are left out.
-
-    Up to ``broadcast_questions`` questions, and ``BROADCAST_BYTES`` of them, are sent
-    to all tasks and the documents are read in place.  More are laid out as a grid.
-    """
+) -> tuple[DataFrame, bool]:
+    """The result of ``top_k``, and whether it is known to be small."""
     schema = (
         f"question_id {questions.schema['question_id'].dataType.simpleString()}, "
         f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, score double"
@@ -178,30 +169,54 @@ def top_k(
     questions = questions.where("vector IS NOT NULL").select("question_id", as_floats)
     documents = documents.where("vector IS NOT NULL").select("doc_id", as_floats)
     first = questions.limit(broadcast_questions + 1).toPandas()
+    few = len(first) <= broadcast_questions and first["vector"].map(len).sum() * 4 <= BROADCAST_BYTES
     if first.empty:
         scored = documents.sparkSession.createDataFrame([], schema)
-    elif len(first) <= broadcast_questions and first["vector"].map(len).sum() * 4 <= BROADCAST_BYTES:
+    elif few:
         scored = _scan(documents, first, k, schema)
     else:
         scored = _grid(documents, questions, k, schema, cell)
     nearest = Window.partitionBy("question_id").orderBy(F.desc("score"), "doc_id")
-    return (
-        scored.withColumn("rank", F.row_number().over(nearest))
-        .where(F.col("rank") <= k)
-        .select("question_id", "rank", "doc_id", "score")
-    )
+    ranked = scored.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k)
+    return ranked.select("question_id", "rank", "doc_id", "score"), few
+
+
+def top_k(
+    questions: DataFrame,
+    documents: DataFrame,
+    k: int = TOP_K,
+    broadcast_questions: int = BROADCAST_QUESTIONS,
+    cell: tuple[int, int] = GRID_CELL,
+) -> DataFrame:
+    """``question_id, rank, doc_id, score``: the ``k`` documents nearest to each question.
+
+    Exact cosine over all documents, in blocks that are one matrix product each;
+    scores never leave a block but for its best ``k`` per question.  ``questions``
+    has ``question_id, vector``, ``documents`` has ``doc_id, vector``; both ids are
+    unique and rows without a vector are left out.
+
+    Up to ``broadcast_questions`` questions, and ``BROADCAST_BYTES`` of them, are sent
+    to all tasks and the documents are read in place.  More are laid out as a grid.
+    """
+    return _nearest(questions, documents, k, broadcast_questions, cell)[0]
 
 
 def retrieve(
-    questions: DataFrame, documents: DataFrame, embedder: Embedder, k: int = TOP_K
+    questions: DataFrame,
+    documents: DataFrame,
+    embedder: Embedder,
+    k: int = TOP_K,
+    broadcast_questions: int = BROADCAST_QUESTIONS,
 ) -> DataFrame:
     """Top documents for question texts: ``question_id, rank, doc_id, text, score``.
 
     ``questions`` has ``question_id, question``; ``documents`` has ``doc_id, text, vector``.
+    What few questions find is ``k`` rows each and goes to the texts, not the texts to it.
     """
     asked = questions.select("question_id", embedder(F.col("question")).alias("vector"))
-    found = top_k(asked, documents.select("doc_id", "vector"), k)
-    return found.join(documents.select("doc_id", "text"), "doc_id").select(
+    found, few = _nearest(asked, documents.select("doc_id", "vector"), k, broadcast_questions)
+    texts = documents.select("doc_id", "text")
+    return texts.join(F.broadcast(found) if few else found, "doc_id").select(
         "question_id", "rank", "doc_id", "text", "score"
     )
 

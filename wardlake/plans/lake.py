@@ -101,7 +101,10 @@ class Lake:
         self.write(f"corpus/version={version}", merge.merged(classified))
         feed = self.read(f"corpus_changes/version={version}")
         if embedder is not None:
-            embedded = embed_changes(feed, embedder)
+            # Written first: each text is embedded once, and the join knows the size.
+            embedded = self.write(
+                f"corpus_vector_changes/version={version}", embed_changes(feed, embedder)
+            )
             vectors = refresh_vectors(self.vectors(version - 1), embedded)
             self.write(f"corpus_vectors/version={version}", vectors)
         return feed

@@ -51,6 +51,13 @@ def with_replay(
 
     A state is saved every ``interval`` rows and a resume goes ``overlap`` rows back.
     ``resent`` gives columns their value on the second sending (such as the arrival time).
+    The rows are read once.
     """
-    again = rows.where(F.pmod(F.col(row_number) - 1, F.lit(interval)) >= interval - overlap)
-    return rows.unionByName(again.withColumns(resent or {}))
+    saved = F.pmod(F.col(row_number) - 1, F.lit(interval)) >= interval - overlap
+    times = F.when(saved, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
+    sent = rows.withColumn("_again", F.explode(times))
+    changed = {
+        name: F.when(F.col("_again"), value).otherwise(F.col(name))
+        for name, value in (resent or {}).items()
+    }
+    return sent.withColumns(changed).drop("_again")
