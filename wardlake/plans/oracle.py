@@ -399,6 +399,13 @@ ORACLES: dict[str, str] = {
         CASE WHEN json_valid(value) THEN 'accepted' ELSE 'rejected' END AS status,
         CASE WHEN json_valid(value) THEN json_extract_string(value, '$.doctor_id') END AS doctor_id
       FROM faulty WHERE value <> ''""",
+    "ndjson_stream_to_bronze": f"""WITH {LINES}, faulty AS (
+        SELECT row, CASE WHEN (row - 1) % 101 = 0 THEN '' WHEN (row - 1) % 103 = 0
+          THEN substr(value, 1, 40) ELSE value END AS value FROM lines)
+      SELECT CASE WHEN json_valid(value) THEN 'accepted' ELSE 'rejected' END AS status,
+        CASE WHEN json_valid(value) THEN row END AS row,
+        CASE WHEN NOT json_valid(value) THEN value END AS line
+      FROM faulty WHERE value <> ''""",
     "overlap_replay": f"WITH {CELLS} SELECT row, {stamp('arrived')} AS timestamp_bronze FROM sent",
     "csv_batch_envelopes": _cells,
     "csv_row_numbers": """SELECT count(*) AS n_rows, count(*) AS n_places, 0::bigint AS n_gaps FROM events""",
@@ -461,6 +468,7 @@ ORACLES: dict[str, str] = {
     "corpus_dept": f"WITH {ROLLED} {department_docs('monthly')}",
     "corpus_doctor": f"WITH {ROLLED} {doctor_docs('performance')}",
     "corpus_union": f"WITH {DOCS} SELECT * FROM docs",
+    "lake_corpus": f"WITH {DOCS} SELECT doc_id, text, department, period, doc_type FROM docs",
     "corpus_changes": f"WITH {EARLIER} SELECT doc_id, op, text, department, period, doc_type FROM feed WHERE op <> 'unchanged'",
     "corpus_operations": f"WITH {EARLIER} SELECT op, count(*) AS documents FROM feed GROUP BY op",
     "corpus_merged": f"WITH {EARLIER} SELECT doc_id, text, department, period, doc_type FROM docs",

@@ -13,6 +13,7 @@ from wardlake.operators.doctors import clean_doctors
 from wardlake.operators.enrich import enrich_visits
 from wardlake.operators.patients import PAYLOAD_KEYS, clean_visits, drop_markers, payload_texts
 from wardlake.plans import landed, testdata
+from wardlake.plans.lake import Lake
 from wardlake.plans.oracle import ORACLES
 from wardlake.session import scratch_dir, use_core_conf
 from wardlake.sources import csv_rows
@@ -141,6 +142,26 @@ def csv_reset(spark, sf_dir):
     return _cells_of(intake.read_bronze(spark, f"{root}/bronze"))
 
 
+@query
+def ndjson_stream_to_bronze(spark, sf_dir):
+    """Lines from files; those that are no JSON end up among the rejects."""
+    root = scratch_dir(spark, "intake")
+    testdata.faulty_lines(spark, sf_dir).select("value").write.text(f"{root}/lines")
+    stream = intake.json_lines_to_bronze(
+        spark, f"{root}/lines", f"{root}/bronze", f"{root}/checkpoints/first"
+    )
+    stream.awaitTermination()
+    landed_rows = intake.read_bronze(spark, f"{root}/bronze").select(
+        F.lit("accepted").alias("status"),
+        F.try_variant_get("payload", "$.row", "int").alias("row"),
+        F.lit(None).cast("string").alias("line"),
+    )
+    rejects = spark.read.schema("value STRING").parquet(f"{root}/bronze_rejects").select(
+        F.lit("rejected").alias("status"), F.lit(None).cast("int").alias("row"), F.col("value").alias("line")
+    )
+    return landed_rows.unionByName(rejects)
+
+
 @query
 def jdbc_style_doctor_scan(spark, sf_dir):
     return testdata.doctors_raw(spark, sf_dir)
@@ -411,6 +432,15 @@ def corpus_apply(spark, sf_dir):
     return merge.apply_changes(landed.earlier_docs(spark, sf_dir), feed)
 
 
+@query
+def lake_corpus(spark, sf_dir):
+    """Gold tables and corpus written out by a refresh, and the corpus read back."""
+    lake = Lake(spark, scratch_dir(spark, "lake"))
+    lake.refresh_gold(landed.visits(spark, sf_dir), testdata.doctors_raw(spark, sf_dir))
+    lake.refresh_corpus(version=1)
+    return lake.corpus(1)
+
+
 def _weights(vectors: DataFrame, *keep: str) -> DataFrame:
     """The slots of a vector that hold something, one row each."""
     slots = vectors.select(*keep, F.posexplode("vector").alias("slot", "x")).where("x <> 0")
@@ -476,7 +506,8 @@ def document_retrieval(spark, sf_dir):
     questions = testdata.table(spark, sf_dir, "benchmark").select(
         F.col("item_id").alias("question_id"), embedder(F.col("text")).alias("vector")
     )
-    documents = testdata.table(spark, sf_dir, "documents").select(
+    table = testdata.spread(testdata.table(spark, sf_dir, "documents"), "doc_id")
+    documents = table.select(
         "doc_id", embedder(F.col("text")).alias("vector")
     )
     return retrieval.top_k(questions, documents)

@@ -21,10 +21,20 @@ ADMISSION_FORMS = [
 ]
 
 
+# A small table is dealt out to this many partitions at most.
+MOST_SPREAD = 16
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return use_core_conf(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Deal a small table out to the cores; one with as many partitions stays as it is."""
+    cores = min(df.sparkSession.sparkContext.defaultParallelism, MOST_SPREAD)
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 def _pick(number: Column, *choices: str | Column) -> Column:
     """The choice at ``number`` modulo the number of choices."""
     chain = F
@@ -43,7 +53,7 @@ def visit_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     def every(n: int) -> Column:
         return event % n == 0
 
-    return table(spark, sf_dir, "events").select(
+    return spread(table(spark, sf_dir, "events"), "event_id").select(
         F.when(every(97), "N/A").otherwise(F.concat(F.lit("P"), user)).alias("patient_id"),
         _pick(event, *[F.date_format(t, f) for f in ADMISSION_FORMS], "not-a-date").alias(
             "patient_admission_date"
