@@ -198,3 +198,20 @@ def test_doctors_are_broadcast_and_visits_stay_in_place(spark, capsys):
     enrich_visits(landed.visits(spark, sf_dir), landed.doctors(spark, sf_dir)).explain("formatted")
     plan = capsys.readouterr().out
     assert "BroadcastHashJoin LeftOuter BuildRight" in plan and "hashpartitioning" not in plan
+
+
+def test_workers_need_no_copy_of_the_package(tmp_path):
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    (tmp_path / "f.pkl").write_bytes(cloudpickle.dumps(retrieval._best))
+    code = (
+        "import pickle, numpy as np, pandas as pd\n"
+        "best = pickle.load(open('f.pkl', 'rb'))\n"
+        "docs = pd.DataFrame({'doc_id': ['a', 'b'], 'vector': [[1.0, 0.0], [0.0, 1.0]]})\n"
+        "print(best(np.array(['q']), np.array([[0.0, 1.0]]), docs, 1)['doc_id'][0])"
+    )
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=60)
+    assert done.stdout.strip() == "b", done.stderr

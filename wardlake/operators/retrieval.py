@@ -3,14 +3,20 @@
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
+# Python workers get the functions of this module with the job, so that they need no
+# copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # How many documents answer a question, and the instruction given with them.
 TOP_K = 6
 SYSTEM_PROMPT = (
