@@ -4,6 +4,7 @@ import pytest
 
 import __spark_entry__ as entry
 import check_oracles
+from wardlake.plans import registry
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -14,10 +15,10 @@ def con():
 
 
 def test_every_query_has_a_statement():
-    assert set(entry.oracle_sql()) == set(entry.queries())
+    assert set(registry.oracles()) == set(registry.QUERIES)
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(registry.QUERIES))
 def test_query(spark, con, name):
     equal, note = check_oracles.compare(spark, con, name, SF_DIR)
     assert equal, note
