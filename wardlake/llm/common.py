@@ -10,9 +10,10 @@ from wardlake.session import scratch_dir
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Hand texts to Python in batches of ``rows`` at most: one batch is all a worker holds."""
+def small_batches(spark: SparkSession, rows: int = 256, most_bytes: int = 16 << 20) -> None:
+    """Hand rows to Python in batches of ``rows`` and ``most_bytes`` at most: one batch is all a worker holds."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most_bytes))
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardlake.llm import contamination, language, packing, secret_scan, urls
+from wardlake.llm import contamination, language, packing, secret_scan, simhash, token_counts, urls
 from wardlake.llm.common import in_fold, joined_spans, sha256_hex, small_batches, stored, table
 
 
@@ -27,6 +27,12 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    counted = token_counts.token_counts(docs, tokenizer(token_counts.TOKENIZER))
+    return counted.withColumn("over_limit", F.col("n_tokens") > token_counts.LIMIT)
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = secret_scan.with_secrets(docs, secret_scan.learned(docs))
@@ -43,6 +49,11 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return simhash.grouped(docs).select("doc_id", simhash.hex_of(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     read = contamination.with_hits(docs, table(spark, sf_dir, "benchmark"))
@@ -78,5 +89,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(docs, tokenizer(packing.TOKENIZER))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op3_secret_scan, op6_decontamination, op8_url_filter, op10_packing)}
+QUERIES = {f.__name__: f for f in (
+    op1_language_id, op2_token_counts, op3_secret_scan, op4_simhash, op6_decontamination, op8_url_filter, op10_packing,
+)}
 ORACLES: dict[str, str] = {}
