@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardlake.llm import contamination, language, packing, secret_scan, simhash, token_counts, urls
+from wardlake.llm import contamination, language, packing, pii, secret_scan, simhash, suffix_tree_lm, token_counts, urls
 from wardlake.llm.common import in_fold, joined_spans, sha256_hex, small_batches, stored, table
 
 
@@ -54,6 +54,20 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.grouped(docs).select("doc_id", simhash.hex_of(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.found_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+    def n_of(kind: str) -> Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id",
+        *[n_of(kind) for kind in pii.KINDS],
+        sha256_hex(joined_spans(F.col("base"))).alias("base_sha256"),
+        joined_spans(F.concat("base", "added")).alias("spans"),
+    )
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     read = contamination.with_hits(docs, table(spark, sf_dir, "benchmark"))
@@ -69,6 +83,10 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree_lm.scored(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 # The rules of the contract, in order: host, path, verdict.
 URL_RULES = [
     ("com", "/", "allow"),
@@ -90,6 +108,6 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_language_id, op2_token_counts, op3_secret_scan, op4_simhash, op6_decontamination, op8_url_filter, op10_packing,
+    op1_language_id, op2_token_counts, op3_secret_scan, op4_simhash, op5_personal_data, op6_decontamination, op7_suffix_tree, op8_url_filter, op10_packing,
 )}
 ORACLES: dict[str, str] = {}
