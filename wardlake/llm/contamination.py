@@ -17,7 +17,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from wardlake.llm.common import small_batches, stored
+from wardlake.llm.common import small_batches, stored, unused
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -273,8 +273,9 @@ def with_hits(
         if k == 1:
             out = out.withColumn(into, report)
         else:  # a step of its own for each further block: one automaton per worker
-            out = stored(out, "contamination").withColumn("_more", report)
-            out = out.withColumn(into, merged_reports(F.col(into), F.col("_more"))).drop("_more")
+            more = unused(out, "more")
+            out = stored(out, "contamination").withColumn(more, report)
+            out = out.withColumn(into, merged_reports(F.col(into), F.col(more))).drop(more)
     if not k:
         empty = spark.sparkContext.broadcast(SuffixAutomaton([], window))
         out = out.withColumn(into, _report(empty)(F.col(text)))
@@ -295,9 +296,10 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", cu
 
     Rows below the coverage limit stay as they are.
     """
-    read = with_hits(docs, benchmark, text, "_report").withColumn("_bad", is_contaminated(F.col("_report")))
+    report, bad = unused(docs, "report"), unused(docs, "bad")
+    read = with_hits(docs, benchmark, text, report).withColumn(bad, is_contaminated(F.col(report)))
     if not cut_spans:
-        return read.where(~F.col("_bad")).drop("_report", "_bad")
+        return read.where(~F.col(bad)).select(docs.columns)
 
     def cut(texts: pa.Array, hits: pa.Array) -> pa.Array:
         return pa.array(
@@ -307,5 +309,5 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", cu
         )
 
     cut.__annotations__ = {"texts": pa.Array, "hits": pa.Array, "return": pa.Array}
-    over = F.when(F.col("_bad"), F.col("_report")["hits"])
-    return read.withColumn(text, F.arrow_udf(cut, "string")(F.col(text), over)).drop("_report", "_bad")
+    over = F.when(F.col(bad), F.col(report)["hits"])
+    return read.withColumn(text, F.arrow_udf(cut, "string")(F.col(text), over)).select(docs.columns)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardlake.llm import contamination, language, packing, pii, secret_scan, simhash, suffix_tree_lm, token_counts, urls
+from wardlake.llm import contamination, language, neighbours, packing, pii, secret_scan, simhash, suffix_tree_lm, token_counts, urls
 from wardlake.llm.common import in_fold, joined_spans, sha256_hex, small_batches, stored, table
 
 
@@ -102,12 +102,17 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judged_urls(pages, urls.rules_table(spark, URL_RULES))
 
 
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return neighbours.nearest(vectors, F.col("vec_id") % 100 == 0)
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return packing.packed(docs, tokenizer(packing.TOKENIZER))
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_language_id, op2_token_counts, op3_secret_scan, op4_simhash, op5_personal_data, op6_decontamination, op7_suffix_tree, op8_url_filter, op10_packing,
+    op1_language_id, op2_token_counts, op3_secret_scan, op4_simhash, op5_personal_data, op6_decontamination, op7_suffix_tree, op8_url_filter, op9_nearest, op10_packing,
 )}
 ORACLES: dict[str, str] = {}

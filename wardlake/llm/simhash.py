@@ -19,7 +19,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wardlake.llm.common import small_batches, stored
+from wardlake.llm.common import small_batches, stored, unused
 from wardlake.llm.components import components
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -154,9 +154,10 @@ def deduplicated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     Of rows that repeat that id one stays.  Rows with a null id cannot be told apart: they all stay.
     """
     found = grouped(docs, text, doc_id)
-    keep = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_n"))
-    kept = docs.join(keep.select(F.col("doc_id").alias(doc_id), "_n"), doc_id)
-    once = kept.where("_n = 1").drop("_n").select(docs.columns)
+    n = unused(docs, "n_rows")
+    keep = found.where("doc_id = component_id").groupBy(F.col("doc_id").alias(doc_id)).agg(F.count("*").alias(n))
+    kept = docs.join(keep, doc_id)
+    once = kept.where(F.col(n) == 1).select(docs.columns)
     # Only ids that repeat need their rows brought together.
-    again = kept.where("_n > 1").drop("_n").select(docs.columns).dropDuplicates([doc_id])
+    again = kept.where(F.col(n) > 1).select(docs.columns).dropDuplicates([doc_id])
     return once.unionByName(again).unionByName(docs.where(F.col(doc_id).isNull()))
