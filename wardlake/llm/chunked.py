@@ -24,26 +24,46 @@ from wardlake.llm.common import small_batches, stored
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # A chunk ends after the document with which it has so many characters, distinct words or documents.
-CHUNK_CHARS, CHUNK_WORDS, CHUNK_DOCUMENTS = 24_000_000, 350_000, 20_000
+CHUNK_CHARS, CHUNK_WORDS, CHUNK_DOCUMENTS = 20_000_000, 300_000, 20_000
 CHUNKS_PER_PARTITION = 1 << 14
 ENTRY_BITS = 28
 
 
-def packed_numbers(values) -> bytes:
-    """Unsigned 32-bit numbers, compressed byte plane by byte plane."""
-    planes = np.asarray(values, dtype="<u4").view(np.uint8).reshape(-1, 4).T
-    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+def _squeezed(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(data)
 
 
-def unpacked_numbers(data: bytes) -> np.ndarray:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8)
-    return np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+def _whole(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
+def packed_numbers(values, kind: str = "<u4") -> bytes:
+    """Numbers, compressed byte plane by byte plane."""
+    flat = np.ascontiguousarray(values, dtype=kind)
+    return _squeezed(flat.view(np.uint8).reshape(-1, flat.itemsize).T.tobytes())
+
+
+def unpacked_numbers(data: bytes, kind: str = "<u4") -> np.ndarray:
+    planes = np.frombuffer(_whole(data), dtype=np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
+def packed_words(words: list[str]) -> tuple[bytes, bytes]:
+    """Words as one text of bytes and the length of each."""
+    raw = [word.encode("utf-8", "surrogatepass") for word in words]
+    return _squeezed(b"".join(raw)), packed_numbers([len(word) for word in raw])
+
+
+def unpacked_words(data: bytes, lengths: bytes) -> pa.Array:
+    ends = np.cumsum(unpacked_numbers(lengths), dtype=np.int32)
+    offsets = np.concatenate([np.zeros(1, dtype=np.int32), ends])
+    return pa.StringArray.from_buffers(len(ends), pa.py_buffer(offsets), pa.py_buffer(_whole(data)))
 
 
 class Chunk:
     def __init__(self, extra: list[str]):
         self.words: dict[str, int] = {}
-        self.weights: list[int] = []
+        self.weights = np.zeros(0, dtype=np.int64)
         self.ids: list = []
         self.sizes: list[int] = []
         self.gaps: list[np.ndarray] = []
@@ -56,17 +76,17 @@ class Chunk:
         for word in counted:
             if word not in words:
                 words[word] = len(words)
-        places = np.array([words[word] for word in counted], dtype=np.int64)
-        times = np.array(list(counted.values()), dtype=np.int64)
+        places = np.fromiter((words[word] for word in counted), dtype=np.uint32, count=len(counted))
+        times = np.fromiter(counted.values(), dtype=np.uint32, count=len(counted))
         order = np.argsort(places)
         places, times = places[order], times[order]
-        self.weights.extend([0] * (len(words) - len(self.weights)))
         if weight:
-            for place, n in zip(places.tolist(), times.tolist()):
-                self.weights[place] += n * weight
+            if len(self.weights) < len(words):
+                self.weights = np.concatenate([self.weights, np.zeros(len(words) - len(self.weights) + 50_000, dtype=np.int64)])
+            self.weights[places] += times.astype(np.int64) * weight
         self.ids.append(doc_id)
         self.sizes.append(len(places))
-        self.gaps.append(np.diff(places, prepend=0))
+        self.gaps.append(np.diff(places, prepend=np.uint32(0)))
         self.times.append(times)
         for name, value in extra.items():
             self.extra[name].append(value)
@@ -76,20 +96,27 @@ class Chunk:
         return self.chars >= CHUNK_CHARS or len(self.words) >= CHUNK_WORDS or len(self.ids) >= CHUNK_DOCUMENTS
 
     def row(self, number: int, schema: pa.Schema) -> pa.RecordBatch:
-        gaps = np.concatenate([*self.gaps, np.empty(0, dtype=np.int64)])
-        times = np.concatenate([*self.times, np.empty(0, dtype=np.int64)])
+        nothing = np.empty(0, dtype=np.uint32)
+        weights = np.zeros(len(self.words), dtype=np.int64)
+        weights[: len(self.weights)] = self.weights[: len(self.words)]
+        words, word_lengths = packed_words(list(self.words))
         columns = {
-            "chunk": number, "words": list(self.words), "weights": self.weights, "doc_ids": self.ids,
-            "sizes": packed_numbers(self.sizes), "gaps": packed_numbers(gaps), "times": packed_numbers(times), **self.extra,
+            "chunk": number, "words": words, "word_lengths": word_lengths, "weights": packed_numbers(weights, "<i8"),
+            "doc_ids": self.ids, "sizes": packed_numbers(self.sizes),
+            "gaps": packed_numbers(np.concatenate([*self.gaps, nothing])),
+            "times": packed_numbers(np.concatenate([*self.times, nothing])), **self.extra,
         }
-        return pa.RecordBatch.from_pylist([columns], schema=schema)
+        return pa.RecordBatch.from_arrays([pa.array([columns[f.name]], f.type) for f in schema], schema=schema)
+
+
+KINDS = {"bigint": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}
+PACKED = ("words", "word_lengths", "weights", "sizes", "gaps", "times")
+# Rows that go from a task to Spark together.
+SLICE = 20_000
 
 
 def chunked(
-    docs: DataFrame,
-    cutter: Callable[[], Callable[[str | None], tuple[list[str], dict]]],
-    extra: dict[str, str],
-    weighted: bool = False,
+    docs: DataFrame, cutter: Callable[[], Callable[[str | None], tuple[list[str], dict]]], extra: dict[str, str]
 ) -> DataFrame:
     """The chunks of ``docs(doc_id, text, weight)``, written and read again.
 
@@ -97,15 +124,12 @@ def chunked(
     values, a name and a type each.  Words of a document count ``weight`` times each in ``weights``.
     """
     small_batches(docs.sparkSession)
-    kinds = {"bigint": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}
     schema = pa.schema(
-        [("chunk", pa.int64()), ("words", pa.list_(pa.string())), ("weights", pa.list_(pa.int64())), ("doc_ids", pa.list_(pa.int64())),
-         ("sizes", pa.binary()), ("gaps", pa.binary()), ("times", pa.binary())]
-        + [(name, pa.list_(kinds[kind])) for name, kind in extra.items()]
+        [("chunk", pa.int64()), ("doc_ids", pa.list_(pa.int64())), *((name, pa.binary()) for name in PACKED)]
+        + [(name, pa.list_(KINDS[kind])) for name, kind in extra.items()]
     )
-    spark_schema = (
-        "chunk bigint, words array<string>, weights array<bigint>, doc_ids array<bigint>, sizes binary, gaps binary, times binary"
-        + "".join(f", {name} array<{kind}>" for name, kind in extra.items())
+    spark_schema = ", ".join(
+        ["chunk bigint", "doc_ids array<bigint>", *(f"{name} binary" for name in PACKED), *(f"{n} array<{k}>" for n, k in extra.items())]
     )
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,14 +150,56 @@ def chunked(
     return stored(docs.select("doc_id", "text", "weight").mapInArrow(fill, spark_schema), "chunks")
 
 
-def entries(chunks: DataFrame, *more: str) -> DataFrame:
-    """One row per chunk and word: ``word, ref``, and with ``weight`` the word's count in the chunk."""
-    ref = F.call_function("shiftleft", F.col("chunk"), F.lit(ENTRY_BITS)).bitwiseOR(F.col("at").cast("bigint"))
-    if "weight" in more:
-        both = F.arrays_zip(F.col("words").alias("word"), F.col("weights").alias("weight"))
-        rows = chunks.select("chunk", F.posexplode(both).alias("at", "w"))
-        return rows.select(F.col("w.word").alias("word"), ref.alias("ref"), F.col("w.weight").alias("weight"))
-    return chunks.select("chunk", F.posexplode("words").alias("at", "word")).select("word", ref.alias("ref"))
+def entries(chunks: DataFrame, weighted: bool = False) -> DataFrame:
+    """One row per chunk and word: ``word, ref``, or ``word, weight`` with the word's count in the chunk."""
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                words = unpacked_words(row["words"], row["word_lengths"])
+                if weighted:
+                    second = pa.array(unpacked_numbers(row["weights"], "<i8"))
+                else:
+                    second = pa.array((row["chunk"] << ENTRY_BITS) + np.arange(len(words), dtype=np.int64))
+                every = pa.RecordBatch.from_arrays([words, second], names=["word", "weight" if weighted else "ref"])
+                for at in range(0, len(words), SLICE):
+                    yield every.slice(at, SLICE)
+
+    columns = ["chunk", "words", "word_lengths", *(["weights"] if weighted else [])]
+    return chunks.select(*columns).mapInArrow(unpack, "word string, " + ("weight bigint" if weighted else "ref bigint"))
+
+
+def packed_back(numbers: DataFrame) -> DataFrame:
+    """``chunk, at, number``: the rows ``ref, number`` of a task, packed for each chunk."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        refs, values, size = [], [], 0
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            ref, value = np.concatenate(refs), np.concatenate(values)
+            order = np.argsort(ref, kind="stable")
+            ref, value = ref[order], value[order]
+            chunk = ref >> ENTRY_BITS
+            cuts = np.flatnonzero(np.concatenate([[True], chunk[1:] != chunk[:-1]]))
+            for a, b in zip(cuts, np.append(cuts[1:], len(ref))):
+                at = (ref[a:b] & ((1 << ENTRY_BITS) - 1)).astype(np.uint32)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([int(chunk[a])]), pa.array([packed_numbers(np.diff(at, prepend=np.uint32(0)))], pa.binary()),
+                     pa.array([packed_numbers(value[a:b], "<i8")], pa.binary())],
+                    names=["chunk", "at", "number"],
+                )
+
+        for batch in batches:
+            refs.append(batch.column(0).to_numpy())
+            values.append(batch.column(1).to_numpy())
+            size += batch.num_rows
+            if size >= 1_000_000:
+                yield from rows()
+                refs, values, size = [], [], 0
+        if size:
+            yield from rows()
+
+    return numbers.select("ref", "number").mapInArrow(pack, "chunk bigint, at binary, number binary")
 
 
 def summed(
@@ -148,40 +214,35 @@ def summed(
     ``numbers`` has ``ref, number`` for every entry.  ``value_of`` turns a chunk's numbers into one
     array per sum; a document's sum counts each word as often as the document holds it.
     """
-    chunk = F.call_function("shiftright", F.col("ref"), F.lit(ENTRY_BITS))
-    at = F.col("ref").bitwiseAND(F.lit((1 << ENTRY_BITS) - 1))
-    back = numbers.groupBy(chunk.alias("chunk")).agg(
-        F.collect_list(at.cast("int")).alias("at"), F.collect_list("number").alias("number")
-    )
+    back = packed_back(numbers).groupBy("chunk").agg(F.collect_list(F.struct("at", "number")).alias("back"))
     kept = chunks.select("chunk", "doc_ids", "sizes", "gaps", "times", *extra)
-    kinds = {"bigint": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}
     fields = {"doc_id": "bigint", **extra, **sums}
-    schema = pa.schema([(name, kinds[kind]) for name, kind in fields.items()])
+    schema = pa.schema([(name, KINDS[kind]) for name, kind in fields.items()])
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 row = {name: batch.column(name).slice(k, 1) for name in batch.schema.names}
-                sizes, gaps, times = (unpacked_numbers(row[c][0].as_py()) for c in ("sizes", "gaps", "times"))
+                sizes = unpacked_numbers(row["sizes"][0].as_py()).astype(np.int64)
+                places = np.cumsum(unpacked_numbers(row["gaps"][0].as_py()), dtype=np.int64)
+                times = unpacked_numbers(row["times"][0].as_py())
                 starts = np.concatenate([[0], np.cumsum(sizes)])
                 # Places begin anew in each document: running sums less what was before it.
-                places = np.cumsum(gaps)
-                before = np.concatenate([[0], places])[starts[:-1]]
-                places = places - np.repeat(before, sizes)
-                where = row["at"].flatten().to_numpy(zero_copy_only=False)
-                values = np.zeros(len(where), dtype=np.int64)
-                values[where] = row["number"].flatten().to_numpy(zero_copy_only=False)
+                places -= np.repeat(np.concatenate([[0], places])[starts[:-1]], sizes)
+                parts = row["back"][0].as_py() or []
+                at = [np.cumsum(unpacked_numbers(p["at"]), dtype=np.int64) for p in parts]
+                values = np.zeros(1 + max((int(a[-1]) for a in at), default=0), dtype=np.int64)
+                for where, part in zip(at, parts):
+                    values[where] = unpacked_numbers(part["number"], "<i8")
                 columns = [row["doc_ids"].flatten(), *(row[name].flatten() for name in extra)]
-                of_document = np.repeat(np.arange(len(sizes)), sizes)
                 for (_, kind), value in zip(sums.items(), value_of(values)):
-                    total = np.bincount(of_document, weights=value[places] * times, minlength=len(sizes))
-                    columns.append(pa.array(np.rint(total).astype(np.int64) if kind == "bigint" else total))
+                    full = np.flatnonzero(sizes)  # documents with words
+                    total = np.zeros(len(sizes), dtype=np.float64 if kind == "double" else np.int64)
+                    if len(full):
+                        total[full] = np.add.reduceat(value[places] * times, starts[:-1][full])
+                    columns.append(pa.array(total))
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     out = ", ".join(f"{name} {kind}" for name, kind in fields.items())
     # Chunks in which no document has a word meet no number.
-    joined = kept.join(back, "chunk", "left").withColumns({
-        "at": F.coalesce("at", F.expr("cast(array() as array<int>)")),
-        "number": F.coalesce("number", F.expr("cast(array() as array<bigint>)")),
-    })
-    return joined.mapInArrow(add_up, out)
+    return kept.join(back, "chunk", "left").drop("chunk").mapInArrow(add_up, out)

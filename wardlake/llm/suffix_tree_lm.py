@@ -259,13 +259,13 @@ def scored(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", folds: t
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), weight.alias("weight"))
     chunks = chunked(rows, cutter, extra)
     counts = stored(
-        entries(chunks, "weight").groupBy("word").agg(F.sum("weight").alias("number")), "word-counts"
+        entries(chunks, weighted=True).groupBy("word").agg(F.sum("weight").alias("number")), "word-counts"
     )
     n, v = counts.agg(F.coalesce(F.sum("number"), F.lit(0)), F.count(F.when(F.col("number") > 0, 1))).first()
     numbers = entries(chunks).join(counts, "word").select("ref", "number")
 
     def values(c: np.ndarray) -> list[np.ndarray]:
-        return [np.log10(c + 1.0), (c > 0).astype(np.float64)]
+        return [np.log10(c + 1.0), (c > 0).astype(np.int64)]
 
     added = summed(chunks, numbers, values, {"base_sum": "double", "n_known": "bigint"}, extra)
     small_batches(spark, 2000, 8 << 20)
