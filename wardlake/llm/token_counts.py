@@ -21,17 +21,30 @@ TOKENIZER = "byte_bpe_50k.json"
 LIMIT = 512
 
 
-def piece_counts(words: DataFrame, tokenizer_path: str) -> DataFrame:
-    """``word`` (distinct) with ``number``, how many tokens it becomes."""
+def piece_counts(entries: DataFrame, tokenizer_path: str) -> DataFrame:
+    """``ref, number`` for every entry ``word, ref``: how many tokens the word becomes.
 
-    def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    Entries of the same word meet in one partition, one after the other; its tokens are counted at the first.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         whole = pretokens.load(tokenizer_path)
+        last, last_number = None, 0
         for batch in batches:
-            coded = whole.encode_batch_fast(batch.to_pylist(), add_special_tokens=False)
-            yield pa.array([len(c) for c in coded], type=pa.int64())
-
-    count.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return words.withColumn("number", F.arrow_udf(count, "bigint").asNondeterministic()(F.col("word")))
+            words = batch.column(0).dictionary_encode()
+            distinct = words.dictionary.to_pylist()
+            fresh = distinct[1:] if distinct[:1] == [last] else distinct
+            numbers = [len(c) for c in whole.encode_batch_fast(fresh, add_special_tokens=False)]
+            if len(fresh) < len(distinct):
+                numbers = [last_number, *numbers]
+            if distinct:
+                last, last_number = distinct[-1], numbers[-1]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(1), pa.array(numbers, pa.int64()).take(words.indices)], names=["ref", "number"]
+            )
+
+    met = entries.repartition("word").sortWithinPartitions("word")
+    return met.mapInArrow(count, "ref bigint, number bigint")
 
 
 def token_counts(docs: DataFrame, tokenizer_path: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -54,10 +67,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, text: str = "text", doc_i
     extra = {"n_bytes": "bigint", "specials": "bigint"}
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.lit(0).cast("bigint").alias("weight"))
     chunks = chunked(rows, cutter, extra)
-    # One exchange serves both: the distinct words, and the join back to all chunks that hold them.
-    dealt = entries(chunks).repartition("word")
-    distinct = dealt.groupBy("word").agg(F.min("ref").alias("first_ref")).select("word")
-    numbers = dealt.join(piece_counts(distinct, tokenizer_path), "word").select("ref", "number")
+    numbers = piece_counts(entries(chunks), tokenizer_path)
     added = summed(chunks, numbers, lambda n: [n], {"n_pieces": "bigint"}, extra)
-    small_batches(docs.sparkSession, 2000, 8 << 20)
+    small_batches(docs.sparkSession, 10_000, 8 << 20)
     return added.select("doc_id", "n_bytes", (F.col("n_pieces") + F.col("specials")).alias("n_tokens"))
