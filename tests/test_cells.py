@@ -111,3 +111,28 @@ def test_arrival_stamp_reads_back(spark):
 ])
 def test_bands(spark, bands, cases):
     check(spark, lambda c: band(c, bands), cases, "int")
+
+
+def test_short_cut_equals_the_whole_list(spark):
+    import random
+
+    from wardlake.functions.times import _first_parse
+
+    rng = random.Random(3)
+
+    def text():
+        sep = rng.choice("-/")
+        day, month, year = f"{rng.randint(1, 31):02d}", f"{rng.randint(1, 12):02d}", f"{rng.randint(1, 2030):04d}"
+        out = sep.join(rng.choice([(year, month, day), (day, month, year), (month, day, year)]))
+        if rng.random() < 0.5:
+            out += f" {rng.randint(0, 23):02d}:{rng.randint(0, 59):02d}" + rng.choice(["", ":07"])
+        for _ in range(rng.choice([0, 0, 1, 2])):
+            at = rng.randrange(len(out))
+            out = out[:at] + rng.choice("-+/ :01") + out[at + rng.randint(0, 1) :]
+        return out
+
+    texts = ["-2024-01-15", "15-01--2024", "15/01/-2024", "+2024-01-15", *[text() for _ in range(25_000)]]
+    frame = spark.createDataFrame([(t,) for t in texts], "t STRING")
+    cell = F.col("t")
+    other = frame.where(~parse_admission_time(cell).eqNullSafe(_first_parse(cell, ADMISSION_PATTERNS)))
+    assert other.count() == 0

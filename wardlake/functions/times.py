@@ -21,6 +21,9 @@ ADMISSION_PATTERNS = [
     "MM/dd/yyyy",
 ]
 
+# A plus anywhere, or a minus where a field begins.
+SIGNED = r"\+|^-|[-/ :]-"
+
 
 def _separator_at(pattern: str) -> tuple[int, str]:
     return next((i, ch) for i, ch in enumerate(pattern, 1) if ch in "-/")
@@ -35,8 +38,8 @@ def parse_admission_time(cell: Column, patterns: list[str] | None = None) -> Col
 
     All pattern fields have a fixed width, so the length of a text and the place of
     its first separator leave one or two patterns that can fit.  Only those are
-    tried.  A signed year has no fixed width: a text with a plus goes through the
-    whole list.
+    tried.  A signed year has no fixed width: a text with a sign in front of a field
+    goes through the whole list.
     """
     patterns = patterns or ADMISSION_PATTERNS
     shapes: dict[tuple[int, int, str], list[str]] = {}
@@ -50,7 +53,7 @@ def parse_admission_time(cell: Column, patterns: list[str] | None = None) -> Col
     by_shape = reduce(
         lambda chain, item: chain.when(fits(item[0]), _first_parse(cell, item[1])),
         shapes.items(),
-        F.when(F.contains(cell, F.lit("+")), _first_parse(cell, patterns)),
+        F.when(cell.rlike(SIGNED), _first_parse(cell, patterns)),
     )
     return by_shape
 
