@@ -115,12 +115,12 @@ def brute_force(questions, documents, k):
 
     found = set()
     for q, qv in questions:
-        scores = sorted((-round(float(unit(qv) @ unit(dv)), 6) + 0.0, d) for d, dv in documents)
-        found |= {(q, i + 1, d, -s) for i, (s, d) in enumerate(scores[:k])}
+        scores = sorted((-round(float(unit(qv) @ unit(dv)), 12) + 0.0, d) for d, dv in documents)
+        found |= {(q, i + 1, d, round(-s, 6) + 0.0) for i, (s, d) in enumerate(scores[:k])}
     return found
 
 
-@pytest.mark.parametrize("limits", [{}, {"broadcast_questions": 3, "cell": (4, 50)}, {"broadcast_questions": 0}])
+@pytest.mark.parametrize("limits", [{}, {"block_questions": 3}, {"block_bytes": 40}])
 def test_top_k_is_exact(spark, limits):
     rng = random.Random(5)
     # Few distinct vectors: many exact ties, which the id decides.
@@ -143,15 +143,35 @@ def test_fewer_documents_than_k_and_none(spark):
     assert retrieval.top_k(questions.limit(0), two).collect() == []
 
 
-@pytest.mark.parametrize("broadcast_questions", [10, 1])
-def test_retrieve_gives_texts_in_rank_order(spark, broadcast_questions):
+def test_odd_vectors_take_no_rank(spark):
+    schema = "doc_id STRING, vector ARRAY<FLOAT>"
+    odd = [("a", [float("nan"), 1.0]), ("b", [float("inf"), 0.0]), ("c", None), ("d", [0.0, 0.0]), ("e", [-1.0, 0.0])]
+    questions = spark.createDataFrame([("q", [1.0, 0.0]), ("n", [float("nan"), 0.0])], "question_id STRING, vector ARRAY<FLOAT>")
+    found = retrieval.top_k(questions, spark.createDataFrame(odd, schema)).orderBy("rank").collect()
+    assert [(r.question_id, r.rank, r.doc_id, r.score) for r in found] == [("q", 1, "d", 0.0), ("q", 2, "e", -1.0)]
+
+
+def test_a_text_is_embedded_once(spark, capsys):
+    embedder = retrieval.hashed_words()
+    feed = spark.createDataFrame([("a", "insert", "x y"), ("b", "delete", None)], "doc_id STRING, op STRING, text STRING")
+    embedded = retrieval.embed_changes(feed, embedder).where("vector IS NOT NULL")
+    embedded.explain()
+    assert capsys.readouterr().out.count("ArrowEvalPython") == 1
+    documents = feed.select("doc_id", embedder(F.col("text")).alias("vector"))
+    questions = spark.createDataFrame([("q", [1.0] + [0.0] * 255)], "question_id STRING, vector ARRAY<FLOAT>")
+    retrieval.top_k(questions, documents).explain()
+    assert capsys.readouterr().out.count("ArrowEvalPython") == 1
+
+
+@pytest.mark.parametrize("block_questions", [10, 1])
+def test_retrieve_gives_texts_in_rank_order(spark, block_questions):
     embedder = retrieval.hashed_words()
     texts = [("d1", "wait in cardiology"), ("d2", "wait in neurology"), ("d3", "doctors"), ("d4", None)]
     documents = spark.createDataFrame(texts, "doc_id STRING, text STRING").withColumn("vector", embedder(F.col("text")))
     asked = spark.createDataFrame(
         [("q1", "Cardiology: wait?"), ("q2", "neurology"), ("q3", "doctors")], "question_id STRING, question STRING"
     )
-    rows = retrieval.retrieve(asked, documents, embedder, 2, broadcast_questions).collect()
+    rows = retrieval.retrieve(asked, documents, embedder, 2, block_questions).collect()
     first = {r.question_id: (r.doc_id, r.text) for r in rows if r.rank == 1}
     assert first == {"q1": texts[0], "q2": texts[1], "q3": texts[2]} and len(rows) == 6
 
@@ -215,3 +235,46 @@ def test_workers_need_no_copy_of_the_package(tmp_path):
     )
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=60)
     assert done.stdout.strip() == "b", done.stderr
+
+
+def test_a_refresh_that_fails_leaves_the_table(spark, tmp_path):
+    from wardlake.plans.lake import Lake
+
+    lake = Lake(spark, str(tmp_path))
+    good = docs(spark, [("a", "t", "d", "p", "x")])
+    lake.write("corpus/version=1", good.select("text", "doc_id", "doc_type", "department", "period"))
+    assert lake.corpus(1).columns == ["doc_id", "doc_type", "department", "period", "text"]
+    half = spark.range(0, 8, numPartitions=8).select(
+        F.when(F.col("id") < 7, F.col("id").cast("string")).alias("doc_id"),
+        *[F.lit("y").alias(c) for c in ("doc_type", "department", "period", "text")],
+    )
+    with pytest.raises(PySparkException, match="doc_id is null"):
+        lake.write("corpus/version=1", half)
+    assert [tuple(r) for r in lake.corpus(1).collect()] == [("a", "t", "d", "p", "x")]
+    lake.write("corpus/version=1", docs(spark, [("b", "t", "d", "p", "x")]))
+    assert [r.doc_id for r in lake.corpus(1).collect()] == ["b"]
+
+
+def test_doctors_keep_columns_that_are_not_declared(spark, tmp_path):
+    from wardlake.plans.lake import Lake, silver_doctors
+
+    raw = spark.createDataFrame(
+        [(" doc-1 ", "ann", "LEE", " cardiology ", "Heart", "U1", 12, "x")],
+        "doctor_id STRING, doctor_first_name STRING, doctor_last_name STRING, department STRING, "
+        "subspecialty STRING, university STRING, years_of_experience INT, room STRING",
+    )
+    clean = silver_doctors(raw.select("room", *raw.columns[:-1]))
+    assert clean.columns == raw.columns and clean.first().room == "x"
+    assert Lake(spark, str(tmp_path)).write("doctors", clean).columns == raw.columns
+
+
+def test_rows_without_a_sequence_are_quarantined_in_batch_too(spark, tmp_path):
+    import json
+
+    from wardlake.plans.lake import Lake
+
+    rows = [(json.dumps({"patient_id": f"P{i}", "patient_admission_date": "2024-01-01"}), "2024-03-01T00:00:00Z" if i else "") for i in range(3)]
+    bronze = spark.createDataFrame(rows, "value STRING, timestamp_bronze STRING").select(F.parse_json("value").alias("payload"), "timestamp_bronze")
+    lake = Lake(spark, str(tmp_path))
+    assert lake.refresh_visits(bronze).count() == 2
+    assert [r.patient_id for r in lake.read("visits_quarantine").collect()] == ["P0"]

@@ -153,15 +153,40 @@ PEOPLE_COLUMNS = "patient_id STRING, first_initial STRING, last_name STRING, dep
 def test_secured(spark, groups, seen):
     people = spark.createDataFrame(PEOPLE, PEOPLE_COLUMNS)
     assert [tuple(r) for r in access.secured(people, groups).collect()] == seen
-    access.register_access_functions(spark, groups)
+    reader = "of_" + "_and_".join(groups)
+    access.register_access_functions(spark, groups, reader)
     people.createOrReplaceTempView("people")
     by_sql = spark.sql(
-        "SELECT mask_pii(patient_id), mask_pii(first_initial), mask_pii(last_name), department_referral "
-        "FROM people WHERE department_row_filter(department_referral)"
+        f"SELECT {reader}_mask_pii(patient_id), {reader}_mask_pii(first_initial), {reader}_mask_pii(last_name), "
+        f"department_referral FROM people WHERE {reader}_department_row_filter(department_referral)"
     )
     assert [tuple(r) for r in by_sql.collect()] == seen
 
 
+def test_functions_of_a_name_keep_their_groups(spark):
+    access.register_access_functions(spark, ["dept_a"], "ward")
+    access.register_access_functions(spark, ["dept_a"], "ward")
+    with pytest.raises(ValueError, match="ward"):
+        access.register_access_functions(spark, ["dept_b"], "ward")
+
+
+def test_readers_skip_the_folders_of_other_departments(spark, tmp_path, capsys):
+    from wardlake.plans.lake import Lake
+
+    lake = Lake(spark, str(tmp_path))
+    gold = enrich_visits(visits(spark, {"department_referral": "Cardiology"}, {"department_referral": "Neurology"}), doctors(spark, DOCTOR))
+    lake.write("visits_enriched", gold)
+    laid_out = lake.read("visits_enriched", laid_out=True)
+    seen = access.secured(laid_out, ["dept_cardiology"])
+    assert seen.columns == gold.columns and seen.count() == 1
+    for df, column in ((seen, "referral_group"), (reports.department_wait(laid_out, ["Cardiology"]), "doctor_group")):
+        capsys.readouterr()
+        df.explain("formatted")
+        filters = next(line for line in capsys.readouterr().out.splitlines() if "PartitionFilters" in line)
+        assert column in filters
+    assert sorted(map(tuple, lake.read("visits_enriched").collect()), key=str) == sorted(map(tuple, gold.collect()), key=str)
+
+
 def test_personal_columns_are_refused(spark):
     with pytest.raises(ValueError, match="last_name"):
         access.assert_no_personal_columns(spark.createDataFrame(PEOPLE, PEOPLE_COLUMNS))

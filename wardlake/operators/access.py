@@ -25,6 +25,28 @@ def department_group(department: Column) -> Column:
     return F.concat(F.lit(DEPARTMENT_GROUP), slug)
 
 
+# Columns that a stored table is laid out by: the groups of both departments of a row.
+LAYOUT = {"department_referral": "referral_group", "department": "doctor_group"}
+
+
+def with_layout(df: DataFrame) -> DataFrame:
+    """The table with a column per department for the group it belongs to, to partition it by."""
+    return df.withColumns({
+        group: department_group(F.col(column)) for column, group in LAYOUT.items() if column in df.columns
+    })
+
+
+def of_groups(df: DataFrame, column: str, groups: Iterable[str]) -> DataFrame:
+    """Rows whose department belongs to the groups; a table laid out by it skips the other partitions."""
+    stored = LAYOUT.get(column)
+    group = F.col(stored) if stored in df.columns else department_group(F.col(column))
+    return df.where(group.isin(sorted(groups)))
+
+
+def without_layout(df: DataFrame) -> DataFrame:
+    return df.drop(*LAYOUT.values())
+
+
 def visible(department: Column, groups: Iterable[str]) -> Column:
     """True for rows the reader may see; rows without a department are for admins only."""
     names = set(groups)
@@ -47,22 +69,38 @@ def secured(
     filter of whoever runs the refresh would cut the stored result.
     """
     names, hide = set(groups), set(personal)
-    return df.where(visible(F.col(department), names)).select(*[
-        masked(F.col(c), names).alias(c) if c in hide else F.col(c) for c in df.columns
+    seen = df
+    if ADMIN_GROUP not in names:
+        seen = of_groups(df, department, {g for g in names if g.startswith(DEPARTMENT_GROUP)})
+    shown = without_layout(seen)
+    return shown.select(*[
+        masked(F.col(c), names).alias(c) if c in hide else F.col(c) for c in shown.columns
     ])
 
 
-def register_access_functions(spark: SparkSession, groups: Iterable[str]) -> None:
-    """SQL functions ``mask_pii`` and ``department_row_filter`` for a reader in ``groups``."""
+# Which groups the functions of a session were made for.
+_made_for: dict[tuple[str, str], list[str]] = {}
+
+
+def register_access_functions(spark: SparkSession, groups: Iterable[str], reader: str = "") -> None:
+    """SQL functions ``mask_pii`` and ``department_row_filter`` for a reader in ``groups``.
+
+    The names hold for the whole session.  Another reader gets functions of another name, with ``reader``
+    and an underscore before it; the same name for other groups is an error.
+    """
     names = sorted(set(groups))
+    key = (spark.sparkContext.applicationId, reader)
+    if _made_for.setdefault(key, names) != names:
+        raise ValueError(f"the functions of reader {reader!r} are made for the groups {_made_for[key]}")
+    start = f"{reader}_" if reader else ""
     admin = str(ADMIN_GROUP in names).lower()
     listed = ", ".join("'" + g.replace("'", "''") + "'" for g in names) or "NULL"
     spark.sql(
-        "CREATE OR REPLACE TEMPORARY FUNCTION mask_pii(value STRING) RETURNS STRING "
+        f"CREATE OR REPLACE TEMPORARY FUNCTION {start}mask_pii(value STRING) RETURNS STRING "
         f"RETURN CASE WHEN {admin} THEN value ELSE '{MASK}' END"
     )
     spark.sql(
-        "CREATE OR REPLACE TEMPORARY FUNCTION department_row_filter(department STRING) RETURNS BOOLEAN "
+        f"CREATE OR REPLACE TEMPORARY FUNCTION {start}department_row_filter(department STRING) RETURNS BOOLEAN "
         f"RETURN {admin} OR coalesce(concat('{DEPARTMENT_GROUP}', "
         f"lower(replace(department, ' ', '_'))) IN ({listed}), false)"
     )

@@ -37,7 +37,7 @@ def join_doctors(visits: DataFrame, doctors: DataFrame, salts: int = 1) -> DataF
     unknown = F.concat(F.lit("\u0000"), F.col("visit_id"))
     return (
         salted_visits.withColumn("_match", F.coalesce("doctor_id", unknown))
-        .join(salted_doctors.withColumnRenamed("doctor_id", "_match"), ["_match", "_salt"], "left")
+        .join(salted_doctors.withColumnRenamed("doctor_id", "_match").hint("merge"), ["_match", "_salt"], "left")
         .drop("_match", "_salt")
     )
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wardlake.operators.access import DEPARTMENT_GROUP, LAYOUT, of_groups
+
 # The departments that have a chart of their own.
 CHART_DEPARTMENTS = [
     "Cardiology", "Emergency Medicine", "Neurology", "Physiotherapy", "Gastroenterology",
@@ -47,6 +49,9 @@ def admission_rate_by_department(monthly: DataFrame) -> DataFrame:
 
 def department_wait(visits: DataFrame, departments: list[str]) -> DataFrame:
     """Wait of every visit by month, for the doctors' departments given."""
+    if LAYOUT["department"] in visits.columns:
+        groups = [f"{DEPARTMENT_GROUP}{d.replace(' ', '_').lower()}" for d in departments]
+        visits = of_groups(visits, "department", groups)
     return visits.where(F.col("department").isin(departments)).select(
         "department", "admission_month", "wait_time"
     )

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import sys
 from collections.abc import Callable, Iterator
 
@@ -26,14 +25,16 @@ SYSTEM_PROMPT = (
 )
 
 DIMENSIONS = 256
-# Scores are compared at this many digits, so equal vectors tie wherever they are computed.
-SCORE_DIGITS = 6
+# Nearness is compared at this many digits, so equal vectors tie wherever they are computed;
+# scores are given at fewer.
+RANK_DIGITS, SCORE_DIGITS = 12, 6
 
-# Questions that are broadcast at most, and their size; beyond, the questions and
-# documents in one cell of the scoring grid.
-BROADCAST_QUESTIONS = 16384
-BROADCAST_BYTES = 64 << 20
-GRID_CELL = (4096, 20000)
+# Questions that one reading of the documents answers at most, and the size of their vectors.
+BLOCK_QUESTIONS = 16384
+BLOCK_BYTES = 64 << 20
+# Tasks that read the documents at most, per core: a task hands on its best for every question,
+# so that few long tasks hand on little.
+TASKS_PER_CORE = 4
 
 Embedder = Callable[[Column], Column]
 
@@ -50,7 +51,6 @@ def hashed_words(dimensions: int = DIMENSIONS) -> Embedder:
     Words are split and hashed in the JVM; numpy only counts the slots of a batch.
     """
 
-    @F.pandas_udf(ArrayType(FloatType()))
     def to_vector(slots: pd.Series) -> pd.Series:
         lengths = slots.map(lambda s: 0 if s is None else len(s)).to_numpy(dtype=np.int64)
         rows = np.repeat(np.arange(len(slots)), lengths)
@@ -62,7 +62,9 @@ def hashed_words(dimensions: int = DIMENSIONS) -> Embedder:
         unit = np.divide(counts, norms, out=np.zeros_like(counts), where=norms > 0)
         return pd.Series(list(unit.astype(np.float32)))
 
-    return lambda text: to_vector(term_slots(text, dimensions))
+    # Called non-deterministic, so that no filter on a vector makes Spark compute it twice.
+    as_vectors = F.pandas_udf(to_vector, ArrayType(FloatType())).asNondeterministic()
+    return lambda text: as_vectors(term_slots(text, dimensions))
 
 
 def embed_changes(feed: DataFrame, embedder: Embedder) -> DataFrame:
@@ -93,7 +95,7 @@ def _best(asked: np.ndarray, questions: np.ndarray, documents: pd.DataFrame, k:
     """The best ``k`` of some documents for each question, ties by document id."""
     documents = documents.sort_values("doc_id")
     ids = documents["doc_id"].to_numpy()
-    scores = np.round(questions @ _matrix(documents["vector"]).T, SCORE_DIGITS) + 0.0
+    scores = np.round(questions @ _matrix(documents["vector"]).T, RANK_DIGITS) + 0.0
     keep = min(k, len(ids))
     least = np.partition(scores, len(ids) - keep, axis=1)[:, len(ids) - keep]
     picks = []
@@ -112,6 +114,11 @@ def _best_of_both(one: pd.DataFrame, other: pd.DataFrame, k: int) -> pd.DataFram
     return both.groupby("question_id", sort=False).head(k)
 
 
+def _usable(vectors: pd.Series) -> pd.Series:
+    """True for vectors that are there and hold finite numbers only."""
+    return vectors.map(lambda v: v is not None and bool(np.isfinite(np.asarray(v, dtype=float)).all()))
+
+
 def _scan(documents: DataFrame, questions: pd.DataFrame, k: int, schema: str) -> DataFrame:
     """Score documents where they are; each task hands on its best ``k`` per question."""
     shared = documents.sparkSession.sparkContext.broadcast(
@@ -121,6 +128,7 @@ def _scan(documents: DataFrame, questions: pd.DataFrame, k: int, schema: str) ->
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         best = None
         for batch in batches:
+            batch = batch[_usable(batch["vector"])]
             if len(batch):
                 found = _best(*shared.value, batch, k)
                 best = found if best is None else _best_of_both(best, found, k)
@@ -130,81 +138,66 @@ def _scan(documents: DataFrame, questions: pd.DataFrame, k: int, schema: str) ->
     return documents.mapInPandas(scan, schema)
 
 
-def _grid(
-    documents: DataFrame, questions: DataFrame, k: int, schema: str, cell: tuple[int, int]
-) -> DataFrame:
-    """Score every block of questions against every block of documents, one cell per group.
-
-    Keys are spread by hash, so a cell holds about ``cell`` questions and documents.
-    """
-    q_blocks = max(1, math.ceil(questions.count() / cell[0]))
-    d_blocks = max(1, math.ceil(documents.count() / cell[1]))
-
-    def blocks(n: int) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-
-    def block_of(key: str, n: int) -> Column:
-        return F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
-
-    asked = questions.withColumns({"q": block_of("question_id", q_blocks), "d": blocks(d_blocks)})
-    stored = documents.withColumns({"q": blocks(q_blocks), "d": block_of("doc_id", d_blocks)})
-
-    def score(some_questions: pd.DataFrame, some_documents: pd.DataFrame) -> pd.DataFrame:
-        if some_questions.empty or some_documents.empty:
-            return pd.DataFrame({"question_id": [], "doc_id": [], "score": []})
-        ids = some_questions["question_id"].to_numpy()
-        return _best(ids, _matrix(some_questions["vector"]), some_documents, k)
-
-    cells = asked.groupBy("q", "d").cogroup(stored.groupBy("q", "d"))
-    return cells.applyInPandas(score, schema)
+def _blocks(questions: DataFrame, most: int, most_bytes: int) -> Iterator[pd.DataFrame]:
+    """The questions with a usable vector, in blocks of bounded number and size."""
+    block, size = [], 0
+    for row in questions.toLocalIterator():
+        block.append((row["question_id"], row["vector"]))
+        size += 4 * len(row["vector"] or ())
+        if len(block) >= most or size >= most_bytes:
+            yield pd.DataFrame(block, columns=["question_id", "vector"])
+            block, size = [], 0
+    if block:
+        yield pd.DataFrame(block, columns=["question_id", "vector"])
 
 
 def _nearest(
     questions: DataFrame,
     documents: DataFrame,
     k: int,
-    broadcast_questions: int = BROADCAST_QUESTIONS,
-    cell: tuple[int, int] = GRID_CELL,
+    block_questions: int = BLOCK_QUESTIONS,
+    block_bytes: int = BLOCK_BYTES,
 ) -> tuple[DataFrame, bool]:
     """The result of ``top_k``, and whether it is known to be small."""
+    spark = documents.sparkSession
     schema = (
         f"question_id {questions.schema['question_id'].dataType.simpleString()}, "
         f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, score double"
     )
     as_floats = F.col("vector").cast("array<float>").alias("vector")
-    questions = questions.where("vector IS NOT NULL").select("question_id", as_floats)
-    documents = documents.where("vector IS NOT NULL").select("doc_id", as_floats)
-    first = questions.limit(broadcast_questions + 1).toPandas()
-    few = len(first) <= broadcast_questions and first["vector"].map(len).sum() * 4 <= BROADCAST_BYTES
-    if first.empty:
-        scored = documents.sparkSession.createDataFrame([], schema)
-    elif few:
-        scored = _scan(documents, first, k, schema)
-    else:
-        scored = _grid(documents, questions, k, schema, cell)
+    tasks = TASKS_PER_CORE * spark.sparkContext.defaultParallelism
+    stored = documents.select("doc_id", as_floats).coalesce(tasks)
+    scored, n_blocks = spark.createDataFrame([], schema), 0
+    for block in _blocks(questions.select("question_id", as_floats), block_questions, block_bytes):
+        block = block[_usable(block["vector"])]
+        if len(block):
+            found = _scan(stored, block, k, schema)
+            scored = scored.union(found) if n_blocks else found
+            n_blocks += 1
     nearest = Window.partitionBy("question_id").orderBy(F.desc("score"), "doc_id")
     ranked = scored.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k)
-    return ranked.select("question_id", "rank", "doc_id", "score"), few
+    score = (F.round("score", SCORE_DIGITS) + 0.0).alias("score")
+    return ranked.select("question_id", "rank", "doc_id", score), n_blocks <= 1
 
 
 def top_k(
     questions: DataFrame,
     documents: DataFrame,
     k: int = TOP_K,
-    broadcast_questions: int = BROADCAST_QUESTIONS,
-    cell: tuple[int, int] = GRID_CELL,
+    block_questions: int = BLOCK_QUESTIONS,
+    block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """``question_id, rank, doc_id, score``: the ``k`` documents nearest to each question.
 
-    Exact cosine over all documents, in blocks that are one matrix product each;
-    scores never leave a block but for its best ``k`` per question.  ``questions``
-    has ``question_id, vector``, ``documents`` has ``doc_id, vector``; both ids are
-    unique and rows without a vector are left out.
+    Exact cosine over all documents; scores never leave a task but for its best ``k`` per
+    question.  ``questions`` has ``question_id, vector``, ``documents`` has ``doc_id, vector``; both ids are
+    unique.  Rows without a vector, or with a NaN or an infinite component, are left out; a vector of
+    zeros is equally far from everything (score 0).
 
-    Up to ``broadcast_questions`` questions, and ``BROADCAST_BYTES`` of them, are sent
-    to all tasks and the documents are read in place.  More are laid out as a grid.
+    The questions go to the documents in blocks of bounded number and size; the documents are read in
+    place, once per block.
     """
-    return _nearest(questions, documents, k, broadcast_questions, cell)[0]
+    return _nearest(questions, documents, k, block_questions, block_bytes)[0]
 
 
 def retrieve(
@@ -212,15 +205,15 @@ def retrieve(
     documents: DataFrame,
     embedder: Embedder,
     k: int = TOP_K,
-    broadcast_questions: int = BROADCAST_QUESTIONS,
+    block_questions: int = BLOCK_QUESTIONS,
 ) -> DataFrame:
     """Top documents for question texts: ``question_id, rank, doc_id, text, score``.
 
     ``questions`` has ``question_id, question``; ``documents`` has ``doc_id, text, vector``.
-    What few questions find is ``k`` rows each and goes to the texts, not the texts to it.
+    What one block of questions finds is ``k`` rows each and goes to the texts, not the texts to it.
     """
     asked = questions.select("question_id", embedder(F.col("question")).alias("vector"))
-    found, few = _nearest(asked, documents.select("doc_id", "vector"), k, broadcast_questions)
+    found, few = _nearest(asked, documents.select("doc_id", "vector"), k, block_questions)
     texts = documents.select("doc_id", "text")
     return texts.join(F.broadcast(found) if few else found, "doc_id").select(
         "question_id", "rank", "doc_id", "text", "score"

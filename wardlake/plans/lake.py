@@ -7,16 +7,21 @@ cleaning and joining the visits five times.
 
 from __future__ import annotations
 
+import time
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from wardlake.operators import corpus, merge, rollups
-from wardlake.operators.access import assert_no_personal_columns
+from wardlake.operators.access import LAYOUT, assert_no_personal_columns, with_layout, without_layout
 from wardlake.operators.doctors import clean_doctors
 from wardlake.operators.enrich import enrich_visits
 from wardlake.operators.patients import clean_visits
 from wardlake.operators.quality import DOCTOR_RULES, VISIT_RULES, expect
 from wardlake.operators.retrieval import Embedder, embed_changes, refresh_vectors
-from wardlake.operators.upsert import latest_by_key
+from wardlake.operators.upsert import latest_by_key, unsequenced
 from wardlake.schemas import (
     DEPARTMENT_MONTH,
     DOCTORS,
@@ -32,24 +37,51 @@ DECLARED = {
     "visits_enriched": GOLD_VISITS,
     "department_monthly_stats": DEPARTMENT_MONTH,
 }
+# Tables stored in folders by department group, so that a reader's filter skips the others.
+BY_GROUP = {"visits_enriched"}
+# Folders by version have the schema of their first name.
+DECLARED_VERSIONS = {"corpus": INSIGHT_DOCS}
+
+
+def declared(name: str, df: DataFrame) -> DataFrame:
+    """The columns, order and types declared for a table, if any; a null where none may be stops the write."""
+    ddl = DECLARED.get(name) or DECLARED_VERSIONS.get(name.split("/")[0])
+    if not ddl:
+        return df
+    kinds = StructType.fromDDL(ddl)
+    more = [f for f in df.schema.fields if f.name not in kinds.names] if name == "doctors" else []
+    df = df.to(StructType([f if f.nullable else StructField(f.name, f.dataType) for f in kinds.fields] + more))
+    return df.withColumns({
+        f.name: F.coalesce(f.name, F.raise_error(F.lit(f"{name}: {f.name} is null")).cast(f.dataType))
+        for f in kinds.fields if not f.nullable
+    })
 
 
-# Rows are sorted inside each file, so that a department filter skips row groups.
-SORTED = {"visits_enriched": ["department_referral", "department"]}
+def current_visits(bronze: DataFrame, observation=None) -> DataFrame:
+    """Bronze to current clean visits, in one batch; see ``split_visits`` for what is left out."""
+    return split_visits(bronze, observation)[0]
 
 
-def current_visits(bronze: DataFrame, observation=None) -> DataFrame:
-    """Bronze to current clean visits, in one batch."""
-    visits = enforce_schema(clean_visits(bronze), SILVER_VISITS)
-    return latest_by_key(expect(visits, VISIT_RULES, observation))
+def split_visits(bronze: DataFrame, observation=None) -> tuple[DataFrame, DataFrame]:
+    """Current clean visits, and the rows for quarantine: those without a sequence value."""
+    visits = expect(enforce_schema(clean_visits(bronze), SILVER_VISITS), VISIT_RULES, observation)
+    return latest_by_key(visits), unsequenced(visits)
 
 
 def silver_doctors(raw: DataFrame, observation=None) -> DataFrame:
-    return enforce_schema(expect(clean_doctors(raw), DOCTOR_RULES, observation), DOCTORS)
+    """The declared columns first, then any others the doctors come with."""
+    clean = expect(clean_doctors(raw), DOCTOR_RULES, observation)
+    declared = StructType.fromDDL(DOCTORS)
+    more = [f for f in clean.schema.fields if f.name.lower() not in {n.lower() for n in declared.names}]
+    return clean.to(StructType([*declared.fields, *more]))
 
 
 class Lake:
-    """Tables as parquet folders below ``root``."""
+    """Tables as parquet folders below ``root``.
+
+    A table is written to a new folder, then a row is added that names it; readers take the last one named.
+    So a reader never sees half a table, and a refresh that fails leaves the table as it was.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -57,18 +89,34 @@ class Lake:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(self.path(name))
+    def _named(self, name: str) -> str:
+        names = self.spark.read.schema("at BIGINT, folder STRING").parquet(f"{self.path(name)}/names")
+        return names.agg(F.max_by("folder", "at")).first()[0]
+
+    def read(self, name: str, laid_out: bool = False) -> DataFrame:
+        """The table as it was last written; ``laid_out`` leaves the partition columns in."""
+        df = self.spark.read.parquet(f"{self.path(name)}/{self._named(name)}")
+        return df if laid_out else without_layout(df)
 
     def write(self, name: str, df: DataFrame) -> DataFrame:
-        """Replace a table by a query result.  The query must not read the table itself."""
-        if name in DECLARED:
-            df = enforce_schema(df, DECLARED[name])
-        if name in SORTED:
-            df = df.sortWithinPartitions(*SORTED[name])
-        df.write.mode("overwrite").parquet(self.path(name))
+        """Replace a table by a query result."""
+        df = declared(name, df)
+        if name in BY_GROUP:
+            df = with_layout(df)
+        folder = f"data-{uuid.uuid4().hex}"
+        df.write.partitionBy(*[c for c in LAYOUT.values() if c in df.columns]).parquet(f"{self.path(name)}/{folder}")
+        named = self.spark.range(1, numPartitions=1).select(
+            F.lit(time.time_ns()).alias("at"), F.lit(folder).alias("folder")
+        )
+        named.write.mode("append").parquet(f"{self.path(name)}/names")
         return self.read(name)
 
+    def refresh_visits(self, bronze: DataFrame) -> DataFrame:
+        """Current visits from all of bronze; rows without a sequence value go to ``visits_quarantine``."""
+        current, unsequenced_rows = split_visits(bronze)
+        self.write("visits_quarantine", unsequenced_rows)
+        return self.write("visits", current)
+
     def refresh_gold(
         self, visits: DataFrame, raw_doctors: DataFrame, unique_doctors: bool = False
     ) -> None:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardlake.operators import corpus, retrieval, rollups
+from wardlake.operators.access import LAYOUT, with_layout, without_layout
 from wardlake.operators.enrich import enrich_visits
 from wardlake.plans import testdata
 from wardlake.plans.lake import current_visits, silver_doctors
@@ -21,12 +22,15 @@ OPENED, CLOSED = "Orthopedics", "Closed Ward"
 _landed: dict[tuple[str, str, str], str] = {}
 
 
-def _land(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+def _land(
+    spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame], by_group: bool = False
+) -> DataFrame:
     use_core_conf(spark)
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _landed:
         path = scratch_dir(spark, name)
-        build().write.parquet(path)
+        df = with_layout(build()) if by_group else build()
+        df.write.partitionBy(*[c for c in LAYOUT.values() if c in df.columns]).parquet(path)
         _landed[key] = path
     return spark.read.parquet(_landed[key])
 
@@ -34,13 +38,15 @@ def _land(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataF
 def bronze(spark: SparkSession, sf_dir: str) -> DataFrame:
     def build() -> DataFrame:
         lines = testdata.visit_lines(spark, sf_dir)
-        return to_bronze(lines.withColumn("payload", F.parse_json("value")), F.col("arrived"))
+        return to_bronze(lines.withColumn("payload", F.parse_json("value")), arrived=F.col("arrived"))
 
     return _land(spark, sf_dir, "bronze", build)
 
 
-def visits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _land(spark, sf_dir, "visits", lambda: current_visits(bronze(spark, sf_dir)))
+def visits(spark: SparkSession, sf_dir: str, laid_out: bool = False) -> DataFrame:
+    """Partitioned by department group; ``laid_out`` leaves the partition columns in."""
+    df = _land(spark, sf_dir, "visits", lambda: current_visits(bronze(spark, sf_dir)), by_group=True)
+    return df if laid_out else without_layout(df)
 
 
 def doctors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,10 +56,12 @@ def doctors(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _land(
-        spark, sf_dir, "gold", lambda: enrich_visits(visits(spark, sf_dir), doctors(spark, sf_dir))
+def gold(spark: SparkSession, sf_dir: str, laid_out: bool = False) -> DataFrame:
+    """Partitioned by the groups of both departments; ``laid_out`` leaves the partition columns in."""
+    df = _land(
+        spark, sf_dir, "gold", lambda: enrich_visits(visits(spark, sf_dir), doctors(spark, sf_dir)), by_group=True
     )
+    return df if laid_out else without_layout(df)
 
 
 def rollup(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
