@@ -89,15 +89,55 @@ def test_random_cells_equal_the_csv_module(spark):
     assert wrong == []
 
 
-def test_multiline_cells(spark, tmp_path):
-    (tmp_path / "m.csv").write_text('Patient ID,Note\nP1,"two\nlines"\nP2,x\n')
-    (tmp_path / "n.csv").write_text('Patient ID,Note\nP3,"say ""hi"""\n')
-    rows = csv_rows.read_multiline_csv(spark, str(tmp_path)).collect()
-    assert {(r.file, r.row): json.loads(r.value) for r in rows} == {
-        ("m.csv", 1): {"file": "m.csv", "row": 1, "patient_id": "P1", "note": "two\nlines"},
-        ("m.csv", 2): {"file": "m.csv", "row": 2, "patient_id": "P2", "note": "x"},
-        ("n.csv", 1): {"file": "n.csv", "row": 1, "patient_id": "P3", "note": 'say "hi"'},
+def test_files_with_line_breaks_in_cells(spark, tmp_path):
+    rng = random.Random(12)
+    files = {
+        "m.csv": 'Patient ID,Note,Empty\nP1,"two\nlines",\nP2,x,""\n"P""3","a,\n\n""b""\n",y\n\nP4\n',
+        "n.csv": 'Other, Note \nP3,"say ""hi"""\n',
+        "h.csv": '"a\nb",c\n1,2\n',
     }
+    for k in range(30):
+        cells = [["".join(rng.choice('ab,"\n x') for _ in range(rng.randint(0, 8))) for _ in range(rng.randint(1, 4))] for _ in range(12)]
+        text = io.StringIO()
+        csv.writer(text, lineterminator="\n").writerows([["k1", "k2", "k3"], *cells])
+        files[f"r{k}.csv"] = text.getvalue()
+    for name, content in files.items():
+        (tmp_path / name).write_text(content, newline="")
+    rows = csv_rows.envelopes(csv_rows.read_lines(spark, str(tmp_path))).collect()
+    got = {(r.file, r.row): json.loads(r.value) for r in rows}
+    assert len(got) == len(rows)
+    assert got == {(name, i): row for name, content in files.items() for i, row in enumerate(expected(name, content), 1)}
+
+
+def test_files_that_spark_would_skip_are_named(spark, tmp_path):
+    for name in ("a.csv", "_x.csv", ".y.TXT", "_z.json"):
+        (tmp_path / name).write_text("k\n1\n")
+    with pytest.raises(ValueError, match="[.]y[.]TXT, _x[.]csv$"):
+        csv_rows.read_lines(spark, str(tmp_path))
+
+
+def test_strict_json_lines_equal_the_json_module(spark):
+    rng = random.Random(1)
+    base = ['{"a": 1}', '{"a":1} x', '{"a":1,"a":2}', '{"a": NaN}', "[1,2]", "1],[2", '1},{"v":2', "],[", "1,2", '{"a":"]"}',
+            '  {"a":1}  ', '"x"', "null", "tru", '{"a":[1,{"b":"}"}]}', "-1e5", "01", '{"a":1,}', "\t", "[]", '{"a":1}]', "1]"]
+    lines = base + ["".join(rng.choice('{}[],:"ab12 -.]}') for _ in range(rng.randint(1, 9))) for _ in range(5000)]
+    for line in base * 40:
+        at = rng.randrange(len(line))
+        lines.append(line[:at] + rng.choice('{}[],:"1 ') + line[at + rng.randint(0, 1) :])
+
+    def decoded(line):
+        def refuse(_):
+            raise ValueError
+
+        try:
+            return json.loads(line, parse_constant=refuse)
+        except ValueError:
+            return "bad"
+
+    rows = parse_lines(spark.createDataFrame([(x,) for x in lines], "value STRING")).select("value", F.to_json("payload").alias("p"), F.col("payload").isNull().alias("bad"))
+    for r in rows.collect():
+        want = decoded(r.value)
+        assert r.bad == (want == "bad") and (r.bad or json.loads(r.p) == want), r.value
 
 
 def test_json_lines(spark):
@@ -105,7 +145,7 @@ def test_json_lines(spark):
         [('{"patient_id": "P1"}',), ("",), ('{"patient_id": ',), ("7",), (" ",)], "value STRING"
     )
     seen = Observation()
-    bronze = to_bronze(accepted_lines(lines, observation=seen), F.lit(datetime(2024, 1, 1)))
+    bronze = to_bronze(accepted_lines(lines, observation=seen), arrived=F.lit(datetime(2024, 1, 1)))
     ids = [r.patient_id for r in clean_visits(bronze).collect()]
     assert sorted(ids, key=str) == [None, "P1"] or sorted(ids, key=str) == ["P1", None]
     assert seen.get == {"lines": 4, "rejected": 2}

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from wardlake.operators.upsert import latest_by_key
 from wardlake.plans.lake import current_visits
 from wardlake.session import scratch_dir
+from wardlake.sources.envelopes import parse_lines
 from wardlake.sources.tables import stream_table
 from wardlake.streaming import intake
 from wardlake.streaming.current_state import CurrentVisits, visits_upsert
@@ -48,8 +49,10 @@ def test_csv_intake_resumes_and_starts_over(spark, tmp_path):
 
 
 def test_a_batch_run_again_lands_once(spark, tmp_path):
+    (tmp_path / "one").mkdir()
+    (tmp_path / "one" / "metadata").write_text('{"id":"run-1"}')
     land = intake._land_json(f"{tmp_path}/bronze", f"{tmp_path}/one")
-    batch = spark.createDataFrame([('{"a": 1}',), ("bad",)], "value STRING")
+    batch = parse_lines(spark.createDataFrame([('{"a": 1}',), ("bad",)], "value STRING"))
     for _ in range(2):
         land(batch, 0)
     assert payloads(spark, f"{tmp_path}/bronze") == [{"a": 1}]
@@ -65,6 +68,54 @@ def test_json_lines_stream(spark, tmp_path):
     assert intake.run_for(stream)
     assert payloads(spark, f"{tmp_path}/bronze") == [{"a": 1}, {"a": 2}]
     assert [r.value for r in spark.read.parquet(f"{tmp_path}/bronze_rejects").collect()] == ['{"a": ']
+    counts = [p.observedMetrics["lines"] for p in stream.recentProgress if "lines" in p.observedMetrics]
+    assert [(c.lines, c.rejected) for c in counts] == [(3, 1)]
+
+
+def test_runs_with_equal_folder_names_keep_apart(spark, tmp_path):
+    bronze = f"{tmp_path}/bronze"
+
+    def run(month):
+        stream = intake.csv_to_bronze(spark, f"{tmp_path}/{month}", bronze, f"{tmp_path}/checkpoints/{month}/visits")
+        assert intake.run_for(stream)
+        return len(payloads(spark, bronze))
+
+    write_csv(tmp_path / "jan", "a.csv", "P1,2024-01-01,30,DOC-1", "P2,2024-01-02,31,DOC-2")
+    write_csv(tmp_path / "feb", "a.csv", "P3,2024-02-01,30,DOC-1")
+    assert run("jan") == 2
+    assert run("feb") == 3
+    # A checkpoint made anew at an old path reads all again and deletes nothing.
+    import shutil
+    shutil.rmtree(tmp_path / "checkpoints/jan")
+    assert run("jan") == 5
+
+
+def test_quarantined_rows_of_two_streams_stay(spark, tmp_path):
+    rows = [(json.dumps({"patient_id": f"P{i}", "patient_admission_date": "2024-01-01", "row": i}), "") for i in range(4)]
+    table = CurrentVisits(spark, f"{tmp_path}/visits", slices=1)
+    for name, part in (("jan", rows[:2]), ("feb", rows[2:])):
+        bronze_of(spark, part).write.parquet(f"{tmp_path}/{name}/bronze")
+        visits_upsert(stream_table(spark, f"{tmp_path}/{name}/bronze"), table, f"{tmp_path}/{name}/visits").awaitTermination()
+    assert {r.patient_id for r in spark.read.parquet(table.quarantine).collect()} == {"P0", "P1", "P2", "P3"}
+    assert table.read().count() == 0
+
+
+def test_a_large_partition_is_shared_by_several_tasks(spark, tmp_path):
+    def one(i):
+        when = "2024-01-01" if i % 10 == 0 else "unknown"
+        return json.dumps({"patient_id": f"P{i}", "patient_admission_date": when}), "2024-03-01T00:00:00Z"
+
+    table = CurrentVisits(spark, f"{tmp_path}/visits", slices=1, rows_per_task=20)
+    # Small shares would be put together again.
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for part in range(2):
+            table.apply(clean(spark, [one(i) for i in range(100 * part, 100 * part + 100)]), part)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert table.read().count() == 200
+    undated = list(tmp_path.glob("visits/admission_period=undated/*/*.parquet"))
+    assert len(undated) > 1
 
 
 def visit_rows(n, seed=1):

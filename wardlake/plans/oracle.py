@@ -9,7 +9,7 @@ VISIT_COLUMNS = [
     "coordinator_manager_flag", "doctor_id", "source_file", "source_row", "visit_id",
     "bronze_timestamp",
 ]
-# Payload key of the text columns.
+# Payload key of the text columns.
 KEYS = {
     "patient_id": "patient_id", "admission_datetime": "patient_admission_date",
     "first_initial": "patient_first_inital", "last_name": "patient_last_name",
@@ -316,7 +316,7 @@ RETRIEVED = f"""{DOCS}, {CRC}, {QUESTIONS}, {word_vectors("q", "questions", "que
   dots AS (SELECT q.id AS question_id, d.id AS doc_id, sum(q.weight::double * d.weight::double) AS dot
     FROM q JOIN d ON q.slot = d.slot GROUP BY q.id, d.id),
   scored AS (SELECT questions.question_id, docs.doc_id, docs.text,
-      round(coalesce(dot / (nq.norm * nd.norm), 0), 6) AS score
+      round(coalesce(dot / (nq.norm * nd.norm), 0), 12) AS score
     FROM questions CROSS JOIN docs
     LEFT JOIN dots ON dots.question_id = questions.question_id AND dots.doc_id = docs.doc_id
     LEFT JOIN norms nq ON nq.side = 'q' AND nq.id = questions.question_id
@@ -332,6 +332,7 @@ _visit_list = ", ".join(
 )
 _doctor_list = "doctor_id, doctor_first_name, doctor_last_name, department, subspecialty, university, years_of_experience"
 
+# Names and conditions of the rules.
 VISIT_RULES = {
     "existing patient_id": "patient_id IS NOT NULL",
     "age check": "age IS NULL OR (age >= 0 AND age < 120)",
@@ -394,20 +395,25 @@ ORACLES: dict[str, str] = {
     "bronze_envelope": f"WITH {LINES} SELECT row, value, strftime(arrived, '{TIME_FORM}') AS arrived FROM lines",
     "ndjson_intake": f"""WITH {LINES}, faulty AS (
         SELECT row, arrived, CASE WHEN (row - 1) % 101 = 0 THEN '' WHEN (row - 1) % 103 = 0
-          THEN substr(value, 1, 40) ELSE value END AS value FROM lines)
+          THEN substr(value, 1, 40) WHEN (row - 1) % 107 = 0 THEN value || ' x' ELSE value END AS value FROM lines)
       SELECT row, strftime(arrived, '{TIME_FORM}') AS arrived, length(value)::int AS n_chars,
         CASE WHEN json_valid(value) THEN 'accepted' ELSE 'rejected' END AS status,
         CASE WHEN json_valid(value) THEN json_extract_string(value, '$.doctor_id') END AS doctor_id
       FROM faulty WHERE value <> ''""",
     "ndjson_stream_to_bronze": f"""WITH {LINES}, faulty AS (
         SELECT row, CASE WHEN (row - 1) % 101 = 0 THEN '' WHEN (row - 1) % 103 = 0
-          THEN substr(value, 1, 40) ELSE value END AS value FROM lines)
+          THEN substr(value, 1, 40) WHEN (row - 1) % 107 = 0 THEN value || ' x' ELSE value END AS value FROM lines)
       SELECT CASE WHEN json_valid(value) THEN 'accepted' ELSE 'rejected' END AS status,
         CASE WHEN json_valid(value) THEN row END AS row,
         CASE WHEN NOT json_valid(value) THEN value END AS line
       FROM faulty WHERE value <> ''""",
     "overlap_replay": f"WITH {CELLS} SELECT row, {stamp('arrived')} AS timestamp_bronze FROM sent",
-    "csv_batch_envelopes": _cells,
+    "csv_batch_envelopes": f"WITH {CELLS} SELECT {', '.join(_cell_columns)}, true AS own_place FROM cells",
+    "csv_multiline": f"""WITH {CELLS} SELECT {', '.join(_cell_columns)}, true AS own_place FROM (
+        SELECT * REPLACE (CASE WHEN row % 2 = 0 THEN patient_last_name
+          ELSE patient_last_name || chr(10) || '"' || patient_race || '"' || chr(10) END AS patient_last_name) FROM cells)""",
+    "csv_listing": "SELECT count(*)::bigint AS n_rows, 0::bigint AS n_missed FROM events",
+    "csv_two_sources": _cells,
     "csv_row_numbers": """SELECT count(*) AS n_rows, count(*) AS n_places, 0::bigint AS n_gaps FROM events""",
     "csv_stream_to_bronze": _cells,
     "csv_resume": _cells,
@@ -429,6 +435,8 @@ ORACLES: dict[str, str] = {
     "expect_drop_patient": f"WITH {CLEAN} SELECT {_visit_list} FROM kept",
     "expect_drop_doctor": f"WITH {DOCTORS} SELECT {_doctor_list} FROM doctors",
     "rule_report_patient": f"WITH {CLEAN} {report(VISIT_RULES, 'clean')}",
+    "observed_rules_patient": f"SELECT rule, failed FROM (WITH {CLEAN} {report(VISIT_RULES, 'clean')})",
+    "quarantine_rows": f"WITH {CLEAN} SELECT source_row, visit_id FROM kept WHERE source_row % 17 = 0",
     "rule_report_doctor": f"WITH {DOCTORS} {report(DOCTOR_RULES, 'doctors_clean')}",
     "violations_patient": f"""WITH {CLEAN} {failing(VISIT_RULES, "clean",
         "source_row, age, satisfaction_score, wait_time, doctor_id, visit_id")}""",
@@ -484,9 +492,9 @@ ORACLES: dict[str, str] = {
       ), means AS (SELECT label, i, avg(x::double)::float AS x FROM parts GROUP BY label, i
       ), questions AS (SELECT label, list(x::double ORDER BY i) AS q FROM means GROUP BY label
       ), scored AS (SELECT label AS question_id, vec_id AS doc_id,
-          round(list_cosine_similarity(q, embedding::double[]), 6) AS score
+          round(list_cosine_similarity(q, embedding::double[]), 12) AS score
         FROM questions CROSS JOIN (SELECT vec_id, embedding FROM embeddings))
-      SELECT question_id, rank, doc_id, score FROM (
+      SELECT question_id, rank, doc_id, round(score, 6) AS score FROM (
         SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, doc_id)::int AS rank
         FROM scored) WHERE rank <= 6""",
     "document_retrieval": f"""WITH {CRC}, {word_vectors("q", "benchmark", "item_id", "text")},
@@ -496,14 +504,14 @@ ORACLES: dict[str, str] = {
       dots AS (SELECT q.id AS question_id, d.id AS doc_id, sum(q.weight::double * d.weight::double) AS dot
         FROM q JOIN d ON q.slot = d.slot GROUP BY q.id, d.id),
       scored AS (SELECT item_id AS question_id, documents.doc_id,
-          round(coalesce(dot / (qn.norm * dn.norm), 0), 6) AS score
+          round(coalesce(dot / (qn.norm * dn.norm), 0), 12) AS score
         FROM benchmark CROSS JOIN documents
         LEFT JOIN dots ON dots.question_id = item_id AND dots.doc_id = documents.doc_id
         LEFT JOIN qn ON qn.id = item_id LEFT JOIN dn ON dn.id = documents.doc_id)
-      SELECT question_id, rank, doc_id, score FROM (
+      SELECT question_id, rank, doc_id, round(score, 6) AS score FROM (
         SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, doc_id)::int AS rank
         FROM scored) WHERE rank <= 6""",
-    "insight_retrieval": f"WITH {RETRIEVED} SELECT question_id, rank, doc_id, text, score FROM found",
+    "insight_retrieval": f"WITH {RETRIEVED} SELECT question_id, rank, doc_id, text, round(score, 6) AS score FROM found",
     "context_lines": f"WITH {RETRIEVED} SELECT question_id, context FROM contexts",
     "prompt_rows": f"""WITH {RETRIEVED} SELECT q.question_id,
         'You are an assistant for emergency room operations. Answer ONLY from the provided context. '

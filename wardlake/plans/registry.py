@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from wardlake.functions.times import arrival_stamp
@@ -57,7 +57,7 @@ def _write_csv(cells: DataFrame, path: str, mode: str = "overwrite") -> str:
     """The visits as CSV files whose header spells the keys in its own way."""
     header = {key: f" {key.replace('_', ' ').title()} " for key in CELLS}
     cells.select(*[F.col(k).alias(h) for k, h in header.items()]).write.mode(mode).options(
-        header=True, emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+        header=True, emptyValue="", escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
     ).csv(path)
     return path
 
@@ -88,9 +88,42 @@ def overlap_replay(spark, sf_dir):
 
 @query
 def csv_batch_envelopes(spark, sf_dir):
+    """The cells, and whether each payload holds its own file and row number."""
     path = _write_csv(testdata.visit_cells(spark, sf_dir), scratch_dir(spark, "csv"))
     rows = csv_rows.envelopes(csv_rows.read_lines(spark, path))
-    return _cells_of(rows.withColumn("payload", F.parse_json("value")))
+    return _cells_and_place(rows)
+
+
+def _cells_and_place(rows: DataFrame) -> DataFrame:
+    parsed = rows.withColumn("payload", F.parse_json("value"))
+    place = (F.try_variant_get("payload", "$.file", "string") == F.col("file")) & (
+        F.try_variant_get("payload", "$.row", "bigint") == F.col("row")
+    )
+    cells = [F.try_variant_get("payload", f"$.{key}", "string").alias(key) for key in CELLS]
+    return parsed.select(*cells, place.alias("own_place"))
+
+
+@query
+def csv_multiline(spark, sf_dir):
+    """Cells with line breaks, in files of their own beside files without."""
+    cells = testdata.visit_cells(spark, sf_dir)
+    broken = F.concat("patient_last_name", F.lit('\n"'), "patient_race", F.lit('"\n'))
+    first = F.col("row") % 2 == 0
+    path = _write_csv(cells.where(first), scratch_dir(spark, "csv"))
+    _write_csv(cells.where(~first).withColumn("patient_last_name", broken), path, mode="append")
+    return _cells_and_place(csv_rows.envelopes(csv_rows.read_lines(spark, path)))
+
+
+@query
+def csv_listing(spark, sf_dir):
+    """The files listed are those that rows come from."""
+    path = _write_csv(testdata.visit_cells(spark, sf_dir), scratch_dir(spark, "csv"))
+    listed = csv_rows.list_files(spark, path).withColumn("listed", F.lit(True))
+    read = csv_rows.envelopes(csv_rows.read_lines(spark, path)).groupBy("file").agg(F.count("*").alias("n"))
+    both = listed.join(read, "file", "full")
+    return both.agg(
+        F.sum("n").alias("n_rows"), F.count_if(F.col("listed").isNull() | F.col("n").isNull()).alias("n_missed")
+    )
 
 
 @query
@@ -142,6 +175,17 @@ def csv_reset(spark, sf_dir):
     return _cells_of(intake.read_bronze(spark, f"{root}/bronze"))
 
 
+@query
+def csv_two_sources(spark, sf_dir):
+    """Two sources whose checkpoints have the same last folder land side by side."""
+    root = scratch_dir(spark, "intake")
+    cells = testdata.visit_cells(spark, sf_dir)
+    for name, part in (("early", F.col("arrived") < landed.HALF_TIME), ("late", F.col("arrived") >= landed.HALF_TIME)):
+        source = _write_csv(cells.where(part), f"{root}/{name}/csv")
+        _intake(spark, source, f"{root}/bronze", f"{root}/{name}/visits")
+    return _cells_of(intake.read_bronze(spark, f"{root}/bronze"))
+
+
 @query
 def ndjson_stream_to_bronze(spark, sf_dir):
     """Lines from files; those that are no JSON end up among the rejects."""
@@ -266,6 +310,16 @@ def rule_report_doctor(spark, sf_dir):
     )
 
 
+@query
+def observed_rules_patient(spark, sf_dir):
+    """Failures counted while the rows flow by, with no pass of their own."""
+    seen = Observation()
+    clean = clean_visits(landed.bronze(spark, sf_dir), stamp=False)
+    quality.observe_rules(clean, quality.VISIT_RULES, seen).write.format("noop").mode("overwrite").save()
+    counts = [(name, n) for name, n in seen.get.items() if name != "rows"]
+    return spark.createDataFrame(counts, "rule STRING, failed BIGINT")
+
+
 @query
 def violations_patient(spark, sf_dir):
     clean = clean_visits(landed.bronze(spark, sf_dir), stamp=False)
@@ -300,6 +354,21 @@ def scd1_stream(spark, sf_dir):
     return current.read().drop("silver_timestamp")
 
 
+@query
+def quarantine_rows(spark, sf_dir):
+    """Rows without an arrival time, from two streams into one table."""
+    root = scratch_dir(spark, "quarantine")
+    bronze = landed.bronze(spark, sf_dir)
+    early = F.col("timestamp_bronze") < landed.HALF_TIME
+    unstamped = F.try_variant_get("payload", "$.row", "int") % 17 == 0
+    current = CurrentVisits(spark, f"{root}/visits", slices=2)
+    for name, part in (("early", early), ("late", ~early)):
+        some = bronze.where(part & unstamped).withColumn("timestamp_bronze", F.lit(""))
+        some.write.parquet(f"{root}/{name}/bronze")
+        visits_upsert(stream_table(spark, f"{root}/{name}/bronze"), current, f"{root}/{name}/visits").awaitTermination()
+    return spark.read.parquet(current.quarantine).select("source_row", "visit_id")
+
+
 # ---- gold --------------------------------------------------------------------
 
 
@@ -356,17 +425,20 @@ def masked_admin(spark, sf_dir):
 
 @query
 def masked_clerk(spark, sf_dir):
-    return access.secured(landed.visits(spark, sf_dir).drop("silver_timestamp"), ["dept_cardiology"])
+    visits = landed.visits(spark, sf_dir, laid_out=True).drop("silver_timestamp")
+    return access.secured(visits, ["dept_cardiology"])
 
 
 @query
 def dept_filter_none(spark, sf_dir):
-    return access.secured(landed.visits(spark, sf_dir).drop("silver_timestamp"), [])
+    """A reader of a group that no department has."""
+    visits = landed.visits(spark, sf_dir, laid_out=True).drop("silver_timestamp")
+    return access.secured(visits, ["dept_of_nothing"])
 
 
 @query
 def dept_filter_one(spark, sf_dir):
-    return access.secured(landed.gold(spark, sf_dir), ["dept_cardiology"])
+    return access.secured(landed.gold(spark, sf_dir, laid_out=True), ["dept_cardiology"])
 
 
 @query
@@ -378,9 +450,9 @@ def dept_filter_groups(spark, sf_dir):
 @query
 def access_functions(spark, sf_dir):
     visits = landed.visits(spark, sf_dir)
-    access.register_access_functions(spark, ["dept_general_practice", "dept_neurology"])
-    return visits.where(F.expr("department_row_filter(department_referral)")).select(
-        "visit_id", F.expr("mask_pii(last_name)").alias("last_name"), "department_referral"
+    access.register_access_functions(spark, ["dept_general_practice", "dept_neurology"], reader="clinic")
+    return visits.where(F.expr("clinic_department_row_filter(department_referral)")).select(
+        "visit_id", F.expr("clinic_mask_pii(last_name)").alias("last_name"), "department_referral"
     )
 
 
@@ -546,17 +618,17 @@ def bi_admission_rate(spark, sf_dir):
 
 @query
 def bi_department_wait(spark, sf_dir):
-    return reports.department_wait(landed.gold(spark, sf_dir), reports.CHART_DEPARTMENTS)
+    return reports.department_wait(landed.gold(spark, sf_dir, laid_out=True), reports.CHART_DEPARTMENTS)
 
 
 @query
 def bi_department_wait_avg(spark, sf_dir):
-    return reports.department_wait_average(landed.gold(spark, sf_dir), reports.CHART_DEPARTMENTS)
+    return reports.department_wait_average(landed.gold(spark, sf_dir, laid_out=True), reports.CHART_DEPARTMENTS)
 
 
 def _chart_query(department: str) -> None:
     def build(spark, sf_dir):
-        chart = reports.department_wait(landed.gold(spark, sf_dir), [department])
+        chart = reports.department_wait(landed.gold(spark, sf_dir, laid_out=True), [department])
         return chart.select("admission_month", "wait_time")
 
     build.__name__ = f"bi_wait_{department.lower().replace(' ', '_')}"

@@ -90,11 +90,12 @@ def visit_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def faulty_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same lines, some of them cut short or empty."""
+    """The same lines, some of them cut short, empty, or with text after the end."""
     number = F.col("row") - 1
     value = (
         F.when(number % 101 == 0, "")
         .when(number % 103 == 0, F.substring("value", 1, 40))
+        .when(number % 107 == 0, F.concat("value", F.lit(" x")))
         .otherwise(F.col("value"))
     )
     return visit_lines(spark, sf_dir).withColumn("value", value)

@@ -21,6 +21,8 @@ CORE_CONF = {
     # Below this file size the doctors go to every executor and the visits stay in
     # place; above it both sides are sorted by key and hot keys are split.
     "spark.sql.autoBroadcastJoinThreshold": "64MB",
+    # Of a key given twice in a JSON text the last value counts.
+    "spark.sql.variant.allowDuplicateKeys": "true",
     # Rows of long texts go to Python as lists of words: keep a batch small.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
 }
@@ -61,7 +63,8 @@ def use_checkpoint_dir(spark: SparkSession) -> str:
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        # Executors of ``local-cluster`` are processes of their own and count as a cluster.
+        if not spark.sparkContext.master.split("[")[0] == "local":
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         base = tempfile.mkdtemp(prefix="wardlake-")
         spark.conf.set("spark.checkpoint.dir", base)

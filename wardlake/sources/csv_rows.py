@@ -2,23 +2,36 @@
 
 Files are read as lines, so a large file is split over many tasks.  The number of
 a row is the lines before it in its own split plus the lines of the splits ahead,
-which a small count table gives.  A quoted cell may hold commas and doubled quotes
-but no line break; for those see ``read_multiline_csv``.
+which a small count table gives.  A quoted cell may hold commas and doubled quotes.  A
+file in which a quote stays open at the end of a line has line breaks in cells: it is
+read from its first line to its last by one task, and the others stay split.
 """
 
 from __future__ import annotations
 
+import csv
+import itertools
+import sys
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wardlake.session import use_checkpoint_dir
 
+# Python workers get the functions of this module with the job.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # The file name endings that are read, in any case.
 CSV_NAMES = "*.{[cC][sS][vV],[tT][xX][tT]}"
 
 # One cell after its comma: an optional quoted part (quotes doubled inside), then
 # anything up to the next comma.  Possessive, so long cells need no deep stack.
 _CELL = r',((?:"[^"]*+(?:""[^"]*+)*+")?+[^,]*+)'
+# A line whose last cell begins with a quote that nothing closes.
+_OPEN = r'^(?:"[^"]*+(?:""[^"]*+)*+"[^,]*+,|[^",][^,]*+,|,)*+"[^"]*+(?:""[^"]*+)*+$'
 _FILE, _SPLIT = "_file", "_split"
 
 # Up to this size the table of splits is broadcast; above it is joined by shuffle.
@@ -34,13 +47,26 @@ def _file_columns() -> list[Column]:
     ]
 
 
+def refuse_hidden(spark: SparkSession, path: str) -> None:
+    """An error that names the CSV files which Spark would skip for a leading ``_`` or ``.``."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = place.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(
+        spark._jvm.org.apache.hadoop.fs.Path(place, "[_.]*.{csv,CSV,txt,TXT}")
+    )
+    names = sorted(f.getPath().getName() for f in found or [])
+    if names:
+        raise ValueError(f"rename these files, whose names make Spark skip them: {', '.join(names)}")
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines of all CSV files of a folder, with file and split."""
+    refuse_hidden(spark, path)
     return spark.read.option("pathGlobFilter", CSV_NAMES).text(path).select("value", *_file_columns())
 
 
 def stream_lines(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
     """The same as a stream of files; the checkpoint remembers the files done."""
+    refuse_hidden(spark, path)
     reader = spark.readStream.option("pathGlobFilter", CSV_NAMES)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
@@ -74,46 +100,82 @@ def split_cells(line: Column) -> Column:
     return F.when(line == "", F.array().cast("array<string>")).otherwise(cells)
 
 
-def _split_table(placed: DataFrame) -> DataFrame:
-    """One row per split: what turns a place in it into a row number, and its file's header.
+def _split_tables(placed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Per split, what turns a place in it into a line number; per file, its header and whether
+    cells have line breaks.
 
-    Kept as a checkpoint, so the lines are counted once whatever is done with it.
+    Kept as a checkpoint, so the lines are read once whatever is done with it.
     """
     splits = placed.groupBy(_FILE, _SPLIT).agg(
         F.count("*").alias("_lines"),
         F.min("_place").alias("_start"),
         F.min_by(F.when(F.col(_SPLIT) == 0, F.col("value")), "_place").alias("_first"),
+        F.max(F.contains("value", F.lit('"')) & F.col("value").rlike(_OPEN)).alias("_open"),
     )
-    ahead = Window.partitionBy(_FILE).orderBy(_SPLIT).rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(_FILE)
     use_checkpoint_dir(placed.sparkSession)
-    return splits.select(
-        _FILE,
-        _SPLIT,
-        (F.coalesce(F.sum("_lines").over(ahead), F.lit(0)) - F.col("_start")).alias("_shift"),
-        F.transform(split_cells(F.max("_first").over(whole)), header_name).alias("header"),
-    ).withColumn("plain_header", F.size(F.array_distinct("header")) == F.size("header")).checkpoint()
+    splits = splits.checkpoint()
+    ahead = Window.partitionBy(_FILE).orderBy(_SPLIT).rowsBetween(Window.unboundedPreceding, -1)
+    shifts = splits.select(
+        _FILE, _SPLIT, (F.coalesce(F.sum("_lines").over(ahead), F.lit(0)) - F.col("_start")).alias("_shift")
+    )
+    header = F.transform(split_cells(F.max("_first")), header_name)
+    files = splits.groupBy(_FILE).agg(header.alias("header"), F.max("_open").alias("_open"))
+    return shifts, files.withColumn("plain_header", F.size(F.array_distinct("header")) == F.size("header"))
 
 
-def number_rows(lines: DataFrame) -> DataFrame:
-    """Adds ``row`` (0 for the header line of each file, 1 for the first data row) and ``header``.
+def number_lines(lines: DataFrame) -> DataFrame:
+    """Adds ``row`` (0 for the header line of each file, 1 for the next) and the file's ``header``.
 
-    Runs a first pass over the lines at once, to count those of each split.
+    Runs a first pass over the lines at once, to count those of each split.  Both passes must cut the
+    files alike, whatever cores there are then: the number that Spark cuts by is set on the session if it is unset.
     """
+    spark = lines.sparkSession
+    if not spark.conf.get("spark.sql.files.minPartitionNum", None):
+        spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
     placed = lines.withColumn("_place", F.monotonically_increasing_id())
-    splits = _split_table(placed)
-    size = splits.agg(
-        F.sum(F.length(_FILE) + F.length(F.array_join("header", ",")) + 32)
-    ).first()[0] or 0
-    numbered = placed.join(
-        F.broadcast(splits) if size <= BROADCAST_BYTES else splits, [_FILE, _SPLIT], "left"
-    )
-    # Both passes must cut the files alike; with a fixed number of cores they do.
-    row = F.when(F.col("_shift").isNotNull(), (F.col("_place") + F.col("_shift")).cast("int"))
-    moved = F.raise_error(F.lit("file splits changed: set spark.sql.files.minPartitionNum")).cast("int")
+    shifts, files = _split_tables(placed)
+    size = shifts.agg(F.sum(F.length(_FILE) + 32)).first()[0] or 0
+    heads = files.agg(F.sum(F.length(_FILE) + F.length(F.array_join("header", ",")) + 32)).first()[0] or 0
+    numbered = placed.join(F.broadcast(shifts) if size <= BROADCAST_BYTES else shifts, [_FILE, _SPLIT], "left")
+    numbered = numbered.join(F.broadcast(files) if heads <= BROADCAST_BYTES else files, _FILE, "left")
+    row = F.when(F.col("_shift").isNotNull(), F.col("_place") + F.col("_shift"))
+    moved = F.raise_error(F.lit("file splits changed: spark.sql.files settings differ")).cast("bigint")
     return numbered.withColumn("row", F.coalesce(row, moved)).drop("_place", "_shift", _SPLIT)
 
 
+def whole_records(lines: DataFrame) -> DataFrame:
+    """``_name, row, header, cells`` of files with line breaks in cells, from their numbered lines.
+
+    The lines of a file meet in order in one task, which reads through them as a stream.
+    """
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        csv.field_size_limit(sys.maxsize)
+        every = (row for batch in batches for row in zip(*(column.to_pylist() for column in batch.columns)))
+        kind = pa.schema([
+            ("_name", pa.string()), ("row", pa.int64()), ("header", pa.list_(pa.string())), ("cells", pa.list_(pa.string())),
+        ])
+        for _, rows in itertools.groupby(every, key=lambda row: row[0]):
+            first = next(rows)
+            records = csv.reader(f"{line}\n" for *_, line in itertools.chain([first], rows))
+            header = [name.strip().lower().replace(" ", "_") for name in next(records)]
+            numbered = enumerate(records, 1)
+            while some := list(itertools.islice(numbered, 500)):
+                yield pa.RecordBatch.from_pylist(
+                    [{"_name": first[1], "row": n, "header": header, "cells": cells} for n, cells in some], schema=kind
+                )
+
+    met = lines.select(_FILE, "_name", "row", "value").repartition(_FILE).sortWithinPartitions(_FILE, "row")
+    return met.mapInArrow(
+        lambda batches: read(_without_row(batches)), "_name string, row bigint, header array<string>, cells array<string>"
+    )
+
+
+def _without_row(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield batch.select([_FILE, "_name", "value"])
+
+
 def _json_text(text: Column) -> Column:
     return _inside(F.to_json(F.array(text)))
 
@@ -139,7 +201,11 @@ def envelopes(lines: DataFrame) -> DataFrame:
     names the last one counts, and a column named ``file`` or ``row`` replaces the
     file's own.
     """
-    rows = number_rows(lines).where("row > 0").withColumn("cells", split_cells(F.col("value")))
+    numbered = number_lines(lines)
+    rows = numbered.where("row > 0 AND NOT _open").withColumn("cells", split_cells(F.col("value")))
+    broken = whole_records(numbered.where("_open"))
+    broken = broken.withColumn("plain_header", F.size(F.array_distinct("header")) == F.size("header"))
+    rows = rows.select(*broken.columns).unionByName(broken)
     matched = F.least(F.size("header"), F.size("cells"))
     rows = rows.withColumns({
         "keys": F.slice("header", F.lit(1), matched),
@@ -161,31 +227,3 @@ def envelopes(lines: DataFrame) -> DataFrame:
     return rows.select(
         F.col("_name").alias("file"), "row", F.concat(F.lit("{"), text, F.lit("}")).alias("value")
     )
-
-
-def read_multiline_csv(spark: SparkSession, path: str) -> DataFrame:
-    """``file, row, value`` of files that share one header and may have line breaks in cells.
-
-    Such a file cannot be split: each is one task that streams through it.  Empty
-    cells are left out of the JSON text.
-    """
-    table = (
-        spark.read.option("pathGlobFilter", CSV_NAMES)
-        .options(header=True, multiLine=True, escape='"', enforceSchema=False)
-        .csv(path)
-    )
-    names = [c.strip().lower().replace(" ", "_") for c in table.columns]
-    placed = table.select(
-        *[F.col(f"`{c}`").alias(n) for c, n in zip(table.columns, names)],
-        F.col("_metadata")["file_path"].alias(_FILE),
-        F.col("_metadata")["file_name"].alias("_name"),
-        F.monotonically_increasing_id().alias("_place"),
-    )
-    starts = placed.groupBy(_FILE).agg(F.min("_place").alias("_start"))
-    row = (F.col("_place") - F.col("_start") + 1).cast("int")
-    own = [c.alias(n) for n, c in (("file", F.col("_name")), ("row", row)) if n not in names]
-    return placed.join(starts, _FILE).select(
-        F.col("_name").alias("file"),
-        row.alias("row"),
-        F.to_json(F.struct(*own, *[F.col(n) for n in names])).alias("value"),
-    )

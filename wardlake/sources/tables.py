@@ -12,13 +12,17 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def stream_table(
-    spark: SparkSession, path: str, schema: str = BRONZE_VISITS, files_per_batch: int | None = None
+    spark: SparkSession,
+    path: str,
+    schema: str = BRONZE_VISITS,
+    files_per_batch: int | None = None,
+    bytes_per_batch: int = 64 << 30,
 ) -> DataFrame:
-    """A stored table as a stream of its files."""
+    """A stored table as a stream of its files, so many files or bytes of them per batch."""
     reader = spark.readStream.schema(schema)
     if files_per_batch:
-        reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.parquet(path)
+        return reader.option("maxFilesPerTrigger", files_per_batch).parquet(path)
+    return reader.option("maxBytesPerTrigger", bytes_per_batch).parquet(path)
 
 
 def register_table(

@@ -14,12 +14,15 @@ from pyspark.sql.streaming import StreamingQuery
 
 from wardlake.operators.patients import clean_visits
 from wardlake.operators.quality import VISIT_RULES, expect
-from wardlake.operators.upsert import latest_by_key, unsequenced
+from wardlake.operators.upsert import VISIT_SEQUENCE, latest_by_key
 from wardlake.schemas import SILVER_VISITS, enforce_schema
+from wardlake.streaming.intake import place_of, run_of
 
 PLACE = ["admission_period", "key_slice"]
 STORED = f"{SILVER_VISITS}, admission_period STRING, key_slice INT"
 MAX_NAMED_PARTITIONS = 10_000
+# Rows of one partition that one task merges, about.
+ROWS_PER_TASK = 2_000_000
 
 
 def place_columns(slices: int) -> dict[str, Column]:
@@ -48,52 +51,68 @@ class CurrentVisits:
     table is complete: after a crash the next run first replaces the partitions from
     it again, then merges its batch.  Merging a batch twice changes nothing.
 
+    A batch is first written as it comes, so that it is computed once and its rows are where all
+    executors can read them.  Rows without a sequence value go to the quarantine table, in a folder of their run and batch.
+
+    While a batch is published its partitions are replaced one after the other: who reads the table then may see some of
+    the batch, or fail and should read again.
+
     ``slices`` sets how finely a batch can pick what to rewrite and stays with the
     table.  ``spread`` sets how many tasks (and files) share one partition and may
-    change: choose it so that the share of the largest partition, often that of the
-    undated visits, fits a task.
+    change; if not given it follows from the rows of the largest touched partition, often that of
+    the undated visits, so that a task gets about ``rows_per_task``.
     """
 
-    def __init__(self, spark: SparkSession, path: str, slices: int = 64, spread: int = 1):
+    def __init__(
+        self, spark: SparkSession, path: str, slices: int = 64, spread: int | None = None, rows_per_task: int = ROWS_PER_TASK
+    ):
         self.spark, self.path = spark, path.rstrip("/")
-        self.slices, self.spread = slices, spread
+        self.slices, self.spread, self.rows_per_task = slices, spread, rows_per_task
+        self.incoming = f"{self.path}_incoming"
         self.staging, self.note = f"{self.path}_staging", f"{self.path}_staged"
         self.quarantine = f"{self.path}_quarantine"
 
     def read(self) -> DataFrame:
         return self.spark.read.schema(STORED).parquet(self.path).drop(*PLACE)
 
-    def apply(self, batch: DataFrame, batch_id: int) -> None:
+    def apply(self, batch: DataFrame, batch_id: int, run: str = "direct") -> None:
         if self._staged():
             self._publish()
-        batch.persist()
-        try:
-            unsequenced(batch).write.mode("overwrite").parquet(f"{self.quarantine}/batch_id={batch_id}")
-            merged = self._merge(batch)
-            merged.write.mode("overwrite").partitionBy(*PLACE).parquet(self.staging)
-        finally:
-            batch.unpersist()
+        marked = batch.withColumn("_sequenced", F.col(VISIT_SEQUENCE).isNotNull())
+        marked.write.mode("overwrite").partitionBy("_sequenced").parquet(self.incoming)
+        came = self.spark.read.schema(f"{SILVER_VISITS}, _sequenced BOOLEAN").parquet(self.incoming)
+        held = came.where("NOT _sequenced").drop("_sequenced")
+        held.write.mode("overwrite").parquet(place_of(self.quarantine, run, batch_id))
+        merged = self._merge(came.where("_sequenced").drop("_sequenced"))
+        merged.write.mode("overwrite").partitionBy(*PLACE).parquet(self.staging)
         self._note(staged=True)
         self._publish()
 
     def _merge(self, batch: DataFrame) -> DataFrame:
-        """New content of the touched partitions, each in ``spread`` tasks."""
+        """New content of the touched partitions, each in as many tasks as its rows need."""
+        places = batch.withColumns(place_columns(self.slices)).groupBy(*PLACE).agg(F.count("*").alias("n"))
         placed = latest_by_key(batch).withColumns(place_columns(self.slices))
         current = _read_or_none(self.spark, self.path, STORED)
+        largest = places
         if current is not None:
-            old = self._partitions_of(current, batch)
+            old = self._partitions_of(current, places)
             placed = placed.unionByName(old.select(*placed.columns))
-        share = F.pmod(F.hash("visit_id"), F.lit(self.spread))
+            largest = places.union(old.groupBy(*PLACE).agg(F.count("*").alias("n")))
+        spread = self.spread
+        if spread is None:
+            rows = largest.groupBy(*PLACE).agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0] or 0
+            spread = max(1, -(-rows // self.rows_per_task))
+        share = F.pmod(F.hash("visit_id"), F.lit(spread))
         shared = placed.withColumn("_share", share).repartition(*PLACE, "_share")
         return latest_by_key(shared, within=[*PLACE, "_share"]).drop("_share")
 
-    def _partitions_of(self, current: DataFrame, batch: DataFrame) -> DataFrame:
+    def _partitions_of(self, current: DataFrame, places: DataFrame) -> DataFrame:
         """The rows of the current table in partitions that the batch has rows for.
 
         The names of up to ``MAX_NAMED_PARTITIONS`` become a partition filter of the scan.
         A batch that touches more leaves little to skip: a plain join picks the rows.
         """
-        touched = batch.withColumns(place_columns(self.slices)).select(*PLACE).distinct()
+        touched = places.select(*PLACE)
         names = touched.take(MAX_NAMED_PARTITIONS + 1)
         if len(names) > MAX_NAMED_PARTITIONS:
             return current.join(touched, PLACE, "left_semi")
@@ -138,9 +157,13 @@ def visits_upsert(
     batch under ``metrics`` in the query's progress.
     """
     visits = enforce_schema(clean_visits(bronze), SILVER_VISITS)
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        table.apply(batch, batch_id, run_of(batch.sparkSession, checkpoint))
+
     return (
         expect(visits, VISIT_RULES, metrics)
-        .writeStream.foreachBatch(table.apply)
+        .writeStream.foreachBatch(apply)
         .option("checkpointLocation", checkpoint)
         .trigger(**({"processingTime": every} if every else {"availableNow": True}))
         .start()

@@ -10,34 +10,52 @@ from pyspark.sql.streaming import StreamingQuery
 
 from wardlake.schemas import BRONZE_VISITS
 from wardlake.sources.csv_rows import envelopes, stream_lines
-from wardlake.sources.envelopes import accepted_lines, rejected_lines, to_bronze
+from wardlake.sources.envelopes import counted, parse_lines, to_bronze
 
 # Fixed value: seconds after which an intake run stops.
 MAX_RUN_SECONDS = 120
 
 
-def _place(path: str, checkpoint: str, batch_id: int) -> str:
-    """Each batch has a partition of its own, named by the checkpoint folder and the
-    batch: running a batch again replaces what it wrote."""
-    run = checkpoint.rstrip("/").rsplit("/", 1)[-1]
+def run_of(spark: SparkSession, checkpoint: str) -> str:
+    """The lasting id of the streaming query with this checkpoint.
+
+    Spark writes it when the checkpoint is made, so a resumed run has the same, while another
+    stream, and a checkpoint made anew at an old path, have one of their own.
+    """
+    return spark.read.text(f"{checkpoint.rstrip('/')}/metadata").select(
+        F.get_json_object("value", "$.id").alias("id")
+    ).where("id IS NOT NULL").first()["id"]
+
+
+def place_of(path: str, run: str, batch_id: int) -> str:
+    """Each batch of each run has a folder of its own: running a batch again replaces
+    what it wrote and nothing else."""
     return f"{path}/run={run}/batch_id={batch_id}"
 
 
 def _land_csv(bronze_path: str, checkpoint: str) -> Callable[[DataFrame, int], None]:
     def land(batch: DataFrame, batch_id: int) -> None:
+        run = run_of(batch.sparkSession, checkpoint)
         records = envelopes(batch).withColumn("payload", F.parse_json("value"))
-        to_bronze(records).write.mode("overwrite").parquet(_place(bronze_path, checkpoint, batch_id))
+        to_bronze(records).write.mode("overwrite").parquet(place_of(bronze_path, run, batch_id))
 
     return land
 
 
 def _land_json(bronze_path: str, checkpoint: str) -> Callable[[DataFrame, int], None]:
     def land(batch: DataFrame, batch_id: int) -> None:
-        for lines, path in (
-            (to_bronze(accepted_lines(batch)), bronze_path),
-            (rejected_lines(batch), f"{bronze_path}_rejects"),
+        spark = batch.sparkSession
+        run = run_of(spark, checkpoint)
+        # Read, parsed and counted once; what follows reads the stored lines.
+        incoming = place_of(f"{bronze_path}_incoming", run, batch_id)
+        marked = to_bronze(batch, "value").withColumn("rejected", F.col("payload").isNull())
+        marked.write.mode("overwrite").partitionBy("rejected").parquet(incoming)
+        lines = spark.read.schema(f"{BRONZE_VISITS}, value STRING, rejected BOOLEAN").parquet(incoming)
+        for part, path in (
+            (lines.where("NOT rejected").select("payload", "timestamp_bronze"), bronze_path),
+            (lines.where("rejected").select("value"), f"{bronze_path}_rejects"),
         ):
-            lines.write.mode("overwrite").parquet(_place(path, checkpoint, batch_id))
+            part.write.mode("overwrite").parquet(place_of(path, run, batch_id))
 
     return land
 
@@ -78,13 +96,17 @@ def json_lines_to_bronze(
     checkpoint: str,
     files_per_batch: int | None = None,
     every: str | None = None,
+    metrics: str = "lines",
 ) -> StreamingQuery:
-    """Start reading newline-delimited JSON files; bad lines go to ``<bronze>_rejects``."""
+    """Start reading newline-delimited JSON files; bad lines go to ``<bronze>_rejects``.
+
+    The query's progress counts read and rejected lines of each batch under ``metrics``.
+    """
     reader = spark.readStream
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     land = _land_json(bronze_path, checkpoint)
-    return _start(reader.text(source), land, checkpoint, every)
+    return _start(counted(parse_lines(reader.text(source)), metrics), land, checkpoint, every)
 
 
 def run_for(query: StreamingQuery, seconds: int = MAX_RUN_SECONDS) -> bool:
