@@ -115,4 +115,43 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_language_id, op2_token_counts, op3_secret_scan, op4_simhash, op5_personal_data, op6_decontamination, op7_suffix_tree, op8_url_filter, op9_nearest, op10_packing,
 )}
-ORACLES: dict[str, str] = {}
+LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+WORDS = f"coalesce(regexp_extract_all(translate(text, {LETTERS}), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), [])"
+RULES = ", ".join(f"('{host}', '{path}', '{verdict}')" for host, path, verdict in URL_RULES)
+
+# SQL with the same result, where SQL can express the method's outcome.
+ORACLES: dict[str, str] = {
+    "op6_decontamination": f"""
+      WITH items AS (SELECT DISTINCT item_id, {WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+      windows AS (
+        SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS run
+        FROM (SELECT item_id, w, least({contamination.WINDOW}, len(w)) AS n,
+                unnest(generate_series(1, greatest(len(w) - {contamination.WINDOW - 1}, 1))) AS i FROM items WHERE len(w) > 0)),
+      sizes AS (SELECT DISTINCT n FROM windows),
+      docs AS (SELECT row_number() OVER () AS r, doc_id, {WORDS} AS w FROM documents),
+      runs AS (
+        SELECT r, n, i, array_to_string(w[i:i + n - 1], ' ') AS run
+        FROM (SELECT r, w, n, unnest(generate_series(1, len(w) - n + 1)) AS i FROM docs, sizes WHERE len(w) >= n)),
+      found AS (SELECT DISTINCT r, n, i, item_id FROM runs JOIN windows USING (n, run)),
+      hit AS (SELECT r, count(DISTINCT place) AS n_hit FROM (
+        SELECT r, unnest(generate_series(i, i + n - 1)) AS place FROM found) GROUP BY r),
+      named AS (SELECT r, count(*) AS n_items, string_agg(item_id::varchar, ',' ORDER BY item_id::varchar) AS names
+        FROM (SELECT DISTINCT r, item_id FROM found) GROUP BY r)
+      SELECT doc_id, len(w)::bigint AS n_words, coalesce(n_hit, 0)::bigint AS n_hit, coalesce(n_items, 0)::bigint AS n_items,
+        sha256(coalesce(names, '')) AS items_sha256,
+        coalesce(n_hit, 0) > 0 AND {contamination.ONE_IN} * coalesce(n_hit, 0) >= len(w) AS contaminated
+      FROM docs LEFT JOIN hit USING (r) LEFT JOIN named USING (r)""",
+    "op8_url_filter": f"""
+      WITH parts AS (
+        SELECT row_number() OVER () AS r, page_id,
+          coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), {LETTERS}), '') AS host,
+          coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages),
+      rules(rule_host, rule_path, verdict) AS (VALUES {RULES}),
+      fits AS (
+        SELECT r, rule_host || rule_path AS rule, verdict,
+          row_number() OVER (PARTITION BY r ORDER BY length(rule_host || rule_path) DESC, length(rule_host) DESC) AS place
+        FROM parts JOIN rules
+          ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path))
+      SELECT page_id, host, path, rule, coalesce(verdict, '{urls.DEFAULT_VERDICT}') AS verdict
+      FROM parts LEFT JOIN (SELECT * FROM fits WHERE place = 1) USING (r)""",
+}
