@@ -21,17 +21,13 @@ ADMISSION_FORMS = [
 ]
 
 
-# A small table is dealt out to this many partitions at most.
-MOST_SPREAD = 16
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return use_core_conf(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Deal a small table out to the cores; one with as many partitions stays as it is."""
-    cores = min(df.sparkSession.sparkContext.defaultParallelism, MOST_SPREAD)
+    cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
 
 
