@@ -144,7 +144,8 @@ def induced(spans: DataFrame, words: DataFrame, rounds: int = ROUNDS) -> tuple[D
     open_edges = stored(
         _edges(spans.select(F.explode("candidates").alias("m"))).join(named, ["side", "word"], "left_semi"), "pii-candidates"
     )
-    totals = stored(words.join(seeds.select("word").distinct(), "word", "left_semi"), "pii-words")
+    # An inner join stays above the counting; a semi join would be moved below and deal out every word of every text.
+    totals = stored(words.join(seeds.select("word").distinct(), "word").select("word", "total"), "pii-words")
     edges = seeds.select("kind", "value", "side", "word", "n", F.lit(1.0).alias("score"))
     patterns = found = None
     for _ in range(rounds):
