@@ -36,16 +36,13 @@ LEAST_GAIN = 8.0
 END_WORD = ""  # no word is empty, so this stands for the end in the counts of words
 
 
-def words_of(text: str | None) -> list[str]:
-    """The words between ASCII blanks, A-Z lower-cased."""
-    if not text:
-        return []
-    raw = b" ".join(text.encode("utf-8", "surrogatepass").lower().split())
-    return raw.decode("utf-8", "surrogatepass").split(" ") if raw else []
+def normal(text: str | None) -> str:
+    """The words between ASCII blanks, A-Z lower-cased, with one blank between them."""
+    return b" ".join(text.encode("utf-8", "surrogatepass").lower().split()).decode("utf-8", "surrogatepass") if text else ""
 
 
-def code_points(words: list[str]) -> np.ndarray:
-    return np.frombuffer(" ".join(words).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+def code_points(normal_text: str) -> np.ndarray:
+    return np.frombuffer(normal_text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
 
 
 @dataclass
@@ -86,11 +83,28 @@ def gram_counts(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(codes[use], return_counts=True)
 
 
+# Counts and codes share 64 bits while they are added up: 28 for the count.
+COUNT_BITS = 28
+COUNTED = 1 << 27
+
+
+def added(counts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of equal codes added up, of less than ``2 ** COUNT_BITS`` runs in all; codes in order."""
+    both = np.concatenate([(c.astype(np.uint64) << np.uint64(COUNT_BITS)) | n.astype(np.uint64) for c, n in counts])
+    both.sort()
+    codes = (both >> np.uint64(COUNT_BITS)).astype(np.int64)
+    if not len(codes):
+        return codes, codes
+    starts = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
+    return codes[starts], np.add.reduceat((both & np.uint64((1 << COUNT_BITS) - 1)).astype(np.int64), starts)
+
+
 @dataclass
 class SuffixTree:
     """Kept contexts as nodes of a tree that is walked from the last symbol back."""
 
-    children: np.ndarray  # the node one symbol longer; where there is none, the node's resting twin
+    # The place (64 per node) of the node one symbol longer; where there is none, of the node's resting twin.
+    children: np.ndarray
     log_odds: np.ndarray  # log10 probability of each next symbol, by node
     alphabet: Alphabet
 
@@ -114,33 +128,32 @@ class SuffixTree:
                 children[up, context >> BITS * (depth - 1)] = k
                 kinds = max(1, np.count_nonzero(seen[k]))
                 odds[k] = (seen[k] + kinds * odds[up]) / (seen[k].sum() + kinds)
-        return cls(children.ravel(), np.log10(odds).astype(np.float32).ravel(), alphabet)
+        return cls(children.ravel() * SYMBOLS, np.log10(odds).astype(np.float32).ravel(), alphabet)
 
     def score(self, points: np.ndarray) -> float:
         """The log10 probability of a text of these code points and its end."""
-        total, tail = 0.0, np.full(DEPTH, END, dtype=np.int64)
-        nodes = len(self.log_odds) // SYMBOLS
+        total, tail, resting = 0.0, np.full(DEPTH, END, dtype=np.int32), len(self.log_odds)
         for at in range(0, len(points) + 1, 1_000_000):  # very long texts in parts
             part = points[at : at + 1_000_000]
-            symbols = self.alphabet.symbols[part].astype(np.int64)
-            if at + len(part) == len(points):
-                symbols = np.append(symbols, END)
-            run = np.concatenate([tail, symbols])
-            node = np.zeros(len(symbols), dtype=np.int64)
-            for back in range(1, DEPTH + 1):
-                node = self.children[node * SYMBOLS + run[DEPTH - back : len(run) - back]].astype(np.int64)
-            node = np.where(node >= nodes, node - nodes, node)
-            total += float(self.log_odds[node * SYMBOLS + symbols].sum(dtype=np.float64))
-            if len(part):
-                total += float(self.alphabet.shared[part].sum(dtype=np.float64))
-            tail = run[-DEPTH:]
-            if len(symbols) > len(part):
+            symbols = self.alphabet.symbols.take(part).astype(np.int32)
+            last = at + len(part) == len(points)
+            run = np.concatenate([tail, symbols, [END]] if last else [tail, symbols]).astype(np.int32)
+            node = self.children.take(run[DEPTH - 1 : -1])
+            for back in range(2, DEPTH + 1):
+                node += run[DEPTH - back : len(run) - back]
+                node = self.children.take(node)
+            node[node >= resting] -= resting
+            node += run[DEPTH:]
+            total += float(self.log_odds.take(node).sum(dtype=np.float64))
+            total += float(self.alphabet.shared.take(part).sum(dtype=np.float64))
+            if last:
                 break
+            tail = run[-DEPTH:]
         return total
 
 
 def _points(text: str | None) -> np.ndarray:
-    return code_points(words_of(text))
+    return code_points(normal(text))
 
 
 def learned_alphabet(texts: DataFrame) -> Alphabet:
@@ -169,24 +182,23 @@ def gram_table(texts: DataFrame, alphabet: Alphabet) -> DataFrame:
     sent = texts.sparkSession.sparkContext.broadcast(alphabet.symbols)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        symbols, held, size = sent.value, [], 0
+        symbols, held, size, read = sent.value, [], 0, 0
 
-        def summed_up() -> tuple[np.ndarray, np.ndarray]:
-            codes = np.concatenate([c for c, _ in held])
-            unique, place = np.unique(codes, return_inverse=True)
-            return unique, np.bincount(place, weights=np.concatenate([n for _, n in held])).astype(np.int64)
+        def rows(codes: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(codes), pa.array(counts)], names=["code", "n"])
 
         for batch in batches:
             held.append(gram_counts([symbols[_points(t)].astype(np.int64) for t in batch.column(0).to_pylist()]))
             size += len(held[-1][0])
-            if size > 3_000_000:
-                held = [summed_up()]
+            read += int(held[-1][1].sum())
+            if size > 3_000_000 or read > COUNTED:
+                held = [added(held)]
                 size = len(held[0][0])
-                if size > 2_000_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in held[0]], names=["code", "n"])
-                    held, size = [], 0
+                if size > 2_000_000 or read > COUNTED:
+                    yield rows(*held[0])
+                    held, size, read = [], 0, 0
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in summed_up()], names=["code", "n"])
+            yield rows(*added(held))
 
     small_batches(texts.sparkSession)
     grams = texts.select("text").mapInArrow(count, "code bigint, n bigint")
@@ -248,9 +260,10 @@ def scored(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", folds: t
         tree = sent.value
 
         def cut(text: str | None) -> tuple[list[str], dict]:
-            words = words_of(text)
-            score = tree.score(code_points(words))
-            return [*words, END_WORD], {"n_tokens": len(words) + 1, "score": score}
+            whole = normal(text)
+            words = whole.split(" ") if whole else []
+            words.append(END_WORD)
+            return words, {"n_tokens": len(words), "score": tree.score(code_points(whole))}
 
         return cut
 
