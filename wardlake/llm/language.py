@@ -139,17 +139,26 @@ def _kernels(landmarks) -> object:
 def sample_of(labelled: DataFrame, per_language: int) -> DataFrame:
     """At most ``per_language`` rows (doc_id, text, lang) of each language, those with the lowest hash.
 
-    The hashes are ranked without the texts, which then are read for the chosen rows alone;
-    ranked again, as repeated rows share a hash.
+    The hashes are ranked without the texts, which then are read in place for the chosen rows alone, and ranked again, as
+    repeated rows share a hash.  Of a frequent language only the lower hashes are ranked, about
+    four times as many as are wanted.  What is sent to all tasks is one row per language, of which the model
+    holds a column each anyway.
     """
+    spark = labelled.sparkSession
     ranked = Window.partitionBy("lang").orderBy("h", "doc_id")
     hashed = labelled.withColumn("h", F.xxhash64("doc_id"))
+    counts = labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()
+    known = spark.createDataFrame(counts, "lang string, n bigint")
+    low = F.shiftrightunsigned("h", 11) < F.least(F.lit(1.0), 4.0 * per_language / F.col("n")) * F.lit(2.0**53)
     bars = (
-        hashed.select("lang", "doc_id", "h").withColumn("r", F.row_number().over(ranked)).where(F.col("r") <= per_language)
-        .groupBy("lang").agg(F.max("h").alias("bar"))
+        hashed.select("lang", "doc_id", "h").join(F.broadcast(known), "lang").where(low)
+        .withColumn("r", F.row_number().over(ranked)).where(F.col("r") <= per_language)
+        .groupBy("lang").agg(F.max("h").alias("bar"), F.max("n").alias("n")).collect()
     )
+    known = spark.createDataFrame(bars, "lang string, bar bigint, n bigint")
     return (
-        hashed.join(bars, "lang").where("h <= bar").withColumn("r", F.row_number().over(ranked))
+        hashed.join(F.broadcast(known), "lang").where(low & (F.col("h") <= F.col("bar")))
+        .withColumn("r", F.row_number().over(ranked))
         .where(F.col("r") <= per_language).select("doc_id", "text", "lang", "r")
     )
 
