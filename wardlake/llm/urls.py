@@ -12,6 +12,8 @@ from wardlake.llm.common import LOWER, UPPER
 PARTS = r"(?s)\A.*?://([^/?#]*)([^?#]*)"
 # What a URL without a rule gets.
 DEFAULT_VERDICT = "allow"
+# Partitions that the pages of one host and path head are spread over.
+SALTS = 16
 # Hexadecimal digits of a digest that the join compares.
 KEY_DIGITS = 8
 
@@ -101,7 +103,10 @@ def judged_urls(
         .groupBy("host", "head")
         .agg(F.max(F.struct(F.length("rule"), "host_length", "rule", "verdict")).alias("best"))
     )
-    return parts.join(best, ["host", "head"], "left").select(
+    # A third of all pages may be of one host: they meet their rule in several places.
+    salted = best.withColumn("salt", F.explode(F.expr(f"sequence(0L, {SALTS - 1}L)")))
+    salt = F.pmod(F.xxhash64("page_id", "path"), F.lit(SALTS))
+    return parts.withColumn("salt", salt).join(salted, ["host", "head", "salt"], "left").select(
         "page_id",
         "host",
         "path",
