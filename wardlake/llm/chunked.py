@@ -24,7 +24,7 @@ from wardlake.llm.common import small_batches, stored
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # A chunk ends after the document with which it has so many characters, distinct words or documents.
-CHUNK_CHARS, CHUNK_WORDS, CHUNK_DOCUMENTS = 20_000_000, 300_000, 20_000
+CHUNK_CHARS, CHUNK_WORDS, CHUNK_DOCUMENTS = 13_500_000, 220_000, 20_000
 CHUNKS_PER_PARTITION = 1 << 14
 ENTRY_BITS = 28
 

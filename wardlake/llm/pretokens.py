@@ -8,6 +8,7 @@ texts, and those with special strings, are left to the library itself.
 
 from __future__ import annotations
 
+import os
 import re
 import sys
 import unicodedata
@@ -55,26 +56,36 @@ def byte_symbols() -> dict[int, str]:
 
 
 def load(path: str):
+    # One thread per task: Spark runs the tasks side by side, and every thread would keep memory of its own.
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     return Tokenizer.from_file(path)
 
 
+class Pieces:
+    """What a tokenizer's model makes of single pre-tokens."""
+
+    def __init__(self, whole):
+        self.model = whole.model
+        self.symbols = byte_symbols()
+
+    def __call__(self, word: str) -> list:
+        if word.isascii():
+            return self.model.tokenize(word.translate(self.symbols))
+        return self.model.tokenize("".join([self.symbols[b] for b in word.encode("utf-8", "surrogatepass")]))
+
+
 class WordCoder:
     """Ids of whole texts by the word-level tokenizer, as little-endian unsigned 32-bit numbers."""
 
     def __init__(self, path: str):
         self.whole = load(path)
-        self.model = self.whole.model
+        self.pieces = Pieces(self.whole)
         self.known: dict[str, bytes] = {}
-        self.symbols = {b: s for b, s in byte_symbols().items()}
 
     def _encode(self, word: str) -> bytes:
-        if not word.isascii():
-            word = "".join([self.symbols[b] for b in word.encode("utf-8")])
-        else:
-            word = word.translate(self.symbols)
-        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(word)])
+        return b"".join([t.id.to_bytes(4, "little") for t in self.pieces(word)])
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
         out = []
