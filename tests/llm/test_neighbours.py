@@ -53,3 +53,19 @@ def test_few_rows(spark, n):
     found = neighbours.nearest(frame(spark, list(rows.items())), F.col("vec_id") % 100 == 0).collect()
     want = exact(rows, 0, 10) if n else []
     assert [(r["score"], r["vec_id"]) for r in sorted(found, key=lambda r: r["rank"])] == want
+
+
+def hits_of(found, x, queries):
+    hits = 0
+    for query in queries:
+        far = np.sqrt(((x.astype(np.float64) - x[query].astype(np.float64)) ** 2).sum(axis=1))
+        far[query] = np.inf
+        hits += len(set(np.argsort(far, kind="stable")[:10].tolist()) & {r["vec_id"] for r in found if r["query_id"] == query})
+    return hits
+
+
+def test_recall_where_most_nodes_never_meet_in_a_block(spark, monkeypatch):
+    monkeypatch.setattr(neighbours.first_links, "__defaults__", (neighbours.NEIGHBOURS, 1, 25))
+    x = np.random.default_rng(3).standard_normal((12_000, 64)).astype(np.float32)
+    found = neighbours.nearest(frame(spark, list(enumerate(x.tolist()))), F.col("vec_id") % 400 == 0).collect()
+    assert hits_of(found, x, range(0, 12_000, 400)) >= 0.9 * 300

@@ -3,8 +3,8 @@
 Vectors that are equal are one node.  Random-projection trees deal the nodes into blocks, in which
 each gets its first neighbours.  Then neighbours of neighbours are compared, round by
 round: at every node the vectors of its neighbours, both ways, meet, and each learns which of the others are nearer than
-what it has.  A query walks the graph from its own node, always on from the nearest nodes not yet left.
-Graph and walk use halves of 16 bits; the result's distances are those of the original vectors in double precision.
+what it has, until few learn more.  A query walks the graph from its own node, always on from the nearest nodes not yet
+left, until its pool has none.  All use the original vectors; what is kept of distances comes from differences in double precision.
 """
 
 from __future__ import annotations
@@ -26,14 +26,18 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 NEIGHBOURS = 24  # kept per node of the graph
 TREES = 4
 BLOCK = 800  # nodes that are compared with each other at first, about
-TREE_SAMPLE = 20_000  # nodes that the trees' medians are taken from, at most about
-ROUNDS = 2
+# Nodes that the trees' medians are taken from, about: so many, and of large tables one in so many.
+TREE_SAMPLE, SAMPLED = 20_000, 1_000
+GROUP_NUMBERS = 1 << 22  # components in a group that a task splits on by itself, about
+SETTLED = 0.02  # share of new links with which the rounds end
 OFFERED = 10  # nearer nodes that one meeting offers to each of its members
-POOL, STEP, WALKS = 160, 48, 5  # a query's nearest nodes kept, left per walk, and walks
-RERANKED = 64
+# A query's nearest nodes kept, in tables of up to so many nodes; it grows with the root of the nodes, and ``k`` times FEWEST at least.
+POOL, POOL_NODES, FEWEST = 160, 5_000, 4
+STEP = 0.3  # share of the pool that is left per walk
+NUMBERS = 1 << 20  # components that are held at once in the small steps
 
-LINKS = "array<struct<d:float,id:bigint>>"
-LINK_TYPE = pa.list_(pa.struct([("d", pa.float32()), ("id", pa.int64())]))
+LINKS = "array<struct<d:double,id:bigint>>"
+LINK_TYPE = pa.list_(pa.struct([("d", pa.float64()), ("id", pa.int64())]))
 
 
 def usable(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -52,23 +56,18 @@ def usable(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddi
     return stored(once.where(F.size("embedding") == (best[0]["n"] if best else 0)), "vectors")
 
 
-def _halves(embedding: Column, scale: float) -> Column:
-    """The vector as bytes of 16-bit floats, scaled so that no component is above one."""
-
-    def pack(values: pa.Array) -> pa.Array:
-        n = len(values)
-        flat = values.flatten().to_numpy(zero_copy_only=False).astype(np.float64) / scale
-        rows = flat.astype(np.float16).reshape(n, -1) if n else np.empty((0, 0), dtype=np.float16)
-        return pa.array([row.tobytes() for row in rows], type=pa.binary())
+def rows_of(column: pa.Array) -> np.ndarray:
+    """A column of vectors as a matrix."""
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat.reshape(len(column), -1) if len(column) else np.empty((0, 1))
 
-    pack.__annotations__ = {"values": pa.Array, "return": pa.Array}
-    return F.arrow_udf(pack, "binary").asNondeterministic()(embedding)
 
-
-def rows_of(column: pa.Array) -> np.ndarray:
-    """A column of packed vectors as a matrix."""
-    data = b"".join(column.to_pylist())
-    return np.frombuffer(data, dtype=np.float16).reshape(len(column), -1).astype(np.float32)
+def between(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distances of rows, summed up one component after the other like ``distance_between``, to the last bit."""
+    total = np.zeros(np.broadcast_shapes(a.shape, b.shape)[:-1])
+    for j in range(a.shape[-1]):
+        total += np.square(a[..., j] - b[..., j])
+    return np.sqrt(total)
 
 
 class Trees:
@@ -77,15 +76,16 @@ class Trees:
     def __init__(self, sample: np.ndarray, trees: int, levels: int, seed: int = 7):
         rng = np.random.default_rng(seed)
         self.levels = levels
-        self.directions = rng.standard_normal((trees, levels, sample.shape[1] if sample.size else 1)).astype(np.float32)
-        self.medians = np.zeros((trees, 1 << levels), dtype=np.float32)
+        self.directions = rng.standard_normal((trees, levels, sample.shape[1] if sample.size else 1))
+        self.medians = np.zeros((trees, 1 << levels))
         for t in range(trees):
             node = np.ones(len(sample), dtype=np.int64)
             for level in range(levels):
                 along = sample @ self.directions[t, level]
-                for k in range(1 << level, 2 << level):
-                    inside = along[node == k]
-                    self.medians[t, k] = np.median(inside) if len(inside) else 0.0
+                order = np.lexsort((along, node))
+                ends = np.searchsorted(node[order], np.arange(1 << level, (2 << level) + 1))
+                full = np.flatnonzero(np.diff(ends))
+                self.medians[t, (1 << level) + full] = along[order[(ends[full] + ends[full + 1] - 1) // 2]]
                 node = 2 * node + (along > self.medians[t, node])
 
     def blocks(self, vectors: np.ndarray) -> np.ndarray:
@@ -108,9 +108,9 @@ def first_links(nodes: DataFrame, keep: int = NEIGHBOURS, trees: int = TREES, bl
     """``id, links``: the nearest nodes in the blocks of all trees."""
     spark = nodes.sparkSession
     n = nodes.count()
-    share = min(1.0, TREE_SAMPLE / max(1, n))
-    sample = nodes.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30))).select("vec").collect()
-    matrix = rows_of(pa.array([bytes(r["vec"]) for r in sample], pa.binary())) if sample else np.empty((0, 1), np.float32)
+    share = min(1.0, max(TREE_SAMPLE, n / SAMPLED) / max(1, n))
+    sample = nodes.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30))).select("vec").toArrow()
+    matrix = rows_of(sample["vec"].combine_chunks())
     deepest = max(0, int(math.log2(max(1, len(sample)) / 8)))
     levels = min(deepest, max(0, math.ceil(math.log2(max(1, n) / block))))
     sent = spark.sparkContext.broadcast(Trees(matrix, trees, levels))
@@ -120,24 +120,39 @@ def first_links(nodes: DataFrame, keep: int = NEIGHBOURS, trees: int = TREES, bl
 
     leaves.__annotations__ = {"vectors": pa.Array, "return": pa.Array}
     dealt = nodes.select("id", "vec", F.explode(F.arrow_udf(leaves, "array<bigint>")(F.col("vec"))).alias("block"))
-    # A block far beyond its size is dealt on by hash, so that none is too large for a task.
+    # A task splits a larger block on by itself; only one that is too large for a task is dealt on by hash, in each tree otherwise.
+    most = max(3 * block, GROUP_NUMBERS // max(1, matrix.shape[1]))
     sizes = dealt.groupBy("block").agg(F.count("*").alias("size"))
-    parts = F.greatest(F.lit(1), F.round(F.col("size") / block)).cast("bigint")
+    parts = F.greatest(F.lit(1), F.ceil(F.col("size") / most)).cast("bigint")
     split = dealt.join(sizes, "block").withColumn(
-        "part", F.when(F.col("size") > 3 * block, F.pmod(F.xxhash64("id"), parts)).otherwise(0).cast("bigint")
+        "part", F.pmod(F.xxhash64("block", "id"), parts).cast("bigint")
     )
 
+    def leaves_of(x: np.ndarray) -> Iterator[np.ndarray]:
+        rng, open_ = np.random.default_rng(len(x)), [np.arange(len(x))]
+        while open_:
+            rows = open_.pop()
+            if len(rows) <= 2 * block:
+                yield rows
+                continue
+            order = np.argpartition(x[rows] @ rng.standard_normal(x.shape[1]), len(rows) // 2)
+            open_ += [rows[order[: len(rows) // 2]], rows[order[len(rows) // 2 :]]]
+
     def compare(group: pa.Table) -> pa.Table:
         ids = group["id"].to_numpy()
-        x = rows_of(group["vec"].combine_chunks())
-        norms = np.einsum("ij,ij->i", x, x)
-        out, k = [], min(keep, len(ids) - 1)
-        for at in range(0, len(ids), 1024):
-            d = norms[at : at + 1024, None] + norms[None, :] - 2 * (x[at : at + 1024] @ x.T)
-            d[np.arange(len(d)), np.arange(at, at + len(d))] = np.inf
-            near = np.argpartition(d, k - 1, axis=1)[:, :k] if k > 0 else np.empty((len(d), 0), dtype=np.int64)
-            for row, places in zip(d, near):
-                out.append([{"d": max(0.0, float(row[p])), "id": int(ids[p])} for p in places])
+        every = rows_of(group["vec"].combine_chunks())
+        out: list = [None] * len(ids)
+        for leaf in leaves_of(every):
+            x = every[leaf] - np.median(every[leaf], axis=0)
+            norms, k = np.einsum("ij,ij->i", x, x), min(keep, len(leaf) - 1)
+            many = max(1, NUMBERS // (x.shape[1] * keep))
+            for at in range(0, len(leaf), many):
+                d = norms[at : at + many, None] + norms[None, :] - 2 * (x[at : at + many] @ x.T)
+                d[np.arange(len(d)), np.arange(at, at + len(d))] = np.inf
+                near = np.argpartition(d, k - 1, axis=1)[:, :k] if k > 0 else np.empty((len(d), 0), dtype=np.int64)
+                far = between(every[leaf[at : at + many], None], every[leaf[near]])
+                for row, places, apart in zip(leaf[at : at + many], leaf[near], far):
+                    out[row] = [{"d": float(f), "id": int(ids[p])} for f, p in zip(apart, places)]
         return pa.table({"id": group["id"], "links": pa.array(out, type=LINK_TYPE)})
 
     found = split.select("block", "part", "id", "vec").groupBy("block", "part").applyInArrow(compare, f"id bigint, links {LINKS}")
@@ -156,8 +171,8 @@ def both_ways(graph: DataFrame, keep: int) -> DataFrame:
 
 
 def descended(graph: DataFrame, nodes: DataFrame, keep: int = NEIGHBOURS, offered: int = OFFERED) -> DataFrame:
-    """One round: at every node its neighbours meet and offer each other."""
-    worst = graph.select("id", F.when(F.size("links") < keep, F.lit(float("inf"))).otherwise(F.element_at("links", -1)["d"]).cast("float").alias("worst"))
+    """One round: at every node its neighbours meet and offer each other; ``fresh`` counts a node's new links."""
+    worst = graph.select("id", F.when(F.size("links") < keep, F.lit(float("inf"))).otherwise(F.element_at("links", -1)["d"]).alias("worst"))
     members = nodes.join(worst, "id").select(F.col("id").alias("other"), "vec", "worst")
     meetings = both_ways(graph, keep // 2).join(members, "other").select("id", "other", "vec", "worst")
 
@@ -182,61 +197,87 @@ def descended(graph: DataFrame, nodes: DataFrame, keep: int = NEIGHBOURS, offere
         starts = np.flatnonzero(np.concatenate([[True], centres[1:] != centres[:-1]]))
         sizes = np.diff(np.append(starts, len(centres)))
         owners, lists = [], []
-        for at in range(0, len(starts), 256):
-            some = slice(at, at + 256)
+        many = max(1, NUMBERS // (x.shape[1] * 2 * keep))
+        for at in range(0, len(starts), many):
+            some = slice(at, at + many)
             first, size = starts[some], sizes[some]
             most = int(size.max())
             place = np.minimum(first[:, None] + np.arange(most)[None, :], len(ids) - 1)
             real = np.arange(most)[None, :] < size[:, None]
-            v = x[place]
+            whole = x[place]
+            # Near copies are told apart about one of them; the member of the median norm is no outlier.
+            norms = np.where(real, np.einsum("cmk,cmk->cm", whole, whole), np.inf)
+            middle = np.take_along_axis(np.argsort(norms, axis=1), (size[:, None] - 1) // 2, axis=1)
+            v = whole - np.take_along_axis(whole, middle[:, :, None], axis=1)
             norms = np.einsum("cmk,cmk->cm", v, v)
             d = norms[:, :, None] + norms[:, None, :] - 2 * (v @ v.transpose(0, 2, 1))
-            allowed = real[:, :, None] & real[:, None, :] & (d < worst[place][:, :, None])
+            # The sums round: a little more than what is nearer is looked at.
+            slack = 1e-14 * (norms[:, :, None] + norms[:, None, :])
+            allowed = real[:, :, None] & real[:, None, :] & (d - slack < np.square(worst[place])[:, :, None])
             allowed[:, np.arange(most), np.arange(most)] = False
             d = np.where(allowed, np.maximum(d, 0), np.inf)
             k = min(offered, most)
             near = np.argpartition(d, k - 1, axis=2)[:, :, :k]
-            best = np.take_along_axis(d, near, axis=2)
-            for c, m in zip(*np.nonzero(np.isfinite(best).any(axis=2))):
-                fine = np.isfinite(best[c, m])
-                owners.append(int(ids[place[c, m]]))
-                others = ids[place[c, near[c, m][fine]]]
-                lists.append([{"d": float(a), "id": int(b)} for a, b in zip(best[c, m][fine], others)])
+            c, m, j = np.nonzero(np.isfinite(np.take_along_axis(d, near, axis=2)))
+            mine, others = place[c, m], place[c, near[c, m, j]]
+            far = np.concatenate([between(x[mine[i : i + 4096]], x[others[i : i + 4096]]) for i in range(0, len(mine) + 1, 4096)])
+            fine = far < worst[mine]
+            mine, meeting, far, others = ids[mine[fine]], (c * most + m)[fine], far[fine], ids[others[fine]]
+            cuts = np.flatnonzero(np.diff(meeting, prepend=-1))
+            for a, b in zip(cuts, np.append(cuts[1:], len(mine))):
+                owners.append(int(mine[a]))
+                lists.append([{"d": float(y), "id": int(z)} for y, z in zip(far[a:b], others[a:b])])
         return pa.RecordBatch.from_arrays([pa.array(owners, pa.int64()), pa.array(lists, LINK_TYPE)], names=["id", "links"])
 
     small_batches(graph.sparkSession, 8192)
     found = meetings.repartition("id").sortWithinPartitions("id").mapInArrow(meet, f"id bigint, links {LINKS}")
-    return graph.union(found).groupBy("id").agg(_merged(F.flatten(F.collect_list("links")), keep).alias("links"))
+    old = graph.select("id", "links", F.col("links.id").alias("old"))
+    every = old.union(found.withColumn("old", F.lit(None).cast("array<bigint>"))).groupBy("id").agg(
+        _merged(F.flatten(F.collect_list("links")), keep).alias("links"), F.first("old", ignorenulls=True).alias("old")
+    )
+    return every.select("id", "links", F.size(F.array_except(F.col("links.id"), "old")).alias("fresh"))
 
 
-def neighbour_graph(nodes: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """``id, links`` of every node of ``nodes(id, vec)``, nearest first; each round is written."""
-    graph = stored(first_links(nodes), "graph")
-    for _ in range(rounds):
-        graph = stored(descended(graph, nodes), "graph")
+def neighbour_graph(nodes: DataFrame, rounds: int | None = None) -> DataFrame:
+    """``id, links`` of every node of ``nodes(id, vec)``, nearest first; each round is written.
+
+    The rounds end when few links are new, or after ``rounds``.
+    """
+    graph, done = stored(first_links(nodes), "graph"), 0
+    links = graph.agg(F.coalesce(F.sum(F.size("links")), F.lit(0))).first()[0]
+    while links and (rounds is None or done < rounds):
+        after = stored(descended(graph, nodes), "graph")
+        fresh, links = after.agg(F.sum("fresh"), F.sum(F.size("links"))).first()
+        graph, done = after.select("id", "links"), done + 1
+        if fresh <= SETTLED * links:
+            break
     return graph
 
 
-def walked(graph: DataFrame, nodes: DataFrame, starts: DataFrame, pool: int = POOL, step: int = STEP, walks: int = WALKS) -> DataFrame:
-    """``query_id, node`` of each query's nearest nodes found; ``starts`` has ``query_id, vec, node``.
+def walked(graph: DataFrame, nodes: DataFrame, starts: DataFrame, pool: int = POOL) -> DataFrame:
+    """``query_id, node`` of each query's nearest ``pool`` nodes found; ``starts`` has ``query_id, vec, node``.
 
-    In each walk a query goes on from its nearest nodes not yet left, to all that they are linked with, either way.
+    In each walk a query goes on from its nearest nodes not yet left, to all that they are linked with, either way;
+    the walks end when no query has such a node in its pool.
     """
 
     def distance(a: pa.Array, b: pa.Array) -> pa.Array:
-        return pa.array(np.square(rows_of(a) - rows_of(b)).sum(axis=1) if len(a) else [], pa.float32())
+        return pa.array(between(rows_of(a), rows_of(b)), pa.float64())
 
     distance.__annotations__ = {"a": pa.Array, "b": pa.Array, "return": pa.Array}
-    far = F.arrow_udf(distance, "float").asNondeterministic()
+    far = F.arrow_udf(distance, "double").asNondeterministic()
     # Packed per node, so that a walk reads one row for each node it leaves.
     around = stored(both_ways(graph, NEIGHBOURS).groupBy("id").agg(F.collect_list("other").alias("others")), "around")
     asking = starts.select("query_id", F.col("vec").alias("asked"))
-    seen = starts.select("query_id", "node", F.lit(0.0).cast("float").alias("d"), F.lit(True).alias("open"))
+    seen = starts.select("query_id", "node", F.lit(0.0).alias("d"), F.lit(True).alias("open"))
     nearest = Window.partitionBy("query_id").orderBy("d", "node")
     openly = Window.partitionBy("query_id", "open").orderBy("d", "node")
-    for _ in range(walks):
+    step = math.ceil(STEP * pool)
+    while True:
         top = seen.withColumn("r", F.row_number().over(nearest)).where(F.col("r") <= pool)
         top = stored(top.withColumn("go", F.col("open") & (F.row_number().over(openly) <= step)), "walk")
+        if top.where("go").isEmpty():
+            return top.select("query_id", "node")
         reached = (
             top.where("go").join(around, F.col("node") == F.col("id"))
             .select("query_id", F.explode("others").alias("node")).distinct()
@@ -247,7 +288,6 @@ def walked(graph: DataFrame, nodes: DataFrame, starts: DataFrame, pool: int = PO
             .select("query_id", "node", far("vec", "asked").alias("d"), F.lit(True).alias("open"))
         )
         seen = top.select("query_id", "node", "d", (F.col("open") & ~F.col("go")).alias("open")).union(met)
-    return seen.withColumn("r", F.row_number().over(nearest)).where(F.col("r") <= RERANKED).select("query_id", "node")
 
 
 def distance_between(a: Column, b: Column) -> Column:
@@ -257,7 +297,7 @@ def distance_between(a: Column, b: Column) -> Column:
 
 
 def nearest(
-    vectors: DataFrame, queries_where: Column, k: int = 10, vec_id: str = "vec_id", embedding: str = "embedding", rounds: int = ROUNDS
+    vectors: DataFrame, queries_where: Column, k: int = 10, vec_id: str = "vec_id", embedding: str = "embedding", rounds: int | None = None
 ) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` nearest found to each row that ``queries_where`` (on ``vec_id``) picks.
 
@@ -273,16 +313,16 @@ def nearest(
     first = rows.withColumn("r", F.row_number().over(equal.orderBy("vec_id"))).where(F.col("r") <= k + 1)
     members = stored(first.withColumn("node", F.min("vec_id").over(equal)), "members")
     distinct = members.where("r = 1").select(F.col("node").alias("id"), "embedding")
-    scale = rows.agg(F.max(F.array_max(F.transform("embedding", F.abs)))).first()[0]
-    nodes = stored(distinct.select("id", "embedding", _halves(F.col("embedding"), float(scale or 1.0)).alias("vec")), "nodes")
-    slim = nodes.select("id", "vec")
+    nodes = stored(distinct, "nodes")
+    slim = nodes.select("id", F.col("embedding").alias("vec"))
     graph = neighbour_graph(slim, rounds)
+    pool = max(math.ceil(POOL * math.sqrt(max(1.0, nodes.count() / POOL_NODES))), FEWEST * k)
     asked = rows.where(queries_where).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("asked"))
     starts = stored(
-        asked.join(nodes, F.col("asked") == F.col("embedding")).select("query_id", "asked", "vec", F.col("id").alias("node")), "starts"
+        asked.join(nodes, F.col("asked") == F.col("embedding")).select("query_id", "asked", F.col("id").alias("node")), "starts"
     )
     small_batches(spark, 4096)
-    found = walked(graph, slim, starts.select("query_id", "vec", "node"))
+    found = walked(graph, slim, starts.select("query_id", F.col("asked").alias("vec"), "node"), pool)
     scored = (
         found.join(nodes.select(F.col("id").alias("node"), "embedding"), "node").join(starts.select("query_id", "asked"), "query_id")
         .select("query_id", "node", distance_between(F.col("asked"), F.col("embedding")).alias("score"))
