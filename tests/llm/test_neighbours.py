@@ -64,6 +64,18 @@ def hits_of(found, x, queries):
     return hits
 
 
+def test_near_copies_beside_an_outlier(spark):
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((2500, 16)).astype(np.float32)
+    x[:1000] = x[0] * (1 + 1e-4 * rng.standard_normal((1000, 16)))
+    x[1700] = 1e30
+    found = neighbours.nearest(frame(spark, list(enumerate(x.tolist()))), F.col("vec_id") % 100 == 0).collect()
+    queries = range(0, 2500, 100)
+    assert all(sum(r["query_id"] == q for r in found) == 10 for q in queries)
+    assert hits_of(found, x, [q for q in queries if q < 1000]) >= 0.95 * 100
+    assert hits_of(found, x, [q for q in queries if q > 1000 and q != 1700]) >= 0.95 * 130
+
+
 def test_recall_where_most_nodes_never_meet_in_a_block(spark, monkeypatch):
     monkeypatch.setattr(neighbours.first_links, "__defaults__", (neighbours.NEIGHBOURS, 1, 25))
     x = np.random.default_rng(3).standard_normal((12_000, 64)).astype(np.float32)
