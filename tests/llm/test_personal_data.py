@@ -61,3 +61,15 @@ def test_patterns_find_unseen_identifiers(spark):
     start = text.index("user77")
     assert found.pop(20) == [("like_email", start, start + len("user77(at)example"))]
     assert all(spans == [] for spans in found.values())
+
+
+def test_instances_found_in_one_round_induce_patterns_in_the_next(spark):
+    rows = [(i, f"some words here write mailto: user{i}@mail.example.com now or call") for i in range(40)]
+    rows += [(100 + i, f"some words here write mailto: nick{i} now or call") for i in range(10)]
+    rows += [(200 + i, f"reached under handle: nick{i}") for i in range(10)]
+    rows += [(300, "reached under handle: zed9"), (301, "the word 9 and zed")]
+    made = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = {r["doc_id"]: [tuple(x) for x in r["added"]] for r in pii.found_data(made).collect()}
+    assert found[300] == [("like_email", 22, 26)]
+    assert all(len(found[i]) == 1 for i in [*range(100, 110), *range(200, 210)])
+    assert found[301] == [] and all(found[i] == [] for i in range(40))

@@ -135,17 +135,24 @@ def induced(spans: DataFrame, words: DataFrame, rounds: int = ROUNDS) -> tuple[D
     """New instances ``value, kind`` and the patterns ``kind, side, word, confidence`` that catch them.
 
     ``spans`` has arrays ``base`` and ``candidates``; ``words`` counts every ``word`` as ``total``.  In each round a pattern's confidence
-    is the share of its word's occurrences at which it points to an instance, each counted by its score.
+    is the share of its word's occurrences at which it points to an instance, each counted by its score.  Instances found in one round
+    induce patterns of their own in the next.
     """
     seeds = _edges(spans.select(F.explode("base").alias("m")).select(F.col("m.kind").alias("kind"), "m"), "kind")
     seeds = stored(seeds, "pii-seeds")
-    # Candidates matter where a seed's pattern points: others cannot be caught.
-    named = seeds.select("side", "word").distinct()
-    open_edges = stored(
-        _edges(spans.select(F.explode("candidates").alias("m"))).join(named, ["side", "word"], "left_semi"), "pii-candidates"
+    every = stored(_edges(spans.select(F.explode("candidates").alias("m"))), "pii-edges")
+    # A word can become a pattern, in any round, only if enough stands where it points, were all of that instances.
+    most = (
+        seeds.select("side", "word", "n").union(every.select("side", "word", "n"))
+        .groupBy("side", "word").agg(F.count("*").alias("support"), F.sum("n").alias("hits")).where(F.col("support") >= LEAST_SUPPORT)
     )
-    # An inner join stays above the counting; a semi join would be moved below and deal out every word of every text.
-    totals = stored(words.join(seeds.select("word").distinct(), "word").select("word", "total"), "pii-words")
+    # The join stays above the counting; a semi join would be moved below and deal out every word of every text.
+    totals = stored(
+        most.join(words, "word", "left").select("side", "word", "hits", F.coalesce("total", F.lit(0)).alias("total"))
+        .where(F.col("hits") >= LEAST_CONFIDENCE * F.col("total")).drop("hits"),
+        "pii-words",
+    )
+    open_edges = stored(every.join(totals.select("side", "word"), ["side", "word"], "left_semi"), "pii-candidates")
     edges = seeds.select("kind", "value", "side", "word", "n", F.lit(1.0).alias("score"))
     patterns = found = None
     for _ in range(rounds):
@@ -153,8 +160,8 @@ def induced(spans: DataFrame, words: DataFrame, rounds: int = ROUNDS) -> tuple[D
             F.count_distinct("value").alias("support"), F.sum(F.col("n") * F.col("score")).alias("hits")
         ).where(F.col("support") >= LEAST_SUPPORT)
         patterns = (
-            caught.join(totals, "word", "left")
-            .withColumn("confidence", F.least(F.lit(0.99), F.col("hits") / F.greatest("hits", F.coalesce("total", F.lit(0)))))
+            caught.join(totals, ["side", "word"])
+            .withColumn("confidence", F.least(F.lit(0.99), F.col("hits") / F.greatest("hits", "total")))
             .where(F.col("confidence") >= LEAST_CONFIDENCE)
             .select("kind", "side", "word", "confidence")
         )
