@@ -389,6 +389,7 @@ def secured_visits(admin: bool, groups: list[str]) -> str:
 
 
 _cell_columns = [k for k in KEYS.values() if k not in ("file", "row")]
+_broken = "patient_last_name || chr(10) || '\"' || patient_race || '\"' || chr(13) || chr(10) || patient_race || chr(13)"
 _cells = f"WITH {CELLS} SELECT {', '.join(_cell_columns)} FROM cells"
 
 ORACLES: dict[str, str] = {
@@ -410,8 +411,11 @@ ORACLES: dict[str, str] = {
     "overlap_replay": f"WITH {CELLS} SELECT row, {stamp('arrived')} AS timestamp_bronze FROM sent",
     "csv_batch_envelopes": f"WITH {CELLS} SELECT {', '.join(_cell_columns)}, true AS own_place FROM cells",
     "csv_multiline": f"""WITH {CELLS} SELECT {', '.join(_cell_columns)}, true AS own_place FROM (
-        SELECT * REPLACE (CASE WHEN row % 2 = 0 THEN patient_last_name
-          ELSE patient_last_name || chr(10) || '"' || patient_race || '"' || chr(10) END AS patient_last_name) FROM cells)""",
+        SELECT * REPLACE (CASE WHEN row % 2 = 0 THEN patient_last_name ELSE {_broken} END AS patient_last_name) FROM cells)""",
+    "csv_records_across_splits": f"""WITH {CELLS} SELECT {', '.join(_cell_columns)}, true AS own_place,
+        row_number() OVER (ORDER BY row) AS number FROM (SELECT * REPLACE ({_broken} AS patient_last_name) FROM cells)""",
+    "csv_resume_rows": f"""{_cells} UNION ALL SELECT {', '.join(_cell_columns)} FROM (
+        SELECT *, row_number() OVER (ORDER BY row) AS number FROM cells) WHERE number > 445 AND number <= 450""",
     "csv_listing": "SELECT count(*)::bigint AS n_rows, 0::bigint AS n_missed FROM events",
     "csv_two_sources": _cells,
     "csv_row_numbers": """SELECT count(*) AS n_rows, count(*) AS n_places, 0::bigint AS n_gaps FROM events""",

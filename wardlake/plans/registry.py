@@ -21,6 +21,7 @@ from wardlake.sources.envelopes import parse_lines
 from wardlake.sources.tables import stream_table
 from wardlake.streaming import intake
 from wardlake.streaming.current_state import CurrentVisits, visits_upsert
+from wardlake.streaming.row_intake import RowIntake
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -90,28 +91,50 @@ def overlap_replay(spark, sf_dir):
 def csv_batch_envelopes(spark, sf_dir):
     """The cells, and whether each payload holds its own file and row number."""
     path = _write_csv(testdata.visit_cells(spark, sf_dir), scratch_dir(spark, "csv"))
-    rows = csv_rows.envelopes(csv_rows.read_lines(spark, path))
+    rows = csv_rows.read_rows(spark, path)
     return _cells_and_place(rows)
 
 
-def _cells_and_place(rows: DataFrame) -> DataFrame:
+SPLITS = 12
+
+
+def _cells_and_place(rows: DataFrame, *kept: str) -> DataFrame:
     parsed = rows.withColumn("payload", F.parse_json("value"))
     place = (F.try_variant_get("payload", "$.file", "string") == F.col("file")) & (
         F.try_variant_get("payload", "$.row", "bigint") == F.col("row")
     )
     cells = [F.try_variant_get("payload", f"$.{key}", "string").alias(key) for key in CELLS]
-    return parsed.select(*cells, place.alias("own_place"))
+    return parsed.select(*cells, place.alias("own_place"), *kept)
+
+
+def _broken() -> Column:
+    """A name with line feeds, carriage returns and quotes."""
+    return F.concat("patient_last_name", F.lit('\n"'), "patient_race", F.lit('"\r\n'), "patient_race", F.lit("\r"))
 
 
 @query
 def csv_multiline(spark, sf_dir):
-    """Cells with line breaks, in files of their own beside files without."""
+    """Cells with line feeds and carriage returns, in files of their own beside files without."""
     cells = testdata.visit_cells(spark, sf_dir)
-    broken = F.concat("patient_last_name", F.lit('\n"'), "patient_race", F.lit('"\n'))
     first = F.col("row") % 2 == 0
     path = _write_csv(cells.where(first), scratch_dir(spark, "csv"))
-    _write_csv(cells.where(~first).withColumn("patient_last_name", broken), path, mode="append")
-    return _cells_and_place(csv_rows.envelopes(csv_rows.read_lines(spark, path)))
+    _write_csv(cells.where(~first).withColumn("patient_last_name", _broken()), path, mode="append")
+    return _cells_and_place(csv_rows.read_rows(spark, path))
+
+
+@query
+def csv_records_across_splits(spark, sf_dir):
+    """One file with line breaks in cells, cut into many splits: every record whole and under its own number."""
+    cells = testdata.visit_cells(spark, sf_dir).withColumn("patient_last_name", _broken())
+    path = _write_csv(cells.repartition(1).sortWithinPartitions("row"), scratch_dir(spark, "csv"))
+    size = spark.read.format("binaryFile").load(path).agg(F.max("length")).first()[0]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(size // SPLITS + 1))
+    try:
+        rows = csv_rows.read_rows(spark, path)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    return _cells_and_place(rows.withColumn("number", F.col("row")), "number")
 
 
 @query
@@ -119,7 +142,7 @@ def csv_listing(spark, sf_dir):
     """The files listed are those that rows come from."""
     path = _write_csv(testdata.visit_cells(spark, sf_dir), scratch_dir(spark, "csv"))
     listed = csv_rows.list_files(spark, path).withColumn("listed", F.lit(True))
-    read = csv_rows.envelopes(csv_rows.read_lines(spark, path)).groupBy("file").agg(F.count("*").alias("n"))
+    read = csv_rows.read_rows(spark, path).groupBy("file").agg(F.count("*").alias("n"))
     both = listed.join(read, "file", "full")
     return both.agg(
         F.sum("n").alias("n_rows"), F.count_if(F.col("listed").isNull() | F.col("n").isNull()).alias("n_missed")
@@ -130,7 +153,7 @@ def csv_listing(spark, sf_dir):
 def csv_row_numbers(spark, sf_dir):
     """Rows of each file are numbered from 1 without a gap."""
     path = _write_csv(testdata.visit_cells(spark, sf_dir), scratch_dir(spark, "csv"))
-    rows = csv_rows.envelopes(csv_rows.read_lines(spark, path))
+    rows = csv_rows.read_rows(spark, path)
     files = rows.groupBy("file").agg(F.count("*").alias("n"), F.max("row").alias("last"))
     places = rows.select("file", "row").distinct().agg(F.count("*").alias("n_places"))
     totals = files.agg(
@@ -165,6 +188,22 @@ def csv_resume(spark, sf_dir):
     return _cells_of(intake.read_bronze(spark, f"{root}/bronze"))
 
 
+# Rows of a batch, and batches until the first run stops.
+FEW_ROWS, FEW_BATCHES = 150, 3
+
+
+@query
+def csv_resume_rows(spark, sf_dir):
+    """A run that stops inside a file; the next one goes on five rows before."""
+    root = scratch_dir(spark, "row-intake")
+    cells = testdata.visit_cells(spark, sf_dir)
+    source = _write_csv(cells.repartition(1).sortWithinPartitions("row"), f"{root}/csv")
+    RowIntake(spark, source, f"{root}/bronze", f"{root}/state", rows_per_batch=FEW_ROWS).run(batches=FEW_BATCHES)
+    RowIntake(spark, source, f"{root}/bronze", f"{root}/state").run(seconds=None)
+    bronze = intake.read_bronze(spark, f"{root}/bronze")
+    return _cells_of(bronze.where(F.try_variant_get("payload", "$.row", "bigint").isNotNull()))
+
+
 @query
 def csv_reset(spark, sf_dir):
     """With a new checkpoint everything is read once more."""

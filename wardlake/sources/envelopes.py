@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 from wardlake.functions.times import arrival_stamp
 
-# Rows sent again after a resume, rows between two saves of the reading state.
+# Fixed value: rows sent again after a resume.
 OVERLAP_ROWS = 5
-SAVE_INTERVAL = 50
 
 
 def strict_json(line: Column) -> Column:
@@ -57,26 +56,3 @@ def to_bronze(records: DataFrame, *kept: str, arrived: Column | None = None) ->
     """Bronze rows of records with a ``payload``; the arrival time is now unless given."""
     moment = F.current_timestamp() if arrived is None else arrived
     return records.select("payload", arrival_stamp(moment).alias("timestamp_bronze"), *kept)
-
-
-def with_replay(
-    rows: DataFrame,
-    row_number: str = "row",
-    overlap: int = OVERLAP_ROWS,
-    interval: int = SAVE_INTERVAL,
-    resent: dict[str, Column] | None = None,
-) -> DataFrame:
-    """All rows, and once more those that a reader resuming at each saved state sends again.
-
-    A state is saved every ``interval`` rows and a resume goes ``overlap`` rows back.
-    ``resent`` gives columns their value on the second sending (such as the arrival time).
-    The rows are read once.
-    """
-    saved = F.pmod(F.col(row_number) - 1, F.lit(interval)) >= interval - overlap
-    times = F.when(saved, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
-    sent = rows.withColumn("_again", F.explode(times))
-    changed = {
-        name: F.when(F.col("_again"), value).otherwise(F.col(name))
-        for name, value in (resent or {}).items()
-    }
-    return sent.withColumns(changed).drop("_again")

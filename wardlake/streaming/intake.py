@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from wardlake.schemas import BRONZE_VISITS
-from wardlake.sources.csv_rows import envelopes, stream_lines
+from wardlake.sources.csv_rows import envelopes, refuse_hidden, same_splits, stream_lines
 from wardlake.sources.envelopes import counted, parse_lines, to_bronze
 
 # Fixed value: seconds after which an intake run stops.
@@ -33,11 +33,14 @@ def place_of(path: str, run: str, batch_id: int) -> str:
     return f"{path}/run={run}/batch_id={batch_id}"
 
 
-def _land_csv(bronze_path: str, checkpoint: str) -> Callable[[DataFrame, int], None]:
+def _land_csv(source: str, bronze_path: str, checkpoint: str) -> Callable[[DataFrame, int], None]:
     def land(batch: DataFrame, batch_id: int) -> None:
-        run = run_of(batch.sparkSession, checkpoint)
-        records = envelopes(batch).withColumn("payload", F.parse_json("value"))
-        to_bronze(records).write.mode("overwrite").parquet(place_of(bronze_path, run, batch_id))
+        spark = batch.sparkSession
+        refuse_hidden(spark, source)
+        run = run_of(spark, checkpoint)
+        with same_splits(spark):
+            records = envelopes(batch).withColumn("payload", F.parse_json("value"))
+            to_bronze(records).write.mode("overwrite").parquet(place_of(bronze_path, run, batch_id))
 
     return land
 
@@ -85,7 +88,7 @@ def csv_to_bronze(
     reads all again (the upsert by key removes what is then read twice).  The run ends
     when all files there have been read, or with ``every`` looks for more at that interval.
     """
-    land = _land_csv(bronze_path, checkpoint)
+    land = _land_csv(source, bronze_path, checkpoint)
     return _start(stream_lines(spark, source, files_per_batch), land, checkpoint, every)
 
 
