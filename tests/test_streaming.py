@@ -193,7 +193,6 @@ def test_a_crash_at_any_step_loses_nothing(spark, tmp_path, monkeypatch, at):
         raise Crash
 
     def published():
-        CurrentVisits._note(table, staged=True)
         staged = spark.read.parquet(table.staging)
         staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
             "admission_period", "key_slice").parquet(table.path)

@@ -58,3 +58,27 @@ def enrich_visits(visits: DataFrame, doctors: DataFrame, salts: int = 1) -> Data
         "experience_bucket_in_years": band(F.col("years_of_experience"), EXPERIENCE_BANDS),
     })
     return enforce_schema(gold, GOLD_VISITS)
+
+
+def changed_doctors(before: DataFrame, after: DataFrame) -> DataFrame:
+    """``doctor_id`` of the doctors that came, went, or changed in a column that gold shows; repeated doctors count as often as given."""
+    before, after = (d.select(*FROM_DOCTOR) for d in (before, after))
+    return before.exceptAll(after).unionByName(after.exceptAll(before)).select("doctor_id").distinct()
+
+
+def as_visits(gold: DataFrame) -> DataFrame:
+    """The visits that gold rows were made of, once each, as far as gold needs them again."""
+    return gold.dropDuplicates(["visit_id"]).withColumn("coordinator_manager_flag", F.col("coordinator_involved") == 1).select(*FROM_VISIT)
+
+
+def visits_to_join_again(gold: DataFrame, feed: DataFrame, doctors_before: DataFrame, doctors_after: DataFrame) -> DataFrame:
+    """Visits whose gold rows change: those that a feed brings in their new form, and those of changed doctors that it does not name.
+
+    Changed visits meet all doctors, changed doctors meet the other visits, and no visit is in both: with the gold rows of
+    the same visits taken away and these joined to ``doctors_after`` put in their place, gold is that of the whole join.
+    ``gold`` needs only the rows of changed doctors.
+    """
+    came = feed.where("change <> 'update_preimage'").select(*FROM_VISIT)
+    moved = gold.join(changed_doctors(doctors_before, doctors_after), "doctor_id", "left_semi")
+    moved = moved.join(feed.select("visit_id"), "visit_id", "left_anti")
+    return came.unionByName(as_visits(moved))

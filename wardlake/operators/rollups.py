@@ -1,8 +1,8 @@
-"""Grouped gold tables over the enriched visits."""
+"""Grouped gold tables over the enriched visits, whole or as sums that take changes."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardlake.functions.measures import visit_measures
@@ -78,3 +78,57 @@ def coordinator_impact(visits: DataFrame) -> DataFrame:
 
 def wait_time_by_hour_weekday(visits: DataFrame) -> DataFrame:
     return rollup(visits, "wait_time_by_hour_weekday")
+
+
+# The columns that measures average, by measure: what is averaged, its digits, what it is multiplied by.
+AVERAGED = {
+    "avg_wait_time": ("wait_time", 1, 1),
+    "avg_satisfaction": ("satisfaction_score", 2, 1),
+    "admission_rate_pct": ("admission_flag", 1, 100),
+    "coordinator_usage_pct": ("coordinator_involved", 1, 100),
+    "avg_age": ("age", 1, 1),
+}
+
+
+def _averaged_columns(name: str) -> list[str]:
+    needed = {AVERAGED[m][0] for m in ROLLUPS[name][1] if m in AVERAGED}
+    if "satisfaction_responses" in ROLLUPS[name][1]:
+        needed.add("satisfaction_score")
+    return sorted(needed)
+
+
+def partials(visits: DataFrame, name: str, weight: int | Column = 1) -> DataFrame:
+    """A roll-up before its divisions: rows, and per averaged column the sum and the number of known values.
+
+    All are sums, so partials of parts of the visits add up, and with ``weight`` -1 those of visits that are gone are taken away.
+    """
+    if "coordinator" in ROLLUPS[name][0]:
+        visits = with_coordinator_label(visits)
+    weight = F.lit(weight) if isinstance(weight, int) else weight
+    sums = [F.sum(weight).cast("bigint").alias("visits")]
+    for column in _averaged_columns(name):
+        value = F.col(column).cast("bigint")
+        sums.append(F.coalesce(F.sum(weight * value), F.lit(0)).cast("bigint").alias(f"sum_{column}"))
+        sums.append(F.sum(weight * value.isNotNull().cast("int")).cast("bigint").alias(f"n_{column}"))
+    return visits.groupBy(*ROLLUPS[name][0]).agg(*sums)
+
+
+def added(some: DataFrame, more: DataFrame, name: str) -> DataFrame:
+    """The sum of two partials; groups without a visit left are gone."""
+    keys = ROLLUPS[name][0]
+    both = some.unionByName(more)
+    return both.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in both.columns if c not in keys]).where("visits <> 0")
+
+
+def finished(sums: DataFrame, name: str) -> DataFrame:
+    """The roll-up that partials are of."""
+    keys, measures = ROLLUPS[name]
+
+    def measure(m: str) -> Column:
+        if m not in AVERAGED:
+            return F.col("visits" if m == "visits" else "n_satisfaction_score")
+        column, digits, times = AVERAGED[m]
+        mean = F.try_divide(F.col(f"sum_{column}").cast("double"), F.col(f"n_{column}").cast("double"))
+        return F.round(mean if times == 1 else F.lit(times) * mean, digits)
+
+    return sums.select(*keys, *[measure(m).alias(m) for m in measures])

@@ -11,9 +11,11 @@ from wardlake.operators import corpus, retrieval, rollups
 from wardlake.operators.access import LAYOUT, with_layout, without_layout
 from wardlake.operators.enrich import enrich_visits
 from wardlake.plans import testdata
+from wardlake.plans.gold_refresh import GoldTables
 from wardlake.plans.lake import current_visits, silver_doctors
 from wardlake.session import scratch_dir, use_core_conf
 from wardlake.sources.envelopes import to_bronze
+from wardlake.streaming.current_state import CurrentVisits
 
 # Splits the visits into two halves by arrival, and marks a state shortly before the end.
 HALF_TIME, EARLIER_TIME = "2024-01-16", "2024-01-30T12"
@@ -99,3 +101,31 @@ def earlier_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
         return corpus.insight_docs(renamed, rollups.doctor_performance(past))
 
     return _land(spark, sf_dir, "earlier_docs", build)
+
+
+def earlier_doctors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The doctors of some time ago: some in other departments, some not there yet, one since gone."""
+    number = F.expr("try_cast(substring(doctor_id, 5) AS int)")
+    then = doctors(spark, sf_dir).where(number.isNull() | (number % 11 != 0))
+    then = then.withColumn("department", F.when(number % 7 == 0, F.lit(CLOSED)).otherwise(F.col("department")))
+    gone = then.limit(1).withColumn("doctor_id", F.lit("DOC-GONE"))
+    return then.unionByName(gone)
+
+
+def refreshed_gold(spark: SparkSession, sf_dir: str) -> GoldTables:
+    """Gold as it was at half time, taken to now by what has changed since: once a session."""
+    key = (spark.sparkContext.applicationId, sf_dir, "refreshed_gold")
+    if key not in _landed:
+        path = scratch_dir(use_core_conf(spark), "refreshed-gold")
+        first = bronze(spark, sf_dir).where(F.col("timestamp_bronze") < HALF_TIME)
+        late = bronze(spark, sf_dir).where(F.col("timestamp_bronze") >= HALF_TIME)
+        table = CurrentVisits(spark, f"{path}/visits", slices=2)
+        tables = GoldTables(spark, f"{path}/gold")
+        for version, part in enumerate((first, late)):
+            table.apply(current_visits(part), version, run="refresh")
+            if version == 0:
+                tables.start(table.read(), earlier_doctors(spark, sf_dir))
+            else:
+                tables.apply(table.feed(version, "refresh"), doctors(spark, sf_dir), version)
+        _landed[key] = path
+    return GoldTables(spark, f"{_landed[key]}/gold")

@@ -447,6 +447,11 @@ ORACLES: dict[str, str] = {
     "violations_doctor": f"WITH {DOCTORS} {failing(DOCTOR_RULES, 'doctors_clean', _doctor_list)}",
     "scd1_current": f"WITH {VISITS} SELECT {_visit_list} FROM visits",
     "scd1_stream": f"WITH {VISITS} SELECT {_visit_list} FROM visits",
+    "scd1_changes": f"""WITH {VISITS}, early_kept AS (SELECT * FROM kept WHERE bronze_timestamp < '2024-01-16'),
+      {current('early', 'early_kept')}, gone AS (SELECT * FROM early EXCEPT SELECT * FROM visits),
+      came AS (SELECT * FROM visits EXCEPT SELECT * FROM early)
+      SELECT 'update_preimage' AS change, {_visit_list} FROM gone
+      UNION ALL SELECT CASE WHEN visit_id IN (SELECT visit_id FROM early) THEN 'update_postimage' ELSE 'insert' END, {_visit_list} FROM came""",
     "visits_enriched": f"WITH {GOLD} SELECT {GOLD_COLUMNS} FROM gold",
     "visits_enriched_salted": f"WITH {GOLD} SELECT {GOLD_COLUMNS} FROM gold",
     "age_bands": f"WITH {GOLD} SELECT age, age_group, count(*) AS visits FROM gold GROUP BY age, age_group",
@@ -553,3 +558,7 @@ ORACLES: dict[str, str] = {
                      "Gastroenterology", "General Practice", "Orthopedics")
     },
 }
+ORACLES["gold_refreshed"] = ORACLES["visits_enriched"]
+ORACLES |= {f"refreshed_{name}": ORACLES[name] for name in (
+    "wait_vs_satisfaction", "department_monthly_stats", "doctor_performance", "coordinator_impact", "wait_time_by_hour_weekday",
+)}

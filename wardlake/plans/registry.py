@@ -393,6 +393,19 @@ def scd1_stream(spark, sf_dir):
     return current.read().drop("silver_timestamp")
 
 
+@query
+def scd1_changes(spark, sf_dir):
+    """The change feed of the second of two batches."""
+    root = scratch_dir(spark, "changes")
+    bronze = landed.bronze(spark, sf_dir)
+    early = F.col("timestamp_bronze") < landed.HALF_TIME
+    current = CurrentVisits(spark, f"{root}/visits", slices=2)
+    for part in (early, ~early):
+        bronze.where(part).write.mode("append").parquet(f"{root}/bronze")
+        visits_upsert(stream_table(spark, f"{root}/bronze"), current, f"{root}/checkpoint").awaitTermination()
+    return current.feed(1, intake.run_of(spark, f"{root}/checkpoint")).drop("silver_timestamp")
+
+
 @query
 def quarantine_rows(spark, sf_dir):
     """Rows without an arrival time, from two streams into one table."""
@@ -453,6 +466,24 @@ for _name in rollups.ROLLUPS:
     _rollup_query(_name)
 
 
+@query
+def gold_refreshed(spark, sf_dir):
+    """Gold after changed visits and changed doctors have gone through the join."""
+    return landed.refreshed_gold(spark, sf_dir).gold()
+
+
+def _refreshed_query(name: str) -> None:
+    def build(spark, sf_dir):
+        return landed.refreshed_gold(spark, sf_dir).rollup(name)
+
+    build.__name__ = f"refreshed_{name}"
+    query(build)
+
+
+for _name in rollups.ROLLUPS:
+    _refreshed_query(_name)
+
+
 # ---- access ------------------------------------------------------------------
 
 

@@ -11,15 +11,20 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from wardlake.operators.patients import clean_visits
 from wardlake.operators.quality import VISIT_RULES, expect
-from wardlake.operators.upsert import VISIT_SEQUENCE, latest_by_key
+from wardlake.operators.upsert import VISIT_SEQUENCE, change_rows, latest_by_key, upserted
 from wardlake.schemas import SILVER_VISITS, enforce_schema
 from wardlake.streaming.intake import place_of, run_of
 
 PLACE = ["admission_period", "key_slice"]
 STORED = f"{SILVER_VISITS}, admission_period STRING, key_slice INT"
+FEED = f"change STRING, {SILVER_VISITS}"
+STAGED = f"{STORED}, _before STRUCT<{SILVER_VISITS}>, _change STRING"
+# The run of batches that come from no stream.
+DIRECT = "direct"
 MAX_NAMED_PARTITIONS = 10_000
 # Rows of one partition that one task merges, about.
 ROWS_PER_TASK = 2_000_000
@@ -54,13 +59,17 @@ class CurrentVisits:
     A batch is first written as it comes, so that it is computed once and its rows are where all
     executors can read them.  Rows without a sequence value go to the quarantine table, in a folder of their run and batch.
 
+    The rows that a batch changed go to a change feed, one folder per run and batch: the row before and the row after an update,
+    new rows as they are.  They come out of the same merge.  A batch of a stream that is already in the table
+    is not merged again, so its feed stays as it was.
+
     While a batch is published its partitions are replaced one after the other: who reads the table then may see some of
     the batch, or fail and should read again.
 
     ``slices`` sets how finely a batch can pick what to rewrite and stays with the
     table.  ``spread`` sets how many tasks (and files) share one partition and may
-    change; if not given it follows from the rows of the largest touched partition, often that of
-    the undated visits, so that a task gets about ``rows_per_task``.
+    change; if not given each partition gets its own number, by its rows, so that a task gets about ``rows_per_task`` and
+    a small partition is one file.
     """
 
     def __init__(
@@ -69,15 +78,20 @@ class CurrentVisits:
         self.spark, self.path = spark, path.rstrip("/")
         self.slices, self.spread, self.rows_per_task = slices, spread, rows_per_task
         self.incoming = f"{self.path}_incoming"
-        self.staging, self.note = f"{self.path}_staging", f"{self.path}_staged"
-        self.quarantine = f"{self.path}_quarantine"
+        self.staging, self.note, self.applied = f"{self.path}_staging", f"{self.path}_staged", f"{self.path}_applied"
+        self.quarantine, self.changes = f"{self.path}_quarantine", f"{self.path}_changes"
 
     def read(self) -> DataFrame:
         return self.spark.read.schema(STORED).parquet(self.path).drop(*PLACE)
 
-    def apply(self, batch: DataFrame, batch_id: int, run: str = "direct") -> None:
-        if self._staged():
-            self._publish()
+    def feed(self, batch_id: int, run: str = DIRECT) -> DataFrame:
+        """What a batch changed: ``change`` and the columns of a visit."""
+        return self.spark.read.schema(FEED).parquet(place_of(self.changes, run, batch_id))
+
+    def apply(self, batch: DataFrame, batch_id: int, run: str = DIRECT) -> None:
+        self._finish()
+        if run != DIRECT and self._last_of(run) >= batch_id:
+            return
         marked = batch.withColumn("_sequenced", F.col(VISIT_SEQUENCE).isNotNull())
         marked.write.mode("overwrite").partitionBy("_sequenced").parquet(self.incoming)
         came = self.spark.read.schema(f"{SILVER_VISITS}, _sequenced BOOLEAN").parquet(self.incoming)
@@ -85,26 +99,29 @@ class CurrentVisits:
         held.write.mode("overwrite").parquet(place_of(self.quarantine, run, batch_id))
         merged = self._merge(came.where("_sequenced").drop("_sequenced"))
         merged.write.mode("overwrite").partitionBy(*PLACE).parquet(self.staging)
-        self._note(staged=True)
-        self._publish()
+        self._note(True, run, batch_id)
+        self._finish()
 
     def _merge(self, batch: DataFrame) -> DataFrame:
-        """New content of the touched partitions, each in as many tasks as its rows need."""
+        """New content of the touched partitions, each in as many tasks as its rows need, and what changed in it."""
         places = batch.withColumns(place_columns(self.slices)).groupBy(*PLACE).agg(F.count("*").alias("n"))
-        placed = latest_by_key(batch).withColumns(place_columns(self.slices))
+        placed = latest_by_key(batch).withColumns(place_columns(self.slices)).withColumn("_new", F.lit(True))
         current = _read_or_none(self.spark, self.path, STORED)
-        largest = places
+        sizes = places
         if current is not None:
-            old = self._partitions_of(current, places)
+            old = self._partitions_of(current, places).withColumn("_new", F.lit(False))
             placed = placed.unionByName(old.select(*placed.columns))
-            largest = places.union(old.groupBy(*PLACE).agg(F.count("*").alias("n")))
-        spread = self.spread
-        if spread is None:
-            rows = largest.groupBy(*PLACE).agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0] or 0
-            spread = max(1, -(-rows // self.rows_per_task))
-        share = F.pmod(F.hash("visit_id"), F.lit(spread))
-        shared = placed.withColumn("_share", share).repartition(*PLACE, "_share")
-        return latest_by_key(shared, within=[*PLACE, "_share"]).drop("_share")
+            sizes = places.unionByName(old.groupBy(*PLACE).agg(F.count("*").alias("n")))
+        if self.spread is None:
+            tasks = F.ceil(F.sum("n") / self.rows_per_task).cast("int")
+            # Most partitions are one task, as those not listed are.
+            large = sizes.groupBy(*PLACE).agg(tasks.alias("_tasks")).where("_tasks > 1")
+            placed = placed.join(large, PLACE, "left").withColumn("_tasks", F.coalesce("_tasks", F.lit(1)))
+        else:
+            placed = placed.withColumn("_tasks", F.lit(self.spread))
+        placed = placed.withColumn("_share", F.pmod(F.hash("visit_id"), F.col("_tasks"))).drop("_tasks")
+        shared = placed.repartition(*PLACE, "_share")
+        return upserted(shared, within=[*PLACE, "_share"]).drop("_share")
 
     def _partitions_of(self, current: DataFrame, places: DataFrame) -> DataFrame:
         """The rows of the current table in partitions that the batch has rows for.
@@ -124,6 +141,17 @@ class CurrentVisits:
         named = self.spark.createDataFrame(names, touched.schema)
         return scan.join(F.broadcast(named), PLACE, "left_semi")
 
+    def _finish(self) -> None:
+        """Publish what is staged, if anything is: the feed, then the table, then a note of the batch."""
+        note = _read_or_none(self.spark, self.note, "staged BOOLEAN, run STRING, batch_id BIGINT")
+        for staged in note.where("staged").take(1) if note is not None else []:
+            columns = StructType.fromDDL(SILVER_VISITS).names
+            changed = change_rows(self.spark.read.schema(STAGED).parquet(self.staging), columns)
+            changed.write.mode("overwrite").parquet(place_of(self.changes, staged["run"], staged["batch_id"]))
+            self._publish()
+            self._one_row(F.lit(staged["batch_id"]).alias("batch_id")).parquet(f"{self.applied}/run={staged['run']}")
+            self._note(False, staged["run"], staged["batch_id"])
+
     def _publish(self) -> None:
         (
             self.spark.read.schema(STORED).parquet(self.staging)
@@ -132,15 +160,18 @@ class CurrentVisits:
             .partitionBy(*PLACE)
             .parquet(self.path)
         )
-        self._note(staged=False)
 
-    def _note(self, staged: bool) -> None:
-        note = self.spark.range(1, numPartitions=1).select(F.lit(staged).alias("staged"))
-        note.write.mode("overwrite").parquet(self.note)
+    def _one_row(self, *columns: Column):
+        return self.spark.range(1, numPartitions=1).select(*columns).write.mode("overwrite")
+
+    def _note(self, staged: bool, run: str, batch_id: int) -> None:
+        named = {"staged": staged, "run": run, "batch_id": batch_id}
+        self._one_row(*[F.lit(value).alias(name) for name, value in named.items()]).parquet(self.note)
 
-    def _staged(self) -> bool:
-        note = _read_or_none(self.spark, self.note, "staged BOOLEAN")
-        return note is not None and any(row.staged for row in note.take(1))
+    def _last_of(self, run: str) -> int:
+        """The last batch of a run that is in the table, -1 before the first."""
+        last = _read_or_none(self.spark, f"{self.applied}/run={run}", "batch_id BIGINT")
+        return -1 if last is None else last.first()["batch_id"]
 
 
 def visits_upsert(
