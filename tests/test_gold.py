@@ -187,6 +187,27 @@ def test_readers_skip_the_folders_of_other_departments(spark, tmp_path, capsys):
     assert sorted(map(tuple, lake.read("visits_enriched").collect()), key=str) == sorted(map(tuple, gold.collect()), key=str)
 
 
+def test_many_readers_at_once(spark, tmp_path):
+    people = spark.createDataFrame([
+        ("v1", "Cardiology", "Lee"), ("v2", "General Practice", "Ray"), ("v3", None, "Fox"), ("v4", "Cardiology", None),
+    ], "visit_id string, department_referral string, last_name string")
+    access.with_layout(people).write.partitionBy("referral_group").parquet(f"{tmp_path}/people")
+    members = [("ann", "dept_cardiology"), ("ann", "dept_cardiology"), ("ann", "dept_general_practice"), ("bob", "hospital_admin"),
+               ("bob", "dept_cardiology"), ("cid", "dept_nothing"), ("dan", "clerks"), (None, "dept_cardiology"), ("eve", None)]
+    spark.createDataFrame(members, "reader string, group string").write.parquet(f"{tmp_path}/members")
+    stored, groups = spark.read.parquet(f"{tmp_path}/people"), spark.read.parquet(f"{tmp_path}/members")
+    for table in (people, stored):
+        found = sorted((tuple(r) for r in access.secured_for_members(table, groups).collect()), key=str)
+        want = [
+            (reader, *row) for reader in ("ann", "bob", "cid", "dan", "eve")
+            for row in access.secured(people, [g for r, g in members if r == reader and g]).collect()
+        ]
+        assert found == sorted(want, key=str)
+    plan = access.secured_for_members(stored, groups, ["ann"])
+    assert "dynamicpruning" in plan._jdf.queryExecution().toString()
+    assert {r.visit_id for r in plan.collect()} == {"v1", "v2", "v4"}
+
+
 def test_personal_columns_are_refused(spark):
     with pytest.raises(ValueError, match="last_name"):
         access.assert_no_personal_columns(spark.createDataFrame(PEOPLE, PEOPLE_COLUMNS))

@@ -78,6 +78,43 @@ def secured(
     ])
 
 
+def secured_for_members(
+    df: DataFrame,
+    members: DataFrame,
+    readers: Iterable[str] | None = None,
+    department: str = "department_referral",
+    personal: Iterable[str] = PERSONAL_COLUMNS,
+) -> DataFrame:
+    """The table as each of many readers sees it, with a column ``reader``: for every reader the rows of ``secured``.
+
+    ``members`` has ``reader`` and ``group``, once or more often each; ``readers`` picks some of them.  The groups meet the rows in a join:
+    a table laid out by group reads the folders of groups that a picked reader is in, found while the job runs.  An admin is
+    in every group that the table has, and sees rows without a department as well.
+    """
+    picked = members.select("reader", "group").where("reader IS NOT NULL AND group IS NOT NULL")
+    if readers is not None:
+        picked = picked.where(F.col("reader").isin(sorted(set(readers))))
+    stored, hide, key = LAYOUT.get(department), set(personal), "_group"
+    group = F.col(stored) if stored in df.columns else department_group(F.col(department))
+    rows = df.withColumn(key, group)
+    admins = picked.where(F.col("group") == ADMIN_GROUP).select("reader").distinct()
+    # Folders' names alone tell the groups of a table laid out by them.
+    every = rows.where(F.col(key).isNotNull()).select(F.col(key).alias("group"), F.lit(ADMIN_GROUP).alias("of")).distinct()
+    everywhere = admins.withColumn("of", F.lit(ADMIN_GROUP)).join(every, "of").select("reader", "group")
+    somewhere = picked.where(F.col("group").startswith(DEPARTMENT_GROUP)).join(admins, "reader", "left_anti").distinct()
+    seen = [
+        rows.join(some.withColumnRenamed("group", key).withColumn("_admin", F.lit(admin)), key)
+        for some, admin in ((somewhere, False), (everywhere, True))
+    ]
+    nowhere = rows.where(F.col(key).isNull()).withColumn(key, F.lit(ADMIN_GROUP))
+    seen.append(nowhere.join(admins.select(F.lit(ADMIN_GROUP).alias(key), "reader", F.lit(True).alias("_admin")), key))
+    shown = seen[0].unionByName(seen[1]).unionByName(seen[2])
+    return shown.select("reader", *[
+        F.when(F.col("_admin"), F.col(c)).otherwise(F.lit(MASK)).alias(c) if c in hide else F.col(c)
+        for c in without_layout(df).columns
+    ])
+
+
 # Which groups the functions of a session were made for.
 _made_for: dict[tuple[str, str], list[str]] = {}
 

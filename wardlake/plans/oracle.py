@@ -139,6 +139,7 @@ VISITS = f"{CLEAN}, {current('visits', 'kept')}"
 _departments = texts(*[f" {d} " for d in (
     "cardiology", "emergency medicine", "neurology", "physiotherapy", "gastroenterology",
     "general practice", "orthopedics")])
+_groups = [f"dept_{d.strip(" '").replace(' ', '_')}" for d in _departments]
 DOCTORS_RAW = f"""doctors_raw AS (
   SELECT CASE WHEN s_suppkey % 37 = 36 THEN NULL WHEN s_suppkey % 43 = 42 THEN 'BAD' || s_suppkey
               ELSE ' doc-' || s_suppkey || ' ' END AS doctor_id,
@@ -479,6 +480,12 @@ ORACLES: dict[str, str] = {
       WHERE {visible("department_referral", ["dept_cardiology"])}""",
     "dept_filter_groups": f"""WITH {ROLLED} SELECT * REPLACE (admission_month::varchar AS admission_month)
       FROM monthly WHERE {visible("department_referral", ["dept_cardiology", "dept_no_referral"])}""",
+    "dept_filter_members": f"""WITH {VISITS}, members AS (
+        SELECT n_name AS reader, {pick("n_nationkey", *texts(*_groups))} AS grp FROM nation
+        UNION SELECT n_name, CASE WHEN n_nationkey % 9 = 8 THEN 'hospital_admin' ELSE 'dept_cardiology' END FROM nation),
+      readers AS (SELECT reader, list(grp) AS groups, list_contains(list(grp), 'hospital_admin') AS admin FROM members GROUP BY reader)
+      SELECT reader, visit_id, CASE WHEN admin THEN last_name ELSE '***' END AS last_name, department_referral
+      FROM readers JOIN visits ON admin OR list_contains(groups, 'dept_' || lower(replace(department_referral, ' ', '_')))""",
     "access_functions": f"""WITH {VISITS} SELECT visit_id, '***' AS last_name, department_referral
       FROM visits WHERE {visible("department_referral", ["dept_general_practice", "dept_neurology"])}""",
     "gold_no_pii": f"WITH {GOLD} SELECT {GOLD_COLUMNS} FROM gold",

@@ -517,6 +517,14 @@ def dept_filter_groups(spark, sf_dir):
     return access.secured(monthly, ["dept_cardiology", "dept_no_referral"])
 
 
+@query
+def dept_filter_members(spark, sf_dir):
+    """What every reader sees, by a table of who is in which group."""
+    visits = landed.visits(spark, sf_dir, laid_out=True)
+    seen = access.secured_for_members(visits, testdata.members(spark, sf_dir))
+    return seen.select("reader", "visit_id", "last_name", "department_referral")
+
+
 @query
 def access_functions(spark, sf_dir):
     visits = landed.visits(spark, sf_dir)

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wardlake.operators.access import ADMIN_GROUP
 from wardlake.operators.reports import CHART_DEPARTMENTS
 from wardlake.session import use_core_conf
 from wardlake.sources.envelopes import OVERLAP_ROWS
@@ -115,3 +116,11 @@ def doctors_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("U"), key % 5).alias("university"),
         F.when(key % 29 == 28, -1).otherwise(key % 30).cast("int").alias("years_of_experience"),
     )
+
+
+def members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``reader, group``: one reader per nation, most of them in two departments, every ninth an admin."""
+    nation, key = table(spark, sf_dir, "nation"), F.col("n_nationkey")
+    first = _pick(key, *[f"dept_{d.lower().replace(' ', '_')}" for d in CHART_DEPARTMENTS])
+    second = F.when(key % 9 == 8, F.lit(ADMIN_GROUP)).otherwise(F.lit("dept_cardiology"))
+    return nation.select(F.col("n_name").alias("reader"), F.explode(F.array(first, second)).alias("group"))
