@@ -569,3 +569,5 @@ ORACLES["gold_refreshed"] = ORACLES["visits_enriched"]
 ORACLES |= {f"refreshed_{name}": ORACLES[name] for name in (
     "wait_vs_satisfaction", "department_monthly_stats", "doctor_performance", "coordinator_impact", "wait_time_by_hour_weekday",
 )}
+ORACLES["topk_indexed"] = ORACLES["topk_retrieval"]
+ORACLES["document_retrieval_indexed"] = ORACLES["document_retrieval"]

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from wardlake.functions.times import arrival_stamp
-from wardlake.operators import access, corpus, merge, quality, reports, retrieval, rollups
+from wardlake.operators import access, corpus, merge, quality, reports, retrieval, rollups, vector_index
 from wardlake.operators.doctors import clean_doctors
 from wardlake.operators.enrich import enrich_visits
 from wardlake.operators.patients import PAYLOAD_KEYS, clean_visits, drop_markers, payload_texts
@@ -611,9 +611,7 @@ def vector_refresh(spark, sf_dir):
     return _weights(retrieval.refresh_vectors(old, embedded), "doc_id")
 
 
-@query
-def topk_retrieval(spark, sf_dir):
-    """For the mean vector of every label, the vectors nearest to it."""
+def _means_and_vectors(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     table = testdata.table(spark, sf_dir, "embeddings")
     mean = (
         table.select("label", F.posexplode("embedding").alias("i", "x"))
@@ -624,7 +622,22 @@ def topk_retrieval(spark, sf_dir):
     )
     questions = mean.select(F.col("label").alias("question_id"), F.col("parts.x").alias("vector"))
     documents = table.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
-    return retrieval.top_k(questions, documents)
+    return questions, documents
+
+
+@query
+def topk_retrieval(spark, sf_dir):
+    """For the mean vector of every label, the vectors nearest to it."""
+    return retrieval.top_k(*_means_and_vectors(spark, sf_dir))
+
+
+@query
+def topk_indexed(spark, sf_dir):
+    """The same by an index."""
+    questions, documents = _means_and_vectors(spark, sf_dir)
+    path = scratch_dir(spark, "index")
+    vector_index.build_index(documents, path)
+    return vector_index.indexed_top_k(questions, path)[0]
 
 
 def _questions(spark, sf_dir) -> DataFrame:
@@ -649,18 +662,28 @@ def insight_retrieval(spark, sf_dir):
     return _retrieved(spark, sf_dir)
 
 
-@query
-def document_retrieval(spark, sf_dir):
-    """For every benchmark text, the documents nearest to it; whole texts on both sides."""
+def _texts_and_documents(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     embedder = retrieval.hashed_words()
     questions = testdata.table(spark, sf_dir, "benchmark").select(
         F.col("item_id").alias("question_id"), embedder(F.col("text")).alias("vector")
     )
     table = testdata.spread(testdata.table(spark, sf_dir, "documents"), "doc_id")
-    documents = table.select(
-        "doc_id", embedder(F.col("text")).alias("vector")
-    )
-    return retrieval.top_k(questions, documents)
+    return questions, table.select("doc_id", embedder(F.col("text")).alias("vector"))
+
+
+@query
+def document_retrieval(spark, sf_dir):
+    """For every benchmark text, the documents nearest to it; whole texts on both sides."""
+    return retrieval.top_k(*_texts_and_documents(spark, sf_dir))
+
+
+@query
+def document_retrieval_indexed(spark, sf_dir):
+    """The same by an index."""
+    questions, documents = _texts_and_documents(spark, sf_dir)
+    path = scratch_dir(spark, "index")
+    vector_index.build_index(documents, path)
+    return vector_index.indexed_top_k(questions, path)[0]
 
 
 @query
