@@ -94,5 +94,15 @@ def test_groups_of_documents(docs, no_docs, texts):
     kept = simhash.deduplicated(docs).collect()
     ids = [r["doc_id"] for r in kept if r["doc_id"] is not None]
     assert sorted(ids) == sorted(set(least.values()))
-    assert sum(r["doc_id"] is None for r in kept) == 2
+    # The row without id and with words is a group of its own; the one without text is in the group of the empty ones.
+    assert [r["text"] for r in kept if r["doc_id"] is None] == ["no id here at all"]
     assert kept[0].asDict().keys() == set(docs.columns)
+
+
+def test_every_group_keeps_a_text_whatever_the_ids(spark):
+    a, b, c = ("alpha beta gamma delta " * 9, "one two three four five six " * 9, "x y z u v w q r s t " * 9)
+    rows = [(1, a), (1, b), (2, a), (3, b), (None, c), (None, c), (None, a), (1, a), (4, None), (5, "")]
+    docs = spark.createDataFrame([(*r, "d", 3) for r in rows], "doc_id bigint, text string, digest string, n_rows int").repartition(3)
+    kept = simhash.deduplicated(docs)
+    assert kept.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr) == sorted([(1, a), (1, b), (None, c), (4, None)], key=repr)

@@ -126,21 +126,27 @@ def fingerprint_links(prints: DataFrame) -> DataFrame:
     return linked.union(stars.where("a != b")).distinct()
 
 
+def rooted(prints: DataFrame) -> DataFrame:
+    """``fp, root, least`` of the fingerprints of rows ``doc_id, fp``: the fingerprint that names the group, and the least id of each."""
+    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    found = components(fingerprint_links(nodes.select("fp"))).select(F.col("node").alias("fp"), "root")
+    return nodes.join(found, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def grouped(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per document: ``doc_id, fp, component_id``.
 
     ``component_id`` is the least id reachable over links of at most two bits, the document's own included.
-    Texts without words share fingerprint zero and are linked like any others.  Rows
-    with a null id are grouped too, but give no component id; repeated rows stay.  An empty table gives no rows.
+    Texts without words share fingerprint zero and are linked like any others.  Texts of any length are read whole.  Rows
+    with a null id are grouped too, but give no component id; repeated rows stay.  Other columns are not read, whatever their names.
+    An empty table gives no rows.
     Documents of one fingerprint are one node with their least id, so copies cost
     nothing but their own rows.
     """
     prints = stored(with_fingerprint(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))).select("doc_id", "fp"), "simhash")
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    found = components(fingerprint_links(nodes.select("fp"))).select(F.col("node").alias("fp"), "root")
-    rooted = nodes.join(found, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_print = rooted.join(least, "root").select("fp", "component_id")
+    of_root = rooted(prints)
+    least = of_root.groupBy("root").agg(F.min("least").alias("component_id"))
+    of_print = of_root.join(least, "root").select("fp", "component_id")
     return prints.join(of_print, "fp").select("doc_id", "fp", "component_id")
 
 
@@ -149,15 +155,21 @@ def hex_of(fp: Column) -> Column:
 
 
 def deduplicated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """``docs`` with one document of each group, the one of the least id; columns stay as they are.
+    """``docs`` with one row of each group: of the least id (null after all others), then of the least SHA-256 of the text.
 
-    Of rows that repeat that id one stays.  Rows with a null id cannot be told apart: they all stay.
+    Ids need be neither unique nor there: every group keeps a text of its own.  Of rows that are
+    alike in id and text one stays.  A null text is empty.  Columns stay as they are; an empty table stays empty.
     """
-    found = grouped(docs, text, doc_id)
-    n = unused(docs, "n_rows")
-    keep = found.where("doc_id = component_id").groupBy(F.col("doc_id").alias(doc_id)).agg(F.count("*").alias(n))
-    kept = docs.join(keep, doc_id)
+    n, digest, key, own = (unused(docs, name) for name in ("n_rows", "digest", "key", "own_digest"))
+    marked = docs.withColumn(own, F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256))
+    prints = with_fingerprint(marked.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(own).alias("digest")))
+    prints = stored(prints.select("doc_id", "fp", "digest"), "simhash")
+    alike = prints.groupBy("fp", "doc_id", "digest").agg(F.count("*").alias("n"))
+    first = alike.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest", "n")).alias("first"))
+    chosen = rooted(prints).join(first, "fp").groupBy("root").agg(F.min("first").alias("first"))
+    keep = chosen.select(F.col("first.doc_id").alias(key), F.col("first.digest").alias(digest), F.col("first.n").alias(n))
+    kept = marked.join(keep, (F.col(own) == F.col(digest)) & F.col(doc_id).eqNullSafe(F.col(key)))
     once = kept.where(F.col(n) == 1).select(docs.columns)
-    # Only ids that repeat need their rows brought together.
-    again = kept.where(F.col(n) > 1).select(docs.columns).dropDuplicates([doc_id])
-    return once.unionByName(again).unionByName(docs.where(F.col(doc_id).isNull()))
+    # Only rows that repeat need to be brought together.
+    again = kept.where(F.col(n) > 1).dropDuplicates([digest, key]).select(docs.columns)
+    return once.unionByName(again)
