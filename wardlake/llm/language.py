@@ -38,7 +38,8 @@ def gram_codes(text: str | None) -> np.ndarray:
 
     A character takes 21 bits of a number, so no two n-grams share one.
     """
-    folded = NOT_LETTERS.sub(" ", text.lower()).strip() if text else ""
+    # Number letters such as Ⅷ and ² stand beside letters only.
+    folded = NOT_LETTERS.sub(" ", text.lower()).strip() if text and any(map(str.isalpha, text)) else ""
     if not folded:
         return np.empty(0, dtype=np.int64)
     chars = np.frombuffer(f" {folded} ".encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64) + 1
@@ -216,6 +217,11 @@ def guess(spark, model: LanguageModel, text: Column) -> Column:
     return _udf(guessed, GUESS)(text)
 
 
+def has_letter(text: Column) -> Column:
+    """True for texts with a letter, in any script."""
+    return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
+
+
 def with_language(docs: DataFrame, model: LanguageModel, text: str = "text", into: str = "guess") -> DataFrame:
     """``docs`` with a struct ``into``; rows and other columns stay as they are (a column ``into`` is replaced)."""
     small_batches(docs.sparkSession, 128)
