@@ -11,15 +11,21 @@ from wardlake.llm.queries import tokenizer
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text has a language: null texts, texts without a letter, and all if nothing is labelled, go."""
+    """Documents whose text has a language: null texts and texts without a letter go.
+
+    A text with a letter gets a language whatever its score, and stays; so do all of them where no row is labelled, or only rows of
+    the held-out fold.  Ids may repeat or be null, texts may be of any length, columns of any name stay; an empty table stays empty.
+    """
     model = language.learned(docs)
+    if not model.languages:
+        return docs.where(language.has_letter(F.col("text")))
     guess = unused(docs, "guess")
     guessed = language.with_language(docs, model, into=guess)
     return guessed.where(F.col(guess)["lang"] != language.UNKNOWN).select(docs.columns)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, that of the least id."""
+    """One document of each group of near-duplicates, that of the least id; a repeated or null id costs no text (see ``deduplicated``)."""
     return simhash.deduplicated(docs)
 
 
