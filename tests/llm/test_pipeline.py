@@ -38,9 +38,19 @@ def test_run_keeps_clean_documents(spark):
     assert kept == {i for i in least if i not in unknown and i not in bad}
 
 
+def test_unlabelled_documents_stay(spark, tables):
+    rows = [(1, "some words here", None, "s", 5), (2, "²½ ①② Ⅷ 12", None, "s", 5), (3, "日本", None, "s", 2), (4, None, "en", "s", 0), (None, "x", None, "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    held_out = spark.createDataFrame([(i, "held out words", "en", "s", 3) for i in range(40)], docs.schema).where("crc32(cast(doc_id as string)) % 4 = 2")
+    for table in (docs, docs.unionByName(held_out)):
+        kept = corpus_pipeline.STAGES[0][1](spark, table, tables).collect()
+        assert {r["doc_id"] for r in kept if r["text"] != "held out words"} == {1, 3, None}
+        assert len(kept) == table.count() - 2
+
+
 def test_registered():
     names = list(entry.queries())
     assert "pipeline" in names
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(name.startswith(f"op{n}_") for name in names) == 1
     assert [name for name, _ in corpus_pipeline.STAGES][1] == "near_duplicates"
