@@ -81,3 +81,18 @@ def test_walks_go_on_to_the_end(spark):
     graph = spark.createDataFrame([(i, [(1.0, i + 1)] if i < 9 else []) for i in range(10)], f"id bigint, links {neighbours.LINKS}")
     starts = spark.createDataFrame([(0, [0.0], 0)], "query_id bigint, vec array<float>, node bigint")
     assert {r["node"] for r in neighbours.walked(graph, nodes, starts).collect()} == set(range(10))
+
+
+def test_rows_of_one_id_and_vectors_of_several_lengths(spark):
+    rows = [(0, [0.5, 1.0]), (0, [9.0, 1.0]), (0, [9.0, 1.0]), (1, [0.0, 1.0]), (2, [8.0, 1.0]), (7, [0.5, 1.0]), (100, [1.0, 1.0, 1.0]), (101, [2.0, 1.0, 1.0])]
+    found = neighbours.nearest(frame(spark, rows), F.col("vec_id") % 100 == 0, k=2).collect()
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in found)
+    # The two vectors of id 0 are two queries, and each is a candidate of the other.
+    assert got == sorted([(0, 1, 7, 0.0), (0, 2, 1, 0.5), (0, 1, 2, 1.0), (0, 2, 0, 8.5), (100, 1, 101, 1.0)])
+
+
+def test_recall_of_twelve_thousand_rows(spark):
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((12_000, 64)).astype(np.float32)
+    found = neighbours.nearest(frame(spark, list(enumerate(x.tolist()))), F.col("vec_id") % 100 == 0).collect()
+    assert hits_of(found, x, range(0, 12_000, 100)) >= 0.95 * 1200

@@ -23,16 +23,16 @@ from wardlake.llm.common import small_batches, stored
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-NEIGHBOURS = 24  # kept per node of the graph
+NEIGHBOURS = 40  # kept per node of the graph
 TREES = 4
 BLOCK = 800  # nodes that are compared with each other at first, about
 # Nodes that the trees' medians are taken from, about: so many, and of large tables one in so many.
 TREE_SAMPLE, SAMPLED = 20_000, 1_000
 GROUP_NUMBERS = 1 << 22  # components in a group that a task splits on by itself, about
-SETTLED = 0.02  # share of new links with which the rounds end
-OFFERED = 10  # nearer nodes that one meeting offers to each of its members
-# A query's nearest nodes kept, in tables of up to so many nodes; it grows with the root of the nodes, and ``k`` times FEWEST at least.
-POOL, POOL_NODES, FEWEST = 160, 5_000, 4
+SETTLED = 0.01  # share of new links with which the rounds end
+OFFERED = 20  # nearer nodes that one meeting offers to each of its members
+# A query's nearest nodes kept, whatever the size of the table: the graph, which grows with it, has to lead on.  At least ``k`` times FEWEST.
+POOL, FEWEST = 320, 4
 STEP = 0.3  # share of the pool that is left per walk
 NUMBERS = 1 << 20  # components that are held at once in the small steps
 
@@ -41,19 +41,15 @@ LINK_TYPE = pa.list_(pa.struct([("d", pa.float64()), ("id", pa.int64())]))
 
 
 def usable(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """``vec_id, embedding`` of the rows that take part, one per id, of the most frequent length.
+    """``vec_id, embedding`` of the rows that take part, each once.
 
     Rows take no part if the id or the vector is null, a component is null or not finite, or all are zero.
-    Of an id with several vectors the least one counts.
     """
     bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     good = vectors.select(F.col(vec_id).cast("bigint").alias("vec_id"), F.col(embedding).alias("embedding")).where(
         F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()
     ).where(~bad & F.exists("embedding", lambda x: x != 0))
-    once = good.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    sizes = once.groupBy(F.size("embedding").alias("n")).agg(F.count("*").alias("rows"))
-    best = sizes.orderBy(F.col("rows").desc(), "n").limit(1).collect()
-    return stored(once.where(F.size("embedding") == (best[0]["n"] if best else 0)), "vectors")
+    return stored(good.distinct(), "vectors")
 
 
 def rows_of(column: pa.Array) -> np.ndarray:
@@ -302,33 +298,43 @@ def nearest(
     """``query_id, rank, vec_id, score``: the ``k`` nearest found to each row that ``queries_where`` (on ``vec_id``) picks.
 
     Nearest first, ties to the smaller id; the query's own row is no candidate, equal vectors of other ids are.
-    With fewer than ``k`` candidates all are given.  Rows that take no part (see ``usable``) are neither queries nor candidates;
-    an empty table gives no rows; other columns are not read.
+    With fewer than ``k`` candidates all are given.  Rows that take no part (see ``usable``) are neither queries nor candidates.  Only
+    vectors of one length have a distance: each length is searched by itself.  A row that repeats in id and vector counts once; unlike vectors
+    of one id are rows of their own, each with its own answers.  An empty table gives no rows; other columns are not read.
     """
-    spark = vectors.sparkSession
-    small_batches(spark, 4096)
+    small_batches(vectors.sparkSession, 4096)
     rows = usable(vectors, vec_id, embedding)
+    lengths = [r[0] for r in rows.select(F.size("embedding").alias("n")).distinct().orderBy("n").collect()]
+    found = [nearest_of(rows.where(F.size("embedding") == n), queries_where, k, rounds) for n in lengths or [0]]
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def nearest_of(rows: DataFrame, queries_where: Column, k: int, rounds: int | None) -> DataFrame:
+    """The result of ``nearest`` for ``rows(vec_id, embedding)``, different and of one length."""
     # Of equal vectors a query may need the k + 1 of the smallest ids.
     equal = Window.partitionBy("embedding")
     first = rows.withColumn("r", F.row_number().over(equal.orderBy("vec_id"))).where(F.col("r") <= k + 1)
-    members = stored(first.withColumn("node", F.min("vec_id").over(equal)), "members")
-    distinct = members.where("r = 1").select(F.col("node").alias("id"), "embedding")
-    nodes = stored(distinct, "nodes")
+    # A node is named by its least id and a hash of its vector, as an id may have several vectors.
+    members = stored(first.withColumn("id", F.xxhash64(F.min("vec_id").over(equal), "embedding")), "members")
+    nodes = stored(members.where("r = 1").select("id", "embedding"), "nodes")
     slim = nodes.select("id", F.col("embedding").alias("vec"))
     graph = neighbour_graph(slim, rounds)
-    pool = max(math.ceil(POOL * math.sqrt(max(1.0, nodes.count() / POOL_NODES))), FEWEST * k)
     asked = rows.where(queries_where).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("asked"))
-    starts = stored(
-        asked.join(nodes, F.col("asked") == F.col("embedding")).select("query_id", "asked", F.col("id").alias("node")), "starts"
+    starts = asked.join(nodes, F.col("asked") == F.col("embedding")).select(
+        F.struct(F.col("query_id").alias("id"), F.col("id").alias("own")).alias("query_id"), "asked", F.col("id").alias("node")
     )
-    small_batches(spark, 4096)
-    found = walked(graph, slim, starts.select("query_id", F.col("asked").alias("vec"), "node"), pool)
+    starts = stored(starts, "starts")
+    small_batches(rows.sparkSession, 4096)
+    found = walked(graph, slim, starts.select("query_id", F.col("asked").alias("vec"), "node"), max(POOL, FEWEST * k))
     scored = (
         found.join(nodes.select(F.col("id").alias("node"), "embedding"), "node").join(starts.select("query_id", "asked"), "query_id")
-        .select("query_id", "node", distance_between(F.col("asked"), F.col("embedding")).alias("score"))
+        .select("query_id", F.col("node").alias("id"), distance_between(F.col("asked"), F.col("embedding")).alias("score"))
     )
-    every = scored.join(members.select("node", "vec_id"), "node").where("vec_id != query_id")
+    every = scored.join(members.select("vec_id", "id"), "id").where("vec_id != query_id.id OR id != query_id.own")
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return every.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(
-        "query_id", "rank", "vec_id", "score"
+        F.col("query_id.id").alias("query_id"), "rank", "vec_id", "score"
     )
