@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wardlake.functions.times import ADMISSION_PATTERNS
 from wardlake.operators.access import ADMIN_GROUP
 from wardlake.operators.reports import CHART_DEPARTMENTS
 from wardlake.session import use_core_conf
@@ -18,12 +19,6 @@ from wardlake.sources.envelopes import OVERLAP_ROWS
 # Of so many rows the last ones come once more, an hour later.
 RESENT_EVERY = 50
 
-ADMISSION_FORMS = [
-    "yyyy-MM-dd HH:mm:ss", "dd-MM-yyyy HH:mm", "dd-MM-yyyy HH:mm:ss", "dd/MM/yyyy HH:mm",
-    "dd/MM/yyyy HH:mm:ss", "MM/dd/yyyy HH:mm:ss", "dd-MM-yyyy", "yyyy-MM-dd", "dd/MM/yyyy",
-    "MM/dd/yyyy",
-]
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return use_core_conf(spark).read.parquet(f"{sf_dir}/{name}.parquet")
@@ -55,7 +50,7 @@ def visit_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     return spread(table(spark, sf_dir, "events"), "event_id").select(
         F.when(every(97), "N/A").otherwise(F.concat(F.lit("P"), user)).alias("patient_id"),
-        _pick(event, *[F.date_format(t, f) for f in ADMISSION_FORMS], "not-a-date").alias(
+        _pick(event, *[F.date_format(t, f) for f in ADMISSION_PATTERNS], "not-a-date").alias(
             "patient_admission_date"
         ),
         _pick(event, "ab", "Q", " x", "").alias("patient_first_inital"),
