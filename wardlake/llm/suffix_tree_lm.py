@@ -2,38 +2,46 @@
 
 The symbols of the tree are the characters of the normalised text: its lower-cased words, joined by single blanks,
 and an end.  A context of up to five symbols is kept if the symbols after it are distributed otherwise than after its
-suffix, one symbol shorter: their divergence, times how often the context occurs, has to reach a bar.  A symbol is
-predicted by the longest kept suffix of what was before it, its counts smoothed by those of the
-next shorter one.
+suffix, one symbol shorter: their divergence, times how often the context occurs, has to reach a bar that is the same
+at every size of the corpus, so that the tree grows with it.  A symbol is predicted by the longest kept suffix of what
+was before it, its counts smoothed by those of the next shorter one.
+
+The tree is a table.  Documents are taken in chunks; a chunk's distinct runs of symbols meet the table in a join, and
+their scores go back to the chunks.
 """
 
 from __future__ import annotations
 
 import sys
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wardlake.llm.chunked import chunked, entries, summed
+from wardlake.llm.chunked import (
+    CHUNKS_PER_PARTITION, ENTRY_BITS, PACKED, SLICE, Chunk, entries, packed_back, packed_numbers, summed, unpacked_numbers,
+)
 from wardlake.llm.common import in_fold, small_batches, stored
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 HELD_OUT = (7, 2)
 DEPTH = 5
-# A symbol takes six bits: the rarer characters share one, the end has one, and 62 characters one each.
-BITS, OTHER, END, FIRST_OWN, SYMBOLS = 6, 0, 1, 2, 64
+# A symbol takes ten bits: the end has one, the most frequent 1,022 characters one each, and the rarer ones share one.
+BITS, OTHER, END, FIRST_OWN, SYMBOLS = 10, 0, 1, 2, 1024
 CODE_POINTS = 0x110000
-# The bar of the divergence test, in nats: at least so much per symbol of all training text.  All
-# gains together are at most ln(64) a symbol, so at most ln(64) / 2e-5, some 208,000 contexts, can reach it.
-LEAST_GAIN_SHARE = 2e-5
-LEAST_GAIN = 8.0
+# The bar of the divergence test, in nats: so much, and so much more for each further symbol seen after the context,
+# as chance alone makes counts diverge the more, the more kinds there are.
+LEAST_GAIN, GAIN_A_KIND = 8.0, 1.0
 END_WORD = ""  # no word is empty, so this stands for the end in the counts of words
+# Symbols that are turned into runs at a time.
+PIECE = 4_000_000
+# Log10 probabilities travel as whole numbers of this share.
+STEPS = 1 << 24
 
 
 def normal(text: str | None) -> str:
@@ -45,125 +53,26 @@ def code_points(normal_text: str) -> np.ndarray:
     return np.frombuffer(normal_text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
 
 
-@dataclass
-class Alphabet:
+def alphabet_of(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Symbols of the code points, and the log10 probability of a code point among the shared ones."""
+    own = np.argsort(-counts, kind="stable")[: SYMBOLS - FIRST_OWN]
+    own = own[counts[own] > 0]
+    symbols = np.full(CODE_POINTS, OTHER, dtype=np.uint16)
+    symbols[own] = FIRST_OWN + np.arange(len(own))
+    rare = np.where(symbols == OTHER, counts, 0).astype(np.float64)
+    shared = np.log10((rare + 1) / (rare.sum() + CODE_POINTS - len(own)))
+    shared[own] = 0.0
+    return symbols, shared.astype(np.float32)
 
-    symbols: np.ndarray
-    shared: np.ndarray
-
-    @classmethod
-    def of(cls, counts: np.ndarray) -> Alphabet:
-        own = np.argsort(-counts, kind="stable")[: SYMBOLS - FIRST_OWN]
-        own = own[counts[own] > 0]
-        symbols = np.zeros(CODE_POINTS, dtype=np.uint8)
-        symbols[own] = FIRST_OWN + np.arange(len(own))
-        rare = np.where(symbols == OTHER, counts, 0).astype(np.float64)
-        shared = np.log10((rare + 1) / (rare.sum() + CODE_POINTS - len(own)))
-        shared[own] = 0.0
-        return cls(symbols, shared.astype(np.float32))
-
-
-def gram_counts(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of all runs of ``DEPTH`` symbols and the next one, and how often each occurs.
 
-    A text begins after a full context of ends, and ends with one.
-    """
-    pad = np.full(DEPTH, END, dtype=np.int64)
-    whole = np.concatenate([part for s in texts for part in (pad, s, pad[:1])]) if texts else np.empty(0, dtype=np.int64)
-    codes = np.zeros(max(0, len(whole) - DEPTH), dtype=np.int64)
-    for k in range(DEPTH + 1):
-        codes = (codes << BITS) | whole[k : k + len(codes)]
-    use = np.ones(len(codes), dtype=bool)
-    at = 0
-    for s in texts[:-1]:  # what runs over from one text into the next is none
-        at += len(s) + 1
-        use[at : at + DEPTH] = False
-        at += DEPTH
-    return np.unique(codes[use], return_counts=True)
-
-
-# Counts and codes share 64 bits while they are added up: 28 for the count.
-COUNT_BITS = 28
-COUNTED = 1 << 27
-
-
-def added(counts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of equal codes added up, of less than ``2 ** COUNT_BITS`` runs in all; codes in order."""
-    both = np.concatenate([(c.astype(np.uint64) << np.uint64(COUNT_BITS)) | n.astype(np.uint64) for c, n in counts])
-    both.sort()
-    codes = (both >> np.uint64(COUNT_BITS)).astype(np.int64)
-    if not len(codes):
-        return codes, codes
-    starts = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
-    return codes[starts], np.add.reduceat((both & np.uint64((1 << COUNT_BITS) - 1)).astype(np.int64), starts)
-
-
-@dataclass
-class SuffixTree:
-    """Kept contexts as nodes of a tree that is walked from the last symbol back."""
-
-    # The place (64 per node) of the node one symbol longer; where there is none, of the node's resting twin.
-    children: np.ndarray
-    log_odds: np.ndarray  # log10 probability of each next symbol, by node
-    alphabet: Alphabet
-
-    @classmethod
-    def of(cls, depths: np.ndarray, contexts: np.ndarray, symbols: np.ndarray, counts: np.ndarray, alphabet: Alphabet) -> SuffixTree:
-        """From rows of (depth, context, next symbol, count) of kept contexts, all suffixes among them."""
-        names = sorted(set(zip(depths.tolist(), contexts.tolist())) | {(0, 0)})
-        number = {name: k for k, name in enumerate(names)}
-        n = len(names)
-        seen = np.zeros((n, SYMBOLS))
-        rows = np.array([number[name] for name in zip(depths.tolist(), contexts.tolist())], dtype=np.int64)
-        np.add.at(seen, (rows, symbols), counts)
-        children = np.repeat(np.arange(n, 2 * n, dtype=np.int32), SYMBOLS)
-        children = np.concatenate([children, children]).reshape(2 * n, SYMBOLS)
-        odds = np.empty((n, SYMBOLS))
-        for (depth, context), k in number.items():  # by depth, so the shorter suffix is done
-            if depth == 0:
-                odds[k] = (seen[k] + 0.5) / (seen[k].sum() + 0.5 * SYMBOLS)
-            else:
-                up = number[(depth - 1, context & ((1 << BITS * (depth - 1)) - 1))]
-                children[up, context >> BITS * (depth - 1)] = k
-                kinds = max(1, np.count_nonzero(seen[k]))
-                odds[k] = (seen[k] + kinds * odds[up]) / (seen[k].sum() + kinds)
-        return cls(children.ravel() * SYMBOLS, np.log10(odds).astype(np.float32).ravel(), alphabet)
-
-    def score(self, points: np.ndarray) -> float:
-        """The log10 probability of a text of these code points and its end."""
-        total, tail, resting = 0.0, np.full(DEPTH, END, dtype=np.int32), len(self.log_odds)
-        for at in range(0, len(points) + 1, 1_000_000):  # very long texts in parts
-            part = points[at : at + 1_000_000]
-            symbols = self.alphabet.symbols.take(part).astype(np.int32)
-            last = at + len(part) == len(points)
-            run = np.concatenate([tail, symbols, [END]] if last else [tail, symbols]).astype(np.int32)
-            node = self.children.take(run[DEPTH - 1 : -1])
-            for back in range(2, DEPTH + 1):
-                node += run[DEPTH - back : len(run) - back]
-                node = self.children.take(node)
-            node[node >= resting] -= resting
-            node += run[DEPTH:]
-            total += float(self.log_odds.take(node).sum(dtype=np.float64))
-            total += float(self.alphabet.shared.take(part).sum(dtype=np.float64))
-            if last:
-                break
-            tail = run[-DEPTH:]
-        return total
-
-
-def _points(text: str | None) -> np.ndarray:
-    return code_points(normal(text))
-
-
-def learned_alphabet(texts: DataFrame) -> Alphabet:
+def learned_alphabet(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """From the characters of all ``texts(text)``: at most one count per code point reaches the driver."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(CODE_POINTS, dtype=np.int64)
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                points = _points(text)
+                points = code_points(normal(text))
                 if len(points):
                     part = np.bincount(points)
                     counts[: len(part)] += part
@@ -174,103 +83,219 @@ def learned_alphabet(texts: DataFrame) -> Alphabet:
     rows = texts.select("text").mapInArrow(count, "point bigint, n bigint").groupBy("point").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(CODE_POINTS, dtype=np.int64)
     counts[rows["point"].to_numpy()] = rows["n"].to_numpy()
-    return Alphabet.of(counts)
+    return alphabet_of(counts)
+
+
+def runs_of(symbols: np.ndarray) -> Iterator[np.ndarray]:
+    """Codes of all runs of ``DEPTH`` symbols and the next one in a text, which begins after ends and ends with one."""
+    for at in range(0, len(symbols) + 1, PIECE):
+        piece = symbols[max(0, at - DEPTH) : at + PIECE].astype(np.int64)
+        before = np.full(max(0, DEPTH - at), END, dtype=np.int64)
+        last = at + PIECE > len(symbols)
+        whole = np.concatenate([before, piece, [END]] if last else [before, piece])
+        codes = np.zeros(len(whole) - DEPTH, dtype=np.int64)
+        for k in range(DEPTH + 1):
+            codes <<= BITS
+            codes |= whole[k : k + len(codes)]
+        yield codes
+
+
+def counted_runs(texts: list[np.ndarray], trains: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct runs of texts in order, and how often the texts to learn from hold each."""
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    held: list[np.ndarray] = []
+    size = 0
+
+    def settle() -> None:
+        both = np.sort(np.concatenate(held))
+        codes = both >> 1
+        starts = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
+        found.append((codes[starts], np.add.reduceat(both & 1, starts)))
+        held.clear()
+
+    for text, train in zip(texts, trains):
+        for codes in runs_of(text):
+            held.append(codes << 1 | int(train))
+            size += len(codes)
+            if size >= PIECE:
+                settle()
+                size = 0
+    if held:
+        settle()
+    if len(found) < 2:
+        return found[0] if found else (np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64))
+    codes, counts = (np.concatenate(part) for part in zip(*found))
+    order = np.argsort(codes, kind="stable")
+    codes, counts = codes[order], counts[order]
+    starts = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
+    return codes[starts], np.add.reduceat(counts, starts)
 
 
-def gram_table(texts: DataFrame, alphabet: Alphabet) -> DataFrame:
-    """``code, n`` of all runs of symbols in ``texts(text)``, summed per task before they are dealt out."""
-    sent = texts.sparkSession.sparkContext.broadcast(alphabet.symbols)
+def read_runs(row: dict) -> tuple[list[np.ndarray], np.ndarray]:
+    """The symbols of each document of a chunk, and which documents are learned from."""
+    sizes = unpacked_numbers(row["run_sizes"]).astype(np.int64)
+    return np.split(unpacked_numbers(row["runs"], "<u2"), np.cumsum(sizes)[:-1]), unpacked_numbers(row["trains"], "<u1")
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        symbols, held, size, read = sent.value, [], 0, 0
 
-        def rows(codes: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(codes), pa.array(counts)], names=["code", "n"])
+RUNS = ("runs", "run_sizes", "trains")
 
-        for batch in batches:
-            held.append(gram_counts([symbols[_points(t)].astype(np.int64) for t in batch.column(0).to_pylist()]))
-            size += len(held[-1][0])
-            read += int(held[-1][1].sum())
-            if size > 3_000_000 or read > COUNTED:
-                held = [added(held)]
-                size = len(held[0][0])
-                if size > 2_000_000 or read > COUNTED:
-                    yield rows(*held[0])
-                    held, size, read = [], 0, 0
-        if held:
-            yield rows(*added(held))
 
-    small_batches(texts.sparkSession)
-    grams = texts.select("text").mapInArrow(count, "code bigint, n bigint")
-    return stored(grams.groupBy("code").agg(F.sum("n").alias("n")), "grams")
+def chunks_of(docs: DataFrame, alphabet: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """The chunks of ``docs(doc_id, text, weight)`` with the words, and the symbols, of their documents; stored."""
+    schema = pa.schema(
+        [("chunk", pa.int64()), ("doc_ids", pa.list_(pa.int64())), *((name, pa.binary()) for name in (*PACKED, *RUNS)),
+         ("n_tokens", pa.list_(pa.int64())), ("shared", pa.list_(pa.float64()))]
+    )
+    spark_schema = ", ".join(
+        ["chunk bigint", "doc_ids array<bigint>", *(f"{name} binary" for name in (*PACKED, *RUNS)),
+         "n_tokens array<bigint>", "shared array<double>"]
+    )
+    sent = docs.sparkSession.sparkContext.broadcast(alphabet)
 
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
-def kept_contexts(grams: DataFrame, least_share: float = LEAST_GAIN_SHARE, least: float = LEAST_GAIN) -> DataFrame:
-    """``depth, context, symbol, n`` of the contexts that pass the divergence test, and of all their suffixes."""
+        number = TaskContext.get().partitionId() * CHUNKS_PER_PARTITION
+        symbols, shared = sent.value
+        chunk, runs, trains = Chunk(["n_tokens", "shared"]), [], []
 
-    def last(code, depth):
-        return code.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("bigint"), (depth * BITS).cast("int")) - 1)
+        def row() -> pa.RecordBatch:
+            chunk.extra["runs"] = packed_numbers(np.concatenate(runs), "<u2")
+            chunk.extra["run_sizes"] = packed_numbers([len(r) for r in runs])
+            chunk.extra["trains"] = packed_numbers(trains, "<u1")
+            return chunk.row(number, schema)
+
+        for batch in batches:
+            for doc_id, text, weight in zip(*(column.to_pylist() for column in batch.columns)):
+                whole = normal(text)
+                words = [*(whole.split(" ") if whole else []), END_WORD]
+                points = code_points(whole)
+                runs.append(symbols.take(points))
+                trains.append(weight)
+                values = {"n_tokens": len(words), "shared": float(shared.take(points).sum(dtype=np.float64))}
+                chunk.add(doc_id, len(whole), Counter(words), weight, values)
+                if chunk.full():
+                    yield row()
+                    number, chunk, runs, trains = number + 1, Chunk(["n_tokens", "shared"]), [], []
+        if chunk.ids:
+            yield row()
+
+    small_batches(docs.sparkSession)
+    return stored(docs.select("doc_id", "text", "weight").mapInArrow(fill, spark_schema), "suffix-chunks")
+
+
+def run_entries(chunks: DataFrame, weighted: bool = False) -> DataFrame:
+    """One row per chunk and distinct run: ``code, ref``, or ``code, n`` with its count in what is learned from."""
+    second = "n" if weighted else "ref"
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                codes, counts = counted_runs(*read_runs(row))
+                if not weighted:
+                    counts = (row["chunk"] << ENTRY_BITS) + np.arange(len(codes), dtype=np.int64)
+                every = pa.RecordBatch.from_arrays([pa.array(codes), pa.array(counts)], names=["code", second])
+                for at in range(0, len(codes), SLICE):
+                    yield every.slice(at, SLICE)
+
+    return chunks.select("chunk", *RUNS).mapInArrow(unpack, f"code bigint, {second} bigint")
 
-    total = grams.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    context = F.call_function("shiftright", F.col("code"), F.lit(BITS))
-    stats = (
-        grams.select("code", "n", F.explode(F.sequence(F.lit(0), F.lit(DEPTH))).alias("depth"))
-        .groupBy("depth", last(context, F.col("depth")).alias("context"), F.col("code").bitwiseAND(SYMBOLS - 1).alias("symbol"))
-        .agg(F.sum("n").alias("n"))
-    )
-    stats = stored(stats, "contexts")
-    totals = stats.groupBy("depth", "context").agg(F.sum("n").alias("all"))
-    shares = stats.join(totals, ["depth", "context"]).withColumn("p", F.col("n") / F.col("all"))
-    longer = shares.where("depth > 0").withColumn("up", last(F.col("context"), F.col("depth") - 1))
-    shorter = shares.select((F.col("depth") + 1).alias("depth"), F.col("context").alias("up"), "symbol", F.col("p").alias("q"))
-    gains = (
-        longer.join(shorter, ["depth", "up", "symbol"]).groupBy("depth", "context")
-        .agg(F.sum(F.col("n") * F.log(F.col("p") / F.col("q"))).alias("gain"))
-        .where(F.col("gain") >= max(least, least_share * total))
-    )
-    j = F.col("j")
-    kept = gains.select("context", F.explode(F.sequence(F.lit(0), F.col("depth"))).alias("j"))
-    kept = kept.select(j.alias("depth"), last(F.col("context"), j).alias("context")).distinct()
-    root = grams.sparkSession.range(1).select(F.lit(0).alias("depth"), F.lit(0).cast("bigint").alias("context"))
-    return stats.join(kept.union(root).distinct(), ["depth", "context"])
 
+def _last(code: Column, symbols: int) -> Column:
+    """The code of a run's last so many symbols."""
+    return code.bitwiseAND((1 << BITS * symbols) - 1)
 
-def learned(docs: DataFrame, text: str = "text") -> SuffixTree:
-    """The tree of all texts of ``docs``; its size is bounded by the bar of the divergence test."""
-    texts = docs.select(F.col(text).alias("text"))
-    alphabet = learned_alphabet(texts)
-    rows = kept_contexts(gram_table(texts, alphabet)).select("depth", "context", "symbol", "n").toArrow()
-    columns = [rows[c].to_numpy() for c in ("depth", "context", "symbol", "n")]
-    return SuffixTree.of(*columns, alphabet)
+
+def run_counts(grams: DataFrame) -> list[DataFrame]:
+    """For each depth of context from none on: ``code, context, n`` of the runs of context and next symbol, with
+    ``total`` and ``kinds``, the count of the context and of the symbols seen after it.  From ``grams(code, n)``,
+    the runs of full depth.  A context has at most ``SYMBOLS`` runs.
+    """
+    counts, runs = [], grams
+    for depth in range(DEPTH, -1, -1):
+        with_context = runs.withColumn("context", F.call_function("shiftright", F.col("code"), F.lit(BITS)))
+        of_context = Window.partitionBy("context")
+        full = stored(
+            with_context.withColumn("total", F.sum("n").over(of_context))
+            .withColumn("kinds", F.sum((F.col("n") > 0).cast("bigint")).over(of_context)),
+            "runs",
+        )
+        counts.append(full)
+        runs = full.groupBy(_last(F.col("code"), depth).alias("code")).agg(F.sum("n").alias("n"))
+    return counts[::-1]
+
+
+def kept_contexts(counts: list[DataFrame], least: float = LEAST_GAIN, a_kind: float = GAIN_A_KIND) -> list[DataFrame]:
+    """For each depth the ``context`` codes that pass the divergence test, and the suffixes of those that do."""
+    kept: list[DataFrame] = [None] * (DEPTH + 1)
+    for depth in range(DEPTH, 0, -1):
+        longer = counts[depth].where("n > 0").withColumn("up", _last(F.col("code"), depth))
+        shorter = counts[depth - 1].where("n > 0").select(F.col("code").alias("up"), (F.col("n") / F.col("total")).alias("q"))
+        gains = longer.join(shorter, "up").groupBy("context").agg(
+            F.sum(F.col("n") * F.log(F.col("n") / F.col("total") / F.col("q"))).alias("gain"), F.first("kinds").alias("kinds")
+        )
+        passed = gains.where(F.col("gain") >= least + a_kind * (F.col("kinds") - 1)).select("context")
+        if depth < DEPTH:
+            passed = passed.union(kept[depth + 1].select(_last(F.col("context"), depth).alias("context"))).distinct()
+        kept[depth] = stored(passed, "contexts")
+    return kept
+
+
+def run_scores(counts: list[DataFrame], kept: list[DataFrame]) -> DataFrame:
+    """``code, p`` of all runs of full depth: the probability of the last symbol after the longest kept suffix."""
+    p = counts[0].select("code", ((F.col("n") + 0.5) / (F.col("total") + 0.5 * SYMBOLS)).alias("p"))
+    for depth in range(1, DEPTH + 1):
+        runs = counts[depth].withColumn("up", _last(F.col("code"), depth))
+        runs = runs.join(kept[depth].withColumn("known", F.lit(True)), "context", "left")
+        kinds = F.greatest(F.col("kinds"), F.lit(1))
+        smoothed = (F.col("n") + kinds * F.col("shorter")) / (F.col("total") + kinds)
+        shorter = p.select(F.col("code").alias("up"), F.col("p").alias("shorter"))
+        p = runs.join(shorter, "up").select("code", F.when(F.col("known"), smoothed).otherwise(F.col("shorter")).alias("p"))
+    return p
+
+
+def symbol_scores(chunks: DataFrame) -> DataFrame:
+    """``chunk, score``: the log10 probability of each document of a chunk, in order."""
+    counts = run_counts(run_entries(chunks, weighted=True).groupBy("code").agg(F.sum("n").alias("n")))
+    scores = run_scores(counts, kept_contexts(counts))
+    scores = stored(scores.select("code", F.round(F.log10("p") * STEPS).cast("bigint").alias("number")), "run-scores")
+    numbers = run_entries(chunks).join(scores, "code").select("ref", "number")
+    back = packed_back(numbers).groupBy("chunk").agg(F.collect_list(F.struct("at", "number")).alias("back"))
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                texts, trains = read_runs(row)
+                codes, _ = counted_runs(texts, trains)
+                values = np.empty(len(codes), dtype=np.float64)
+                for part in row["back"]:
+                    values[np.cumsum(unpacked_numbers(part["at"]), dtype=np.int64)] = unpacked_numbers(part["number"], "<i8")
+                values /= STEPS
+                sums = [
+                    shared + sum(float(values.take(codes.searchsorted(np.sort(runs))).sum()) for runs in runs_of(text))
+                    for text, shared in zip(texts, row["shared"])
+                ]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([row["chunk"]]), pa.array([sums], pa.list_(pa.float64()))], names=["chunk", "score"]
+                )
+
+    whole = chunks.select("chunk", "shared", *RUNS).join(back, "chunk")
+    return whole.mapInArrow(add_up, "chunk bigint, score array<double>")
 
 
 def scored(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", folds: tuple[int, int] = HELD_OUT) -> DataFrame:
     """One row per document: ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``.
 
     Everything is learned from the documents outside the held-out fold; a null id is in no fold.  A null or empty text
-    is one token, the end.  Rows may repeat and count as often as they are given; other columns
-    are not read.  Without any training document no token is known and the tree knows nothing.
+    is one token, the end.  A very long text is read in pieces.  Rows may repeat and count as often as they are given;
+    other columns are not read.  Without any training document no token is known and the tree knows nothing; an empty
+    table gives no rows.
     """
     spark = docs.sparkSession
     held_out = in_fold(F.col(doc_id), *folds)
-    tree = learned(docs.where(~held_out), text)
-    sent = spark.sparkContext.broadcast(tree)
-
-    def cutter():
-        tree = sent.value
-
-        def cut(text: str | None) -> tuple[list[str], dict]:
-            whole = normal(text)
-            words = whole.split(" ") if whole else []
-            words.append(END_WORD)
-            return words, {"n_tokens": len(words), "score": tree.score(code_points(whole))}
-
-        return cut
-
-    extra = {"n_tokens": "bigint", "score": "double"}
+    alphabet = learned_alphabet(docs.where(~held_out).select(F.col(text).alias("text")))
     weight = F.when(held_out, 0).otherwise(1).cast("bigint")
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), weight.alias("weight"))
-    chunks = chunked(rows, cutter, extra)
+    chunks = chunks_of(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), weight.alias("weight")), alphabet)
     counts = stored(
         entries(chunks, weighted=True).groupBy("word").agg(F.sum("weight").alias("number")), "word-counts"
     )
@@ -280,7 +305,9 @@ def scored(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", folds: t
     def values(c: np.ndarray) -> list[np.ndarray]:
         return [np.log10(c + 1.0), (c > 0).astype(np.int64)]
 
-    added = summed(chunks, numbers, values, {"base_sum": "double", "n_known": "bigint"}, extra)
+    with_scores = chunks.join(stored(symbol_scores(chunks), "symbol-scores"), "chunk")
+    extra = {"n_tokens": "bigint", "score": "double"}
+    added = summed(with_scores, numbers, values, {"base_sum": "double", "n_known": "bigint"}, extra)
     small_batches(spark, 2000, 8 << 20)
     return added.select(
         "doc_id",
