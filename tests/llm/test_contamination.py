@@ -1,5 +1,8 @@
 import random
 import re
+import subprocess
+import sys
+import time
 
 from pyspark.sql import functions as F
 
@@ -34,6 +37,25 @@ def test_automaton_against_plain_search():
             assert {i for a, b in ranges for i in range(a, b)} == hit and found == want
 
 
+def test_equal_words_take_linear_time():
+    def seconds(n):
+        machine = c.SuffixAutomaton([(1, [b"a"] * n), (2, [b"a"] * 5)])
+        start = time.process_time()
+        ((ranges, items),) = machine.read([[b"a"] * 2 * n])
+        assert ranges == [(0, 2 * n)] and items == [1, 2]
+        return time.process_time() - start
+
+    assert seconds(32_000) < 12 * max(seconds(8_000), 0.01)
+
+
+def test_automaton_is_read_without_the_package(tmp_path):
+    (tmp_path / "sent").write_bytes(c._sent(c.SuffixAutomaton([(7, [b"a", b"b"])])))
+    code = "from pyspark import cloudpickle; m = cloudpickle.loads(open('sent', 'rb').read()); print(m.read([[b'x', b'a', b'b']]))"
+    clean = {"PATH": "/usr/bin:/bin"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=clean, capture_output=True, text=True, check=True)
+    assert out.stdout.strip() == "[([(1, 3)], [7])]"
+
+
 def make_items(texts):
     rng = random.Random(8)
     items = [(i, " ".join(f"q{rng.randrange(40)}" for _ in range(rng.randint(14, 40)))) for i in range(12)]

@@ -57,19 +57,25 @@ class SuffixAutomaton:
                 for c in ids:
                     last = self._extend(last, c)
         self.shortest = min([window, *(len(ids) for _, ids in numbered)], default=window)
-        # Items of the states that hold a whole window, and short items by their own state.
+        # By suffix links, each state's last one of at least a window's length, and from it on the next with short items.
+        self.top, self.short = list(range(len(self.steps))), [0] * len(self.steps)
+        by_length = sorted(range(1, len(self.steps)), key=self.length.__getitem__)
+        for s in by_length:
+            if self.length[self.link[s]] >= window:
+                self.top[s] = self.top[self.link[s]]
+        # Items of those last states, and short items by their own state.
         self.holders: dict[int, set[int]] = {}
         self.whole: dict[int, set[tuple[int, int]]] = {}
         for item, ids in numbered:
             state = 0
             for c in ids:
                 state = self.steps[state][c]
-                up = state
-                while up > 0 and self.length[up] >= window and item not in self.holders.setdefault(up, set()):
-                    self.holders[up].add(item)
-                    up = self.link[up]
+                if self.length[state] >= window:
+                    self.holders.setdefault(self.top[state], set()).add(item)
             if len(ids) < window:
                 self.whole.setdefault(state, set()).add((len(ids), item))
+        for s in by_length:
+            self.short[s] = s if s in self.whole else self.short[self.link[s]]
         pairs = {(a, b) for _, ids in numbered for a, b in zip(ids, ids[1:])}
         self.pairs = np.array(sorted(a * len(self.vocab) + b for a, b in pairs), dtype=np.int64)
 
@@ -105,6 +111,7 @@ class SuffixAutomaton:
     def walk(self, ids: list[int], base: int, hits: list[tuple[int, int]], items: set[int]) -> None:
         """Read known words; add hit ranges (from ``base`` on) and the items whose windows occur."""
         steps, link, length, window = self.steps, self.link, self.length, self.window
+        top, short = self.top, self.short
         state = matched = 0
         for i, c in enumerate(ids, base + 1):
             while state and c not in steps[state]:
@@ -115,19 +122,15 @@ class SuffixAutomaton:
                 matched += 1
             if matched >= window:
                 hits.append((i - window, i))
-                at = state
-                while length[link[at]] >= window:
-                    at = link[at]
-                items |= self.holders.get(at, set())
+                items |= self.holders.get(top[state], set())
             if self.whole:
-                at, most = state, matched
+                at = short[state]
                 while at > 0:
-                    for n, item in self.whole.get(at, ()):
-                        if n <= most:
+                    for n, item in self.whole[at]:
+                        if n <= matched:
                             hits.append((i - n, i))
                             items.add(item)
-                    at = link[at]
-                    most = length[at]
+                    at = short[link[at]]
 
     def read(self, texts: list[list[bytes]]) -> list[tuple[list[tuple[int, int]], list[int]]]:
         """Hit ranges (merged) and items of each list of words.
@@ -197,6 +200,11 @@ def item_blocks(benchmark: DataFrame, item_id: str, text: str, block_words: int)
         yield block
 
 
+def _sent(automaton: SuffixAutomaton) -> bytes:
+    """With its class, so that workers need no copy of this module."""
+    return cloudpickle.dumps(automaton)
+
+
 def _report(automaton) -> Callable[[Column], Column]:
     kind = pa.struct([
         ("n_words", pa.int64()),
@@ -205,7 +213,7 @@ def _report(automaton) -> Callable[[Column], Column]:
     ])
 
     def reported(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        machine = automaton.value
+        machine = cloudpickle.loads(automaton.value)
         for batch in texts:
             words = [words_of(t) for t in batch.to_pylist()]
             yield pa.array(
@@ -268,7 +276,7 @@ def with_hits(
     blocks = item_blocks(benchmark, item_id, item_text, block_words)
     out, k = docs, 0
     for k, block in enumerate(blocks, 1):
-        automaton = spark.sparkContext.broadcast(SuffixAutomaton(block, window))
+        automaton = spark.sparkContext.broadcast(_sent(SuffixAutomaton(block, window)))
         report = _report(automaton)(F.col(text))
         if k == 1:
             out = out.withColumn(into, report)
@@ -277,7 +285,7 @@ def with_hits(
             out = stored(out, "contamination").withColumn(more, report)
             out = out.withColumn(into, merged_reports(F.col(into), F.col(more))).drop(more)
     if not k:
-        empty = spark.sparkContext.broadcast(SuffixAutomaton([], window))
+        empty = spark.sparkContext.broadcast(_sent(SuffixAutomaton([], window)))
         out = out.withColumn(into, _report(empty)(F.col(text)))
     return out
 
