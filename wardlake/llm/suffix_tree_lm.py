@@ -31,6 +31,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 HELD_OUT = (7, 2)
 DEPTH = 5
+# Contexts longer than this are judged and smoothed inside one partition, which holds all that end alike.
+SHALLOW = 3
 # A symbol takes ten bits: the end has one, the most frequent 1,022 characters one each, and the rarer ones share one.
 BITS, OTHER, END, FIRST_OWN, SYMBOLS = 10, 0, 1, 2, 1024
 CODE_POINTS = 0x110000
@@ -40,6 +42,8 @@ LEAST_GAIN, GAIN_A_KIND = 8.0, 1.0
 END_WORD = ""  # no word is empty, so this stands for the end in the counts of words
 # Symbols that are turned into runs at a time.
 PIECE = 4_000_000
+# Rows of runs that Python takes in at a time.
+RUN_ROWS = 100_000
 # Log10 probabilities travel as whole numbers of this share.
 STEPS = 1 << 24
 
@@ -131,13 +135,23 @@ def counted_runs(texts: list[np.ndarray], trains: np.ndarray) -> tuple[np.ndarra
     return codes[starts], np.add.reduceat(counts, starts)
 
 
-def read_runs(row: dict) -> tuple[list[np.ndarray], np.ndarray]:
-    """The symbols of each document of a chunk, and which documents are learned from."""
+def packed_codes(codes: np.ndarray) -> bytes:
+    """Codes in order, as the steps between them."""
+    return packed_numbers(np.diff(codes, prepend=np.int64(0)), "<i8")
+
+
+def unpacked_codes(data: bytes) -> np.ndarray:
+    return np.cumsum(unpacked_numbers(data, "<i8"))
+
+
+def read_symbols(row: dict) -> list[np.ndarray]:
+    """The symbols of each document of a chunk."""
     sizes = unpacked_numbers(row["run_sizes"]).astype(np.int64)
-    return np.split(unpacked_numbers(row["runs"], "<u2"), np.cumsum(sizes)[:-1]), unpacked_numbers(row["trains"], "<u1")
+    return np.split(unpacked_numbers(row["runs"], "<u2"), np.cumsum(sizes)[:-1])
 
 
-RUNS = ("runs", "run_sizes", "trains")
+# Of a chunk: its symbols, how many each document has, its distinct runs, and how often what is learned from holds each.
+RUNS = ("runs", "run_sizes", "codes", "code_counts")
 
 
 def chunks_of(docs: DataFrame, alphabet: tuple[np.ndarray, np.ndarray]) -> DataFrame:
@@ -162,7 +176,8 @@ def chunks_of(docs: DataFrame, alphabet: tuple[np.ndarray, np.ndarray]) -> DataF
         def row() -> pa.RecordBatch:
             chunk.extra["runs"] = packed_numbers(np.concatenate(runs), "<u2")
             chunk.extra["run_sizes"] = packed_numbers([len(r) for r in runs])
-            chunk.extra["trains"] = packed_numbers(trains, "<u1")
+            codes, counts = counted_runs(runs, np.array(trains))
+            chunk.extra["codes"], chunk.extra["code_counts"] = packed_codes(codes), packed_numbers(counts, "<i8")
             return chunk.row(number, schema)
 
         for batch in batches:
@@ -191,14 +206,17 @@ def run_entries(chunks: DataFrame, weighted: bool = False) -> DataFrame:
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                codes, counts = counted_runs(*read_runs(row))
-                if not weighted:
+                codes = unpacked_codes(row["codes"])
+                if weighted:
+                    counts = unpacked_numbers(row["code_counts"], "<i8")
+                else:
                     counts = (row["chunk"] << ENTRY_BITS) + np.arange(len(codes), dtype=np.int64)
                 every = pa.RecordBatch.from_arrays([pa.array(codes), pa.array(counts)], names=["code", second])
                 for at in range(0, len(codes), SLICE):
                     yield every.slice(at, SLICE)
 
-    return chunks.select("chunk", *RUNS).mapInArrow(unpack, f"code bigint, {second} bigint")
+    columns = ["chunk", "codes", *(["code_counts"] if weighted else [])]
+    return chunks.select(*columns).mapInArrow(unpack, f"code bigint, {second} bigint")
 
 
 def _last(code: Column, symbols: int) -> Column:
@@ -206,52 +224,152 @@ def _last(code: Column, symbols: int) -> Column:
     return code.bitwiseAND((1 << BITS * symbols) - 1)
 
 
-def run_counts(grams: DataFrame) -> list[DataFrame]:
-    """For each depth of context from none on: ``code, context, n`` of the runs of context and next symbol, with
+def _without_last(code: Column) -> Column:
+    return F.call_function("shiftright", code, F.lit(BITS))
+
+
+def shallow_counts(grams: DataFrame) -> list[DataFrame]:
+    """For each depth of context from none to ``SHALLOW``: ``code, context, n`` of the runs of context and next symbol, with
     ``total`` and ``kinds``, the count of the context and of the symbols seen after it.  From ``grams(code, n)``,
     the runs of full depth.  A context has at most ``SYMBOLS`` runs.
     """
     counts, runs = [], grams
-    for depth in range(DEPTH, -1, -1):
-        with_context = runs.withColumn("context", F.call_function("shiftright", F.col("code"), F.lit(BITS)))
+    for depth in range(SHALLOW, -1, -1):
         of_context = Window.partitionBy("context")
         full = stored(
-            with_context.withColumn("total", F.sum("n").over(of_context))
+            runs.groupBy(_last(F.col("code"), depth + 1).alias("code")).agg(F.sum("n").alias("n"))
+            .withColumn("context", _without_last(F.col("code")))
+            .withColumn("total", F.sum("n").over(of_context))
             .withColumn("kinds", F.sum((F.col("n") > 0).cast("bigint")).over(of_context)),
             "runs",
         )
         counts.append(full)
-        runs = full.groupBy(_last(F.col("code"), depth).alias("code")).agg(F.sum("n").alias("n"))
+        runs = full
     return counts[::-1]
 
 
-def kept_contexts(counts: list[DataFrame], least: float = LEAST_GAIN, a_kind: float = GAIN_A_KIND) -> list[DataFrame]:
+def _gains(n: np.ndarray, share: np.ndarray, shorter: np.ndarray, group: np.ndarray, groups: int) -> np.ndarray:
+    """Per group, by how much the shares of its runs gain on those after the shorter context."""
+    seen = n > 0
+    terms = n[seen] * np.log(share[seen] / shorter[seen])
+    return np.bincount(group[seen], terms, minlength=groups)
+
+
+def judged(code: np.ndarray, n: np.ndarray, shorter: np.ndarray, least: float, a_kind: float) -> tuple[np.ndarray, ...]:
+    """``a, b, in_five, in_four`` of the runs of whole contexts of four symbols, these in any order, a context's runs in
+    the order of their codes: the last symbol's probability is ``a + b * p`` where ``p`` is that after the last three symbols; and
+    whether the context of five, and that of four, is kept.  ``shorter`` is its share after the last three.
+    """
+    n = n.astype(np.float64)
+    four = np.cumsum(np.diff(_context_of_four(code), prepend=np.int64(-1)) != 0) - 1
+    five_starts = np.flatnonzero(np.diff(code >> BITS, prepend=np.int64(-1)))
+    five = np.repeat(np.arange(len(five_starts)), np.diff(np.append(five_starts, len(code))))
+    total5, kinds5 = np.bincount(five, n), np.bincount(five, n > 0)
+    runs4, first, at4 = np.unique(four << BITS | code & SYMBOLS - 1, return_index=True, return_inverse=True)
+    n4, four4 = np.bincount(at4, n), runs4 >> BITS
+    total4, kinds4 = np.bincount(four4, n4), np.bincount(four4, n4 > 0)
+    share4 = n4 / np.maximum(total4, 1)[four4]
+    gain4 = _gains(n4, share4, shorter[first], four4, len(total4))
+    gain5 = _gains(n, n / np.maximum(total5, 1)[five], share4[at4], five, len(total5))
+    keep5 = (kinds5 > 0) & (gain5 >= least + a_kind * (kinds5 - 1))
+    keep4 = (kinds4 > 0) & (gain4 >= least + a_kind * (kinds4 - 1))
+    keep4 |= np.bincount(four[five_starts], keep5) > 0
+    some4, some5 = np.maximum(kinds4, 1), np.maximum(kinds5, 1)
+    a = np.where(keep4[four4], n4 / (total4 + some4)[four4], 0.0)[at4]
+    b = np.where(keep4, some4 / (total4 + some4), 1.0)[four]
+    known, down = keep5[five], (total5 + some5)[five]
+    a = np.where(known, (n + some5[five] * a) / down, a)
+    b = np.where(known, some5[five] * b / down, b)
+    return a, b, known, keep4[four]
+
+
+def _context_of_four(code: np.ndarray) -> np.ndarray:
+    return code >> BITS & (1 << 4 * BITS) - 1
+
+
+def deep_runs(grams: DataFrame, least: float, a_kind: float) -> DataFrame:
+    """``code, a, b, in_five, in_four`` of all runs of full depth, as ``judged``; stored.
+
+    All runs whose context ends with the same three symbols are in one partition, in order of the fourth, so that a task holds one
+    context of four symbols at a time, which has at most ``SYMBOLS`` squared runs.
+    """
+    schema = pa.schema([("code", pa.int64()), ("a", pa.float64()), ("b", pa.float64()), ("in_five", pa.bool_()), ("in_four", pa.bool_())])
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(held: pa.Table) -> Iterator[pa.RecordBatch]:
+            code, n, shorter = (held[name].to_numpy() for name in ("code", "n", "shorter"))
+            out = pa.RecordBatch.from_arrays([pa.array(x) for x in (code, *judged(code, n, shorter, least, a_kind))], schema=schema)
+            for at in range(0, out.num_rows, SLICE):
+                yield out.slice(at, SLICE)
+
+        held: pa.Table | None = None
+        for batch in batches:
+            now = pa.Table.from_batches([batch])
+            held = now if held is None else pa.concat_tables([held, now])
+            contexts = _context_of_four(held["code"].to_numpy())
+            if not len(contexts):
+                continue
+            others = np.flatnonzero(contexts != contexts[-1])  # the last context may go on
+            if len(others):
+                cut = int(others[-1]) + 1
+                yield from rows(held.slice(0, cut))
+                held = held.slice(cut)
+        if held is not None and held.num_rows:
+            yield from rows(held)
+
+    ends = grams.select(
+        "code", "n", _last(_without_last(F.col("code")), SHALLOW).alias("end"), _last(F.col("code"), 1).alias("next")
+    ).repartition("end")
+    after = Window.partitionBy("end", "next")
+    shares = ends.withColumn("shorter", F.sum("n").over(after) / F.greatest(F.sum("n").over(Window.partitionBy("end")), F.lit(1)))
+    by_fourth = _last(_without_last(F.col("code")), SHALLOW + 1)
+    small_batches(grams.sparkSession, RUN_ROWS)
+    ordered = shares.select("end", by_fourth.alias("fourth"), "code", "n", "shorter").sortWithinPartitions("end", "fourth", "code")
+    spark_schema = "code bigint, a double, b double, in_five boolean, in_four boolean"
+    return stored(ordered.select("code", "n", "shorter").mapInArrow(judge, spark_schema), "deep-runs")
+
+
+def run_counts(grams: DataFrame, least: float = LEAST_GAIN, a_kind: float = GAIN_A_KIND) -> tuple[list[DataFrame], DataFrame]:
+    """The counts of short contexts by depth, and the judged runs of full depth, from ``grams(code, n)``."""
+    grams = stored(grams, "grams")
+    return shallow_counts(grams), deep_runs(grams, least, a_kind)
+
+
+def kept_contexts(
+    counts: tuple[list[DataFrame], DataFrame], least: float = LEAST_GAIN, a_kind: float = GAIN_A_KIND
+) -> list[DataFrame]:
     """For each depth the ``context`` codes that pass the divergence test, and the suffixes of those that do."""
+    shallow, deep = counts
+    context = _without_last(F.col("code"))
     kept: list[DataFrame] = [None] * (DEPTH + 1)
-    for depth in range(DEPTH, 0, -1):
-        longer = counts[depth].where("n > 0").withColumn("up", _last(F.col("code"), depth))
-        shorter = counts[depth - 1].where("n > 0").select(F.col("code").alias("up"), (F.col("n") / F.col("total")).alias("q"))
+    kept[5] = deep.where("in_five").select(context.alias("context")).distinct()
+    kept[4] = deep.where("in_four").select(_last(context, 4).alias("context")).distinct()
+    for depth in range(SHALLOW, 0, -1):
+        longer = shallow[depth].where("n > 0").withColumn("up", _last(F.col("code"), depth))
+        shorter = shallow[depth - 1].where("n > 0").select(F.col("code").alias("up"), (F.col("n") / F.col("total")).alias("q"))
         gains = longer.join(shorter, "up").groupBy("context").agg(
             F.sum(F.col("n") * F.log(F.col("n") / F.col("total") / F.col("q"))).alias("gain"), F.first("kinds").alias("kinds")
         )
         passed = gains.where(F.col("gain") >= least + a_kind * (F.col("kinds") - 1)).select("context")
-        if depth < DEPTH:
-            passed = passed.union(kept[depth + 1].select(_last(F.col("context"), depth).alias("context"))).distinct()
+        passed = passed.union(kept[depth + 1].select(_last(F.col("context"), depth).alias("context"))).distinct()
         kept[depth] = stored(passed, "contexts")
     return kept
 
 
-def run_scores(counts: list[DataFrame], kept: list[DataFrame]) -> DataFrame:
+def run_scores(counts: tuple[list[DataFrame], DataFrame], kept: list[DataFrame]) -> DataFrame:
     """``code, p`` of all runs of full depth: the probability of the last symbol after the longest kept suffix."""
-    p = counts[0].select("code", ((F.col("n") + 0.5) / (F.col("total") + 0.5 * SYMBOLS)).alias("p"))
-    for depth in range(1, DEPTH + 1):
-        runs = counts[depth].withColumn("up", _last(F.col("code"), depth))
+    shallow, deep = counts
+    p = shallow[0].select("code", ((F.col("n") + 0.5) / (F.col("total") + 0.5 * SYMBOLS)).alias("p"))
+    for depth in range(1, SHALLOW + 1):
+        runs = shallow[depth].withColumn("up", _last(F.col("code"), depth))
         runs = runs.join(kept[depth].withColumn("known", F.lit(True)), "context", "left")
         kinds = F.greatest(F.col("kinds"), F.lit(1))
         smoothed = (F.col("n") + kinds * F.col("shorter")) / (F.col("total") + kinds)
         shorter = p.select(F.col("code").alias("up"), F.col("p").alias("shorter"))
         p = runs.join(shorter, "up").select("code", F.when(F.col("known"), smoothed).otherwise(F.col("shorter")).alias("p"))
-    return p
+    shorter = p.select(F.col("code").alias("up"), F.col("p").alias("shorter"))
+    of_runs = deep.select("code", "a", "b", _last(F.col("code"), SHALLOW + 1).alias("up")).join(shorter, "up")
+    return of_runs.select("code", (F.col("a") + F.col("b") * F.col("shorter")).alias("p"))
 
 
 def symbol_scores(chunks: DataFrame) -> DataFrame:
@@ -265,8 +383,7 @@ def symbol_scores(chunks: DataFrame) -> DataFrame:
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                texts, trains = read_runs(row)
-                codes, _ = counted_runs(texts, trains)
+                texts, codes = read_symbols(row), unpacked_codes(row["codes"])
                 values = np.empty(len(codes), dtype=np.float64)
                 for part in row["back"]:
                     values[np.cumsum(unpacked_numbers(part["at"]), dtype=np.int64)] = unpacked_numbers(part["number"], "<i8")
@@ -279,7 +396,7 @@ def symbol_scores(chunks: DataFrame) -> DataFrame:
                     [pa.array([row["chunk"]]), pa.array([sums], pa.list_(pa.float64()))], names=["chunk", "score"]
                 )
 
-    whole = chunks.select("chunk", "shared", *RUNS).join(back, "chunk")
+    whole = chunks.select("chunk", "shared", "runs", "run_sizes", "codes").join(back, "chunk")
     return whole.mapInArrow(add_up, "chunk bigint, score array<double>")
 
 
