@@ -9,7 +9,7 @@ document is one row per chunk, so no word is heavy.
 from __future__ import annotations
 
 import sys
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -62,7 +62,9 @@ def unpacked_words(data: bytes, lengths: bytes) -> pa.Array:
 
 class Chunk:
     def __init__(self, extra: list[str]):
-        self.words: dict[str, int] = {}
+        # A word that is asked for the first time gets the next number.
+        self.words: defaultdict[str, int] = defaultdict()
+        self.words.default_factory = self.words.__len__
         self.weights = np.zeros(0, dtype=np.int64)
         self.ids: list = []
         self.sizes: list[int] = []
@@ -73,10 +75,7 @@ class Chunk:
 
     def add(self, doc_id, n_chars: int, counted: Counter, weight: int, extra: dict) -> None:
         words = self.words
-        for word in counted:
-            if word not in words:
-                words[word] = len(words)
-        places = np.fromiter((words[word] for word in counted), dtype=np.uint32, count=len(counted))
+        places = np.fromiter(map(words.__getitem__, counted), dtype=np.uint32, count=len(counted))
         times = np.fromiter(counted.values(), dtype=np.uint32, count=len(counted))
         order = np.argsort(places)
         places, times = places[order], times[order]

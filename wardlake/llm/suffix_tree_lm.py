@@ -372,6 +372,31 @@ def run_scores(counts: tuple[list[DataFrame], DataFrame], kept: list[DataFrame])
     return of_runs.select("code", (F.col("a") + F.col("b") * F.col("shorter")).alias("p"))
 
 
+class Lookup:
+    """The values of known codes: a table of slots by hash, and a search for codes that share a slot with another."""
+
+    FACTOR, LEAST_BITS, MOST_BITS = np.uint64(0x9E3779B97F4A7C15), 4, 23
+
+    def __init__(self, codes: np.ndarray, values: np.ndarray):
+        self.codes, self.values = codes, values
+        bits = min(self.MOST_BITS, max(self.LEAST_BITS, (8 * len(codes)).bit_length()))
+        self.shift = np.uint64(64 - bits)
+        slots = self._slots(codes)
+        self.table = np.zeros(1 << bits)
+        self.table[slots] = values
+        self.table[np.bincount(slots, minlength=1 << bits) > 1] = np.nan
+
+    def _slots(self, codes: np.ndarray) -> np.ndarray:
+        return (codes.view(np.uint64) * self.FACTOR >> self.shift).view(np.int64)
+
+    def total(self, codes: np.ndarray) -> float:
+        """The sum of the values of ``codes``, all of them known."""
+        found = self.table.take(self._slots(codes))
+        shared = np.isnan(found)
+        found[shared] = self.values.take(self.codes.searchsorted(np.sort(codes[shared])))
+        return float(found.sum())
+
+
 def symbol_scores(chunks: DataFrame) -> DataFrame:
     """``chunk, score``: the log10 probability of each document of a chunk, in order."""
     counts = run_counts(run_entries(chunks, weighted=True).groupBy("code").agg(F.sum("n").alias("n")))
@@ -387,11 +412,8 @@ def symbol_scores(chunks: DataFrame) -> DataFrame:
                 values = np.empty(len(codes), dtype=np.float64)
                 for part in row["back"]:
                     values[np.cumsum(unpacked_numbers(part["at"]), dtype=np.int64)] = unpacked_numbers(part["number"], "<i8")
-                values /= STEPS
-                sums = [
-                    shared + sum(float(values.take(codes.searchsorted(np.sort(runs))).sum()) for runs in runs_of(text))
-                    for text, shared in zip(texts, row["shared"])
-                ]
+                scores = Lookup(codes, values / STEPS)
+                sums = [shared + sum(map(scores.total, runs_of(text))) for text, shared in zip(texts, row["shared"])]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([row["chunk"]]), pa.array([sums], pa.list_(pa.float64()))], names=["chunk", "score"]
                 )
