@@ -1,5 +1,7 @@
 import re
 
+import pytest
+
 from wardlake.llm import urls
 from wardlake.llm.queries import URL_RULES
 
@@ -15,11 +17,14 @@ def plain_verdict(url, rules):
     return host, path, best[2], best[3]
 
 
-def test_judged_urls(spark):
+@pytest.mark.parametrize("frequent", [1e-3, 0.04, 1.0])
+def test_judged_urls(spark, monkeypatch, frequent):
+    monkeypatch.setattr(urls, "FREQUENT", frequent)
     given = [
         "http://a.example.com/en/1?x=/de/", "https://WWW.Example.COM/en/", "http://example.com/EN/", "ftp://x.net/es/a#b", "x.net/es/",
         "http://net/fr/", "http://notnet/fr/", "http://com", "http://com/", "a://b://c.com/d", None, "", "://", "http://x.com:80/",
         "http://u@com/", "http://ex ample.com/en/\n", "http://.com/", "http://com./", "http://a.b.c.d.example.com/en/x/y/z",
+        "http://" + "a." * 20_000 + "d.example.com/en/x/y" + "/z" * 20_000,
     ] * 2
     pages = spark.createDataFrame([(i % 25, u, "h", "r", "k") for i, u in enumerate(given)], "page_id bigint, url string, html string, rule string, key string")
     rules = [*URL_RULES, ("d.example.com", "/en/x/y", "block"), ("d.example.com", "/en/x/y", "allow"), ("x.net", "", "block")]

@@ -12,8 +12,8 @@ from wardlake.llm.common import LOWER, UPPER
 PARTS = r"(?s)\A.*?://([^/?#]*)([^?#]*)"
 # What a URL without a rule gets.
 DEFAULT_VERDICT = "allow"
-# Partitions that the pages of one host and path head are spread over.
-SALTS = 16
+# A host and path head with more than this share of all pages is frequent: there are fewer of them than its inverse.
+FREQUENT = 1e-3
 # Hexadecimal digits of a digest that the join compares.
 KEY_DIGITS = 8
 
@@ -58,7 +58,7 @@ def judged_urls(
     gives no rows, or no matches; other columns of either table are not read.
 
     Every pair of host and path head is expanded once, however many pages share it: its host suffixes
-    times its path prefixes, cut at the lengths that rules have.  The expressions meet the
+    times its path prefixes, cut at the lengths that rules have; of a long host only suffixes of as many labels as rules have.  The expressions meet the
     rules on the first digits of their SHA-256 and are confirmed on the whole digest.
     """
     known = (
@@ -73,26 +73,28 @@ def judged_urls(
             F.length("host").alias("host_length"),
             "verdict",
             F.length("path").alias("path_length"),
+            F.size(F.split("host", r"\.", -1)).alias("labels"),
             _digest(F.col("host"), F.col("path")).alias("rule_digest"),
         )
         .withColumn("key", F.substring("rule_digest", 1, KEY_DIGITS))
     )
-    # One number per length that a rule's path has: few, as URLs are short.
-    lengths = sorted(row[0] for row in known.select("path_length").distinct().collect())
-    longest = max(lengths, default=0)
+    # The lengths that paths of rules have, and their hosts' numbers of labels: few, as URLs are short.
+    shapes = known.select("path_length", "labels").distinct().collect()
+    lengths = sorted({row["path_length"] for row in shapes})
+    longest, most_labels = max(lengths, default=0), max((row["labels"] for row in shapes), default=1)
     parts = pages.select(
         F.col(page_id).alias("page_id"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path")
     ).withColumn("head", F.substring("path", 1, longest) if longest else F.lit(""))
     labels = F.split("host", r"\.", -1)
+    # No suffix of more labels than a rule has can be one of a rule.
     suffixes = F.transform(
-        F.sequence(F.lit(1), F.size(labels)),
+        F.sequence(F.greatest(F.lit(1), F.size(labels) - (most_labels - 1)), F.size(labels)),
         lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."),
     )
     cuts = F.filter(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: n <= F.length("head"))
+    heads = parts.groupBy("host", "head").agg(F.count("*").alias("n"))
     expressions = (
-        parts.select("host", "head")
-        .distinct()
-        .select("host", "head", F.explode(suffixes).alias("suffix"))
+        heads.select("host", "head", F.explode(suffixes).alias("suffix"))
         .select("host", "head", "suffix", F.explode(cuts).alias("cut"))
         .select("host", "head", _digest(F.col("suffix"), F.expr("substring(head, 1, cut)")).alias("digest"))
         .withColumn("key", F.substring("digest", 1, KEY_DIGITS))
@@ -103,10 +105,12 @@ def judged_urls(
         .groupBy("host", "head")
         .agg(F.max(F.struct(F.length("rule"), "host_length", "rule", "verdict")).alias("best"))
     )
-    # A third of all pages may be of one host: they meet their rule in several places.
-    salted = best.withColumn("salt", F.explode(F.expr(f"sequence(0L, {SALTS - 1}L)")))
-    salt = F.pmod(F.xxhash64("page_id", "path"), F.lit(SALTS))
-    return parts.withColumn("salt", salt).join(salted, ["host", "head", "salt"], "left").select(
+    # A third of all pages may be of one host: pages of frequent ones meet their rule where they are, and are not shuffled.
+    place = ["host", "head"]
+    frequent = heads.where(F.col("n") > FREQUENT * pages.count()).select(place)
+    often = parts.join(F.broadcast(frequent.join(best, place, "left")), place)
+    seldom = parts.join(F.broadcast(frequent), place, "left_anti").join(best, place, "left")
+    return often.unionByName(seldom).select(
         "page_id",
         "host",
         "path",
