@@ -82,3 +82,18 @@ def test_scan_and_mask(docs, no_docs, texts):
     assert not any(plain_spans(r["t"]) for r in clean.collect() if r["t"] and "secret=token" not in r["t"])
     assert s.learned(no_docs) is None
     assert s.with_secrets(no_docs, None).count() == 0
+
+
+def test_windows_of_one_text_are_bounded():
+    text = " ".join(f"word{i} password=abc{i}def456" for i in range(3000))
+    windows = s.training_windows(text)
+    assert sum(w["secret"] for w in windows) <= s.SECRETS_PER_DOCUMENT + s.ODD_PER_DOCUMENT
+    assert windows == s.training_windows(text)
+
+
+def test_windows_with_and_without_secrets_have_a_share_each(spark, monkeypatch):
+    rows = [(i, f"some plain words of text {i} " * 3 + (f"password=abc{i}def456" if i % 10 else "")) for i in range(200)]
+    seen = []
+    monkeypatch.setattr(s, "trained", lambda windows: seen.extend(windows))
+    s.learned(spark.createDataFrame(rows, "doc_id bigint, text string"), windows=20)
+    assert [sum(w["secret"] == kind for w in seen) for kind in (True, False)] == [10, 10]

@@ -17,7 +17,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from wardlake.llm.common import small_batches, stored, unused
+from wardlake.llm.common import sent, small_batches, stored, unused
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -200,11 +200,6 @@ def item_blocks(benchmark: DataFrame, item_id: str, text: str, block_words: int)
         yield block
 
 
-def _sent(automaton: SuffixAutomaton) -> bytes:
-    """With its class, so that workers need no copy of this module."""
-    return cloudpickle.dumps(automaton)
-
-
 def _report(automaton) -> Callable[[Column], Column]:
     kind = pa.struct([
         ("n_words", pa.int64()),
@@ -276,7 +271,7 @@ def with_hits(
     blocks = item_blocks(benchmark, item_id, item_text, block_words)
     out, k = docs, 0
     for k, block in enumerate(blocks, 1):
-        automaton = spark.sparkContext.broadcast(_sent(SuffixAutomaton(block, window)))
+        automaton = sent(spark, SuffixAutomaton(block, window))
         report = _report(automaton)(F.col(text))
         if k == 1:
             out = out.withColumn(into, report)
@@ -285,7 +280,7 @@ def with_hits(
             out = stored(out, "contamination").withColumn(more, report)
             out = out.withColumn(into, merged_reports(F.col(into), F.col(more))).drop(more)
     if not k:
-        empty = spark.sparkContext.broadcast(_sent(SuffixAutomaton([], window)))
+        empty = sent(spark, SuffixAutomaton([], window))
         out = out.withColumn(into, _report(empty)(F.col(text)))
     return out
 

@@ -19,7 +19,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wardlake.llm.common import in_fold, small_batches, stored
+from wardlake.llm.common import in_fold, sent, small_batches, stored
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -128,7 +128,7 @@ def _grams(text: Column) -> Column:
 
 def _kernels(landmarks) -> object:
     def kernels(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        marks = landmarks.value
+        marks = cloudpickle.loads(landmarks.value)
         holds = marks.holds.astype(np.float32)
         for batch in texts:
             rows = marks.kernel([gram_codes(t) for t in batch.to_pylist()], holds)
@@ -186,8 +186,7 @@ def learned(
     landmarks = Landmarks.of(
         [np.array(row["grams"], dtype=np.int64) for row in sorted(marks.collect(), key=lambda x: (x["lang"], x["r"]))]
     )
-    sent = spark.sparkContext.broadcast(landmarks)
-    rows = sample.select("lang", "doc_id", "r", _kernels(sent)(F.col("text")).alias("k")).collect()
+    rows = sample.select("lang", "doc_id", "r", _kernels(sent(spark, landmarks))(F.col("text")).alias("k")).collect()
     rows.sort(key=lambda x: (x["lang"], x["r"]))
     kernels = np.array([r["k"] for r in rows]).reshape(len(rows), landmarks.holds.shape[1])
     return fitted(landmarks, kernels, [r["lang"] for r in rows])
@@ -198,10 +197,10 @@ def guess(spark, model: LanguageModel, text: Column) -> Column:
 
     ``und`` with score 0 if the text is null, has no letter, or nothing was learned.
     """
-    sent = spark.sparkContext.broadcast(model)
+    packed = sent(spark, model)
 
     def guessed(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        model = sent.value
+        model = cloudpickle.loads(packed.value)
         holds = model.landmarks.holds.astype(np.float32)
         for batch in texts:
             grams = [gram_codes(t) for t in batch.to_pylist()]

@@ -19,7 +19,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wardlake.llm.common import small_batches, stored
+from wardlake.llm.common import sent, small_batches, stored
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -109,12 +109,14 @@ def first_links(nodes: DataFrame, keep: int = NEIGHBOURS, trees: int = TREES, bl
     matrix = rows_of(sample["vec"].combine_chunks())
     deepest = max(0, int(math.log2(max(1, len(sample)) / 8)))
     levels = min(deepest, max(0, math.ceil(math.log2(max(1, n) / block))))
-    sent = spark.sparkContext.broadcast(Trees(matrix, trees, levels))
+    packed = sent(spark, Trees(matrix, trees, levels))
 
-    def leaves(vectors: pa.Array) -> pa.Array:
-        return pa.array(list(sent.value.blocks(rows_of(vectors))), type=pa.list_(pa.int64())) if len(vectors) else pa.array([], pa.list_(pa.int64()))
+    def leaves(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        forest = cloudpickle.loads(packed.value)
+        for vectors in batches:
+            yield pa.array(list(forest.blocks(rows_of(vectors))) if len(vectors) else [], type=pa.list_(pa.int64()))
 
-    leaves.__annotations__ = {"vectors": pa.Array, "return": pa.Array}
+    leaves.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     dealt = nodes.select("id", "vec", F.explode(F.arrow_udf(leaves, "array<bigint>")(F.col("vec"))).alias("block"))
     # A task splits a larger block on by itself; only one that is too large for a task is dealt on by hash, in each tree otherwise.
     most = max(3 * block, GROUP_NUMBERS // max(1, matrix.shape[1]))

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import sys
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,7 +20,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardlake.llm.common import small_batches
+from wardlake.llm.common import sent, small_batches, stored
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -33,11 +34,12 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "tagged")
 LEAST_VALUE, LEAST_ACCESS = 6, 20
 
-# The sample that the field learns from: documents read, and windows kept, at most about.
+# The sample that the field learns from: documents read, and windows kept, at most about; half of these with secrets, half without.
 SAMPLE_DOCUMENTS = 20_000
 SAMPLE_WINDOWS = 3_000
 WINDOW_WORDS = 12  # on either side
 ODD_PER_DOCUMENT = 3
+SECRETS_PER_DOCUMENT = 20  # of more, those of the least hash of their place
 TRAINING_STEPS = 120
 
 OUTSIDE, BEGIN, INSIDE = 0, 1, 2
@@ -155,6 +157,8 @@ def training_windows(text: str) -> list[dict]:
     bits = [word_bits(text[a:b]) for a, b in places]
     tags = tags_of(places, base_spans(text))
     centres = [i for i, tag in enumerate(tags) if tag == BEGIN]
+    if len(centres) > SECRETS_PER_DOCUMENT:
+        centres = sorted(sorted(centres, key=lambda i: (zlib.crc32(b"%d" % i), i))[:SECRETS_PER_DOCUMENT])
     centres += [i for i, b in enumerate(bits) if b & ODD and tags[i] == OUTSIDE][:ODD_PER_DOCUMENT]
     if not centres:
         centres = [len(bits) // 2]
@@ -346,7 +350,10 @@ def spans_of(text: str, word_ranges: list[tuple[int, int]]) -> list[tuple[str, i
 
 
 def learned(docs: DataFrame, text: str = "text", documents: int = SAMPLE_DOCUMENTS, windows: int = SAMPLE_WINDOWS) -> Field | None:
-    """A field that has learned from about ``documents`` texts, chosen by hash, tagged by the fixed patterns."""
+    """A field that has learned from about ``documents`` texts, chosen by hash, tagged by the fixed patterns.
+
+    At most ``windows`` windows reach the driver, half of them with secrets, at most about ``SECRETS_PER_DOCUMENT`` from one text.
+    """
     small_batches(docs.sparkSession)
     total = docs.count()
     share = min(1.0, documents / max(1, total))
@@ -364,11 +371,12 @@ def learned(docs: DataFrame, text: str = "text", documents: int = SAMPLE_DOCUMEN
     ).asNondeterministic()
     hashed = docs.select(F.col(text).alias("t"), F.xxhash64(F.col(text)).alias("h"))
     chosen = hashed.where(F.pmod("h", F.lit(1 << 30)) < int(share * (1 << 30))).dropDuplicates(["h"])
-    rows = (
-        chosen.select("h", F.posexplode(cut_udf(F.col("t"))).alias("p", "w"))
-        # Windows with secrets first; what is left over goes by hash.
-        .orderBy(F.col("w.secret").desc(), "h", "p").limit(windows).collect()
-    )
+    every = stored(chosen.select("h", F.posexplode(cut_udf(F.col("t"))).alias("p", "w")), "secret-windows")
+    # Windows with secrets and windows without have a share each, whatever their numbers; both go by hash.
+    rows = [
+        row for has_secret in (True, False)
+        for row in every.where(F.col("w.secret") == has_secret).orderBy("h", "p").limit(windows // 2).collect()
+    ]
     return trained([r["w"].asDict() for r in sorted(rows, key=lambda r: (r["h"], r["p"]))])
 
 
@@ -377,11 +385,12 @@ def found_secrets(spark, field: Field | None, text: Column) -> Column:
 
     Null and empty texts have none.  Without a field only the fixed patterns count.
     """
-    sent = spark.sparkContext.broadcast(field)
+    packed = sent(spark, field)
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("stop", pa.int64())]))
 
     def scanned(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        tagger = Tagger(sent.value) if sent.value is not None else None
+        known = cloudpickle.loads(packed.value)
+        tagger = Tagger(known) if known is not None else None
         for batch in texts:
             whole = [t or "" for t in batch.to_pylist()]
             ranges = tagger.tagged(whole) if tagger and whole else [[] for _ in whole]
