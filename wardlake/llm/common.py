@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from wardlake.session import scratch_dir
 
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -17,14 +18,20 @@ def small_batches(spark: SparkSession, rows: int = 256, most_bytes: int = 16 <<
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most_bytes))
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
+def stored(df: DataFrame, label: str, free: bool = False) -> DataFrame:
     """``df`` written to the shared scratch folder and read again.
 
-    Later steps read files, so a lost executor costs the tasks it had and no earlier step.
+    Later steps read files, so a lost executor costs the tasks it had and no earlier step.  With ``free`` the shuffle files of
+    this step are deleted as soon as it is written, and not when the driver next collects garbage.
     """
-    path = scratch_dir(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, scratch_dir(df.sparkSession, label)
+    before = spark.conf.get(FREE_SHUFFLES)
+    spark.conf.set(FREE_SHUFFLES, str(free or before == "true").lower())
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(FREE_SHUFFLES, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def sent(spark: SparkSession, value):

@@ -196,7 +196,7 @@ def chunks_of(docs: DataFrame, alphabet: tuple[np.ndarray, np.ndarray]) -> DataF
             yield row()
 
     small_batches(docs.sparkSession)
-    return stored(docs.select("doc_id", "text", "weight").mapInArrow(fill, spark_schema), "suffix-chunks")
+    return stored(docs.select("doc_id", "text", "weight").mapInArrow(fill, spark_schema), "suffix-chunks", free=True)
 
 
 def run_entries(chunks: DataFrame, weighted: bool = False) -> DataFrame:
@@ -241,7 +241,7 @@ def shallow_counts(grams: DataFrame) -> list[DataFrame]:
             .withColumn("context", _without_last(F.col("code")))
             .withColumn("total", F.sum("n").over(of_context))
             .withColumn("kinds", F.sum((F.col("n") > 0).cast("bigint")).over(of_context)),
-            "runs",
+            "runs", free=True,
         )
         counts.append(full)
         runs = full
@@ -280,7 +280,7 @@ def judged(code: np.ndarray, n: np.ndarray, shorter: np.ndarray, least: float, a
     known, down = keep5[five], (total5 + some5)[five]
     a = np.where(known, (n + some5[five] * a) / down, a)
     b = np.where(known, some5[five] * b / down, b)
-    return a, b, known, keep4[four]
+    return a.astype(np.float32), b.astype(np.float32), known, keep4[four]
 
 
 def _context_of_four(code: np.ndarray) -> np.ndarray:
@@ -293,7 +293,7 @@ def deep_runs(grams: DataFrame, least: float, a_kind: float) -> DataFrame:
     All runs whose context ends with the same three symbols are in one partition, in order of the fourth, so that a task holds one
     context of four symbols at a time, which has at most ``SYMBOLS`` squared runs.
     """
-    schema = pa.schema([("code", pa.int64()), ("a", pa.float64()), ("b", pa.float64()), ("in_five", pa.bool_()), ("in_four", pa.bool_())])
+    schema = pa.schema([("code", pa.int64()), ("a", pa.float32()), ("b", pa.float32()), ("in_five", pa.bool_()), ("in_four", pa.bool_())])
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows(held: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -325,13 +325,13 @@ def deep_runs(grams: DataFrame, least: float, a_kind: float) -> DataFrame:
     by_fourth = _last(_without_last(F.col("code")), SHALLOW + 1)
     small_batches(grams.sparkSession, RUN_ROWS)
     ordered = shares.select("end", by_fourth.alias("fourth"), "code", "n", "shorter").sortWithinPartitions("end", "fourth", "code")
-    spark_schema = "code bigint, a double, b double, in_five boolean, in_four boolean"
-    return stored(ordered.select("code", "n", "shorter").mapInArrow(judge, spark_schema), "deep-runs")
+    spark_schema = "code bigint, a float, b float, in_five boolean, in_four boolean"
+    return stored(ordered.select("code", "n", "shorter").mapInArrow(judge, spark_schema), "deep-runs", free=True)
 
 
 def run_counts(grams: DataFrame, least: float = LEAST_GAIN, a_kind: float = GAIN_A_KIND) -> tuple[list[DataFrame], DataFrame]:
     """The counts of short contexts by depth, and the judged runs of full depth, from ``grams(code, n)``."""
-    grams = stored(grams, "grams")
+    grams = stored(grams, "grams", free=True)
     return shallow_counts(grams), deep_runs(grams, least, a_kind)
 
 
@@ -352,7 +352,7 @@ def kept_contexts(
         )
         passed = gains.where(F.col("gain") >= least + a_kind * (F.col("kinds") - 1)).select("context")
         passed = passed.union(kept[depth + 1].select(_last(F.col("context"), depth).alias("context"))).distinct()
-        kept[depth] = stored(passed, "contexts")
+        kept[depth] = stored(passed, "contexts", free=True)
     return kept
 
 
@@ -369,7 +369,7 @@ def run_scores(counts: tuple[list[DataFrame], DataFrame], kept: list[DataFrame])
         p = runs.join(shorter, "up").select("code", F.when(F.col("known"), smoothed).otherwise(F.col("shorter")).alias("p"))
     shorter = p.select(F.col("code").alias("up"), F.col("p").alias("shorter"))
     of_runs = deep.select("code", "a", "b", _last(F.col("code"), SHALLOW + 1).alias("up")).join(shorter, "up")
-    return of_runs.select("code", (F.col("a") + F.col("b") * F.col("shorter")).alias("p"))
+    return of_runs.select("code", (F.col("a").cast("double") + F.col("b").cast("double") * F.col("shorter")).alias("p"))
 
 
 class Lookup:
@@ -401,7 +401,7 @@ def symbol_scores(chunks: DataFrame) -> DataFrame:
     """``chunk, score``: the log10 probability of each document of a chunk, in order."""
     counts = run_counts(run_entries(chunks, weighted=True).groupBy("code").agg(F.sum("n").alias("n")))
     scores = run_scores(counts, kept_contexts(counts))
-    scores = stored(scores.select("code", F.round(F.log10("p") * STEPS).cast("bigint").alias("number")), "run-scores")
+    scores = stored(scores.select("code", F.round(F.log10("p") * STEPS).cast("bigint").alias("number")), "run-scores", free=True)
     numbers = run_entries(chunks).join(scores, "code").select("ref", "number")
     back = packed_back(numbers).groupBy("chunk").agg(F.collect_list(F.struct("at", "number")).alias("back"))
 
@@ -436,7 +436,7 @@ def scored(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", folds: t
     weight = F.when(held_out, 0).otherwise(1).cast("bigint")
     chunks = chunks_of(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), weight.alias("weight")), alphabet)
     counts = stored(
-        entries(chunks, weighted=True).groupBy("word").agg(F.sum("weight").alias("number")), "word-counts"
+        entries(chunks, weighted=True).groupBy("word").agg(F.sum("weight").alias("number")), "word-counts", free=True
     )
     n, v = counts.agg(F.coalesce(F.sum("number"), F.lit(0)), F.count(F.when(F.col("number") > 0, 1))).first()
     numbers = entries(chunks).join(counts, "word").select("ref", "number")
@@ -444,7 +444,7 @@ def scored(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", folds: t
     def values(c: np.ndarray) -> list[np.ndarray]:
         return [np.log10(c + 1.0), (c > 0).astype(np.int64)]
 
-    with_scores = chunks.join(stored(symbol_scores(chunks), "symbol-scores"), "chunk")
+    with_scores = chunks.join(stored(symbol_scores(chunks), "symbol-scores", free=True), "chunk")
     extra = {"n_tokens": "bigint", "score": "double"}
     added = summed(with_scores, numbers, values, {"base_sum": "double", "n_known": "bigint"}, extra)
     small_batches(spark, 2000, 8 << 20)
