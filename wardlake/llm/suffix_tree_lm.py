@@ -403,7 +403,8 @@ def symbol_scores(chunks: DataFrame) -> DataFrame:
     scores = run_scores(counts, kept_contexts(counts))
     scores = stored(scores.select("code", F.round(F.log10("p") * STEPS).cast("bigint").alias("number")), "run-scores", free=True)
     numbers = run_entries(chunks).join(scores, "code").select("ref", "number")
-    back = packed_back(numbers).groupBy("chunk").agg(F.collect_list(F.struct("at", "number")).alias("back"))
+    # Written before the chunks are joined, so that the entries' shuffle files are gone by then.
+    back = stored(packed_back(numbers), "packed-scores", free=True).groupBy("chunk").agg(F.collect_list(F.struct("at", "number")).alias("back"))
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
