@@ -120,3 +120,20 @@ def test_sums_give_the_same_numbers(spark, name):
     assert bag(rollups.finished(rollups.partials(gold, name), name)) == bag(rollups.rollup(gold, name))
     none = rollups.added(rollups.partials(gold, name), rollups.partials(gold, name, -1), name)
     assert none.count() == 0
+
+
+def test_visits_that_changed_are_not_broadcast(spark, tmp_path, monkeypatch):
+    visits = latest_by_key(some_visits(spark, 1, 40, range(30)))
+    tables = GoldTables(spark, str(tmp_path))
+    tables.start(visits, some_doctors(spark, *FIRST))
+    feed, plans, write = changes_by(visits, some_visits(spark, 2, 15, range(20, 45))), [], tables._write
+
+    def noted(df, *parts, **kinds):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        write(df, *parts, **kinds)
+
+    monkeypatch.setattr(tables, "_write", noted)
+    tables.apply(feed, some_doctors(spark, *SECOND), 1)
+    written = "\n".join(plans)
+    assert written.count("SortMergeJoin [visit_id") == 3 and "BroadcastHashJoin [visit_id" not in written
+    check(tables, feed_applied(visits, feed), some_doctors(spark, *SECOND))

@@ -76,9 +76,9 @@ def visits_to_join_again(gold: DataFrame, feed: DataFrame, doctors_before: DataF
 
     Changed visits meet all doctors, changed doctors meet the other visits, and no visit is in both: with the gold rows of
     the same visits taken away and these joined to ``doctors_after`` put in their place, gold is that of the whole join.
-    ``gold`` needs only the rows of changed doctors.
+    ``gold`` needs only the rows of changed doctors.  The feed grows with the visits and is never broadcast.
     """
     came = feed.where("change <> 'update_preimage'").select(*FROM_VISIT)
     moved = gold.join(changed_doctors(doctors_before, doctors_after), "doctor_id", "left_semi")
-    moved = moved.join(feed.select("visit_id"), "visit_id", "left_anti")
+    moved = moved.join(feed.select("visit_id").hint("merge"), "visit_id", "left_anti")
     return came.unionByName(as_visits(moved))

@@ -134,7 +134,8 @@ class GoldTables:
         again = visits_to_join_again(self._gold().where(of_doctors), feed, before, after)
         self._write(with_layout(enrich_visits(again, after)), "stage", "plus", by_place=True)
         plus = self._read("stage", "plus", schema=LAID_OUT)
-        touched = plus.select("visit_id").unionByName(feed.select("visit_id")).distinct()
+        # As many as changed: sorted on both sides, as a broadcast of them would pass through the driver.
+        touched = plus.select("visit_id").unionByName(feed.select("visit_id")).distinct().hint("merge")
         old_gold = self._gold().where(of_doctors | self._named(old_rows))
         self._write(old_gold.join(touched, "visit_id", "left_semi"), "stage", "minus", by_place=True)
         minus = self._read("stage", "minus", schema=LAID_OUT)
